@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from paperloom.llm import decontamination, quality, secrets, sharding, simhash, substring_dedup, url_filters
+from paperloom.llm import decontamination, language_id, packing, quality, secrets, sharding, simhash, substring_dedup, training_order, url_filters
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -22,6 +23,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"), width=3, radius=3)
 
 
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training_order.materialise(_read(spark, sf_dir, "documents"), key=20_240_607, window=2048)
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.summary(_read(spark, sf_dir, "documents"))
 
@@ -37,6 +42,18 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *measures, base_failed.alias("base_failed"), quality.verdict(quality.POLICIES[0]).alias("kept"), "failure_bits")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = language_id.train(docs.filter(~held_out).select("text", "lang"))
+    found = language_id.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_read(spark, sf_dir, "documents"), window=2048, end_id=1, with_ids=False).drop("ids")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(_read(spark, sf_dir, "documents"), shards=8)
 
@@ -47,7 +64,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_simhash, op4_secrets, op5_substring_dedup, op6_quality, op9_sharding, op10_decontamination)}
+    return {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_training_order, op4_secrets, op5_substring_dedup, op6_quality, op7_language_id, op8_packing, op9_sharding, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import small, stored
+from paperloom.llm.common import WHITE, small, stored
 from paperloom.llm.components import components
 
 #: Shards of more fingerprints than this are dealt anew by narrower blocks.
@@ -183,33 +183,141 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, shard_rows
     words than a shingle is one shingle. Rows with a null doc_id are members too, but never name a component unless
     there is no other member (then it is null). Repeated rows stay; an empty table gives no rows.
     """
-    each, classes = _grouped(docs.select("doc_id", "text"), width, radius, shard_rows)
-    return each.join(classes, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_component")
-
-
-def _grouped(docs: DataFrame, width: int, radius: int, shard_rows: int) -> tuple[DataFrame, DataFrame]:
-    """The documents with fp, and (fp, component, component_id, n_component) of every fp."""
-    each = stored(fingerprints(docs, width), "fingerprints")
+    each = stored(fingerprints(docs.select("doc_id", "text"), width), "fingerprints")
     classes = stored(each.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("n")), "classes")
     groups = components(links(classes, radius, shard_rows))
     named = classes.join(groups, classes.fp == groups.node, "left").select("fp", "low", "n", F.coalesce("component", "fp").alias("component"))
     whole = named.groupBy("component").agg(F.min("low").alias("component_id"), F.sum("n").alias("n_component"))
-    return each, stored(named.select("fp", "component").join(whole, "component"), "groups")
+    found = named.select("fp", "component").join(whole, "component").select("fp", "component_id", "n_component")
+    return each.join(found, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "n_component")
+
+
+#: Bits of a wide fingerprint, and shards that a text goes to by its smallest shingles.
+WIDE, KEYS = 1024, 6
+
+
+def sketch(text: bytes, width: int = 5) -> tuple[bytes, list[int]] | None:
+    """The wide SimHash of a text, and the smallest hash of its shingles under each of KEYS hash functions; None without a word."""
+    from xxhash import xxh3_64_intdigest
+
+    words = text.lower().split()
+    if not words:
+        return None
+    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
+    hashes = np.fromiter(map(xxh3_64_intdigest, shingles), np.uint64)
+    ones, keys = np.zeros(WIDE, np.int64), np.full(KEYS, 2**64 - 1, np.uint64)
+    seeds = _mixed(np.arange(1, max(WIDE // 64, KEYS) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    for part in np.array_split(hashes, len(hashes) // 4096 + 1):
+        each = _mixed(part[:, None] ^ seeds)
+        keys = np.minimum(keys, _mixed(each[:, :KEYS]).min(0))
+        bits = np.unpackbits(np.ascontiguousarray(each[:, : WIDE // 64]).view(np.uint8), axis=1)
+        ones += bits.sum(0, dtype=np.uint16)
+    return np.packbits(2 * ones > len(hashes)).tobytes(), keys.view(np.int64).tolist()
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def distance_of(similarity: float) -> float:
+    """The share of bits in which fingerprints of sets of that Jaccard similarity differ: the angle between the sets."""
+    return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
+
+
+def similar(texts: DataFrame, width: int = 5, similarity: float = 0.8, shard_rows: int = SHARD_ROWS) -> DataFrame:
+    """Links (a, b) between the digests of distinct texts(digest, text) that connect those of about that similarity.
+
+    SimHash at that similarity leaves ten of 64 bits different, too many for shards of equal blocks. Therefore the
+    smallest shingle under each of KEYS hash functions deals a text into shards, which misses one pair in 15,000 at
+    0.8, and the BK-tree of a shard finds the pairs within a radius that all but one pair in 5,000 keep; wide
+    fingerprints then tell the similarity within about 0.02. A shard of more than shard_rows is laid out in tiles, of
+    which every two meet, so that none is left out. Texts without a word are left out.
+    """
+    fields = "digest binary, wide binary, keys array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [sketch((x or "").encode(), width) or (None, None) for x in _each(b.column("text"))]
+            wide, keys = zip(*found, strict=True) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["digest", "wide", "keys"])
+
+    each = stored(texts.select("digest", "text").mapInArrow(run, fields).filter("wide is not null"), "sketches")
+    shards = each.select("digest", F.posexplode("keys").alias("k", "key"))
+    counts = stored(shards.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shards")
+    dealt = shards.join(counts, ["k", "key"])
+    tiles = F.ceil(F.col("n") / shard_rows).cast("int")
+    own = F.pmod(F.xxhash64("digest"), tiles).cast("int")
+    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    dealt = dealt.select("digest", F.xxhash64("k", "key", F.least("own", "other"), F.greatest("own", "other")).alias("shard"))
+    dealt = dealt.join(each.select("digest", "wide"), "digest")
+    radius, most = 2 * round(64 * distance_of(similarity)), distance_of(similarity) * WIDE
+    grouped = dealt.repartition("shard").sortWithinPartitions("shard", "digest")
+    return grouped.mapInArrow(_link_similar(radius, most), "a binary, b binary")
+
+
+def _link_similar(radius: int, most: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, rows = None, []
+        for b in batches:
+            out: list[tuple[bytes, bytes]] = []
+            for k, digest, wide in zip(*(b.column(c).to_pylist() for c in ("shard", "digest", "wide")), strict=True):
+                if k != shard:
+                    out += _similar_forest(rows, radius, most)
+                    shard, rows = k, []
+                rows.append((digest, wide))
+            yield _links(out)
+        yield _links(_similar_forest(rows, radius, most))
+
+    return run
+
+
+def _links(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+
+def _similar_forest(rows: list[tuple[bytes, bytes]], radius: int, most: float) -> list[tuple[bytes, bytes]]:
+    tree, by_fp, parent, out = BKTree(radius), {}, {}, []
+
+    def top(x: bytes) -> bytes:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent.setdefault(up, up)
+        return x
+
+    for digest, wide in rows:
+        fp, whole = int.from_bytes(wide[:8], "big"), int.from_bytes(wide, "big")
+        near = tree.add(fp)
+        for other, their in (o for f in ({*near, fp} if near or fp in by_fp else ()) for o in by_fp.get(f, ())):
+            a, b = top(digest), top(other)
+            if a != b and (whole ^ their).bit_count() <= most:
+                parent[a] = b
+                out.append((digest, other))
+        by_fp.setdefault(fp, []).append((digest, whole))
+    return out
 
 
-def without_near_duplicates(docs: DataFrame, width: int = 5, radius: int = 3, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """The rows of docs but for near-duplicates: one row of each group stays, with all its columns.
 
-    That is the row of the smallest doc_id, a null one last, and of rows with the same doc_id the one whose text has
-    the smallest SHA-256; of rows that repeat both, any one. Texts without a word form one group.
+    A group is what links of similar() connect; equal texts are in one, and so are all texts without a word (null,
+    empty or blank). Of a group the row of the smallest doc_id stays, a null one last; of rows with the same doc_id
+    the one whose text has the smallest SHA-256; of rows that repeat both, one.
     """
-    keyed = docs.withColumn("_digest", F.sha2(F.coalesce("text", F.lit("")), 256))
-    each, classes = _grouped(keyed.select("doc_id", "_digest", "text"), width, radius, shard_rows)
-    rank = F.struct(F.col("doc_id").isNull(), "doc_id", "_digest")
-    lead = each.join(classes, "fp").groupBy("component").agg(F.min(rank).alias("lead"), F.count(F.lit(1)).alias("n"))
-    lead = lead.select(F.col("lead.doc_id").alias("_id"), F.col("lead._digest").alias("_lead"), "n")
-    rows = each.groupBy(F.col("doc_id").alias("_id"), F.col("_digest").alias("_lead")).agg(F.count(F.lit(1)).alias("rows"))
-    lead = stored(lead.join(rows, lead._id.eqNullSafe(rows._id) & (lead._lead == rows._lead)).select(lead._id, lead._lead, "rows"), "leads")
+    blank = F.btrim(F.coalesce("text", F.lit("")), F.lit(WHITE)) == ""
+    keyed = docs.withColumn("_digest", F.unhex(F.sha2(F.when(blank, "").otherwise(F.col("text")), 256)))
+    rows = stored(keyed.groupBy("_digest", "doc_id").agg(F.count(F.lit(1)).alias("rows")), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))
+    texts = rows.groupBy("_digest").agg(first.alias("first"))
+    # One row tells each text: sketches are made of one copy only.
+    one = stored(texts.select("_digest", "first.doc_id"), "texts")
+    sample = keyed.join(small(one), keyed._digest.eqNullSafe(one._digest) & keyed.doc_id.eqNullSafe(one.doc_id), "left_semi")
+    links = stored(similar(sample.select(F.col("_digest").alias("digest"), "text"), width, similarity, shard_rows), "links")
+    groups = components(links)
+    named = one.join(groups, one._digest == groups.node, "left").select("_digest", "doc_id", F.coalesce("component", "_digest").alias("component"))
+    lead = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_digest")).alias("lead"))
+    lead = lead.select(F.col("lead.doc_id").alias("_id"), F.col("lead._digest").alias("_lead"))
+    lead = stored(lead.join(rows, lead._id.eqNullSafe(rows.doc_id) & (lead._lead == rows._digest)).select("_id", "_lead", "rows"), "leads")
     here = lambda some: keyed.join(small(some), keyed._digest.eqNullSafe(some._lead) & keyed.doc_id.eqNullSafe(some._id), "left_semi")
     stay, repeated = here(lead), lead.filter("rows > 1")
     if not repeated.isEmpty():
