@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from paperloom.plans import files_and_joins, sources_and_streams, summaries_and_windows, views
+
+_REGISTERING = (files_and_joins, summaries_and_windows, sources_and_streams)
+
 
 def queries() -> dict:
-    return {}
+    return dict(views.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(views.ORACLES)
