@@ -59,7 +59,7 @@ def rate_limit_batch(events: DataFrame, n: int = 5, seconds: float = 1.0) -> Dat
 
 
 def rate_limit(stream: DataFrame, n: int = 5, seconds: float = 1.0) -> DataFrame:
-    """T02 over a stream: the times of a session that passed lately are its state; sessions silent for an hour lose theirs."""
+    """T02 over a stream: the times of a session that passed lately are its state; those of an hour before the watermark lose theirs."""
     window = int(seconds * 1_000_000)
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -70,11 +70,11 @@ def rate_limit(stream: DataFrame, n: int = 5, seconds: float = 1.0) -> DataFrame
         recent = list(state.get[0]) if state.exists else []
         passed, recent = _limited(rows["type"].tolist(), _micros(rows["ts"]), recent, n, window)
         state.update((recent,))
-        state.setTimeoutDuration(3_600_000)
+        state.setTimeoutTimestamp(max(recent, default=0) // 1000 + 3_600_000)
         yield rows.assign(passed=passed)[["session_id", "event_id", "ts", "type", "passed"]]
 
     slim = stream.select(F.col("session_id").cast("string").alias("session_id"), "event_id", "ts", "type")
-    return slim.groupBy("session_id").applyInPandasWithState(step, _LIMITED, "recent array<long>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return slim.groupBy("session_id").applyInPandasWithState(step, _LIMITED, "recent array<long>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def drop_stats(limited: DataFrame) -> DataFrame:
