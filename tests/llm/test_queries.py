@@ -1,0 +1,21 @@
+"""The registered queries give the rows of their SQL, and every document has its row."""
+
+import pytest
+from compare import connection, rows_of_duckdb, rows_of_spark
+from conftest import SF
+
+from paperloom.llm import queries
+
+
+@pytest.fixture(scope="module")
+def con():
+    return connection(SF)
+
+
+@pytest.mark.parametrize("name", list(queries.queries()))
+def test_query(spark, con, name):
+    found = rows_of_spark(queries.queries()[name](spark, SF))
+    if name in queries.oracle_sql():
+        assert found == rows_of_duckdb(con, queries.oracle_sql()[name])
+    else:
+        assert {r[found[0].index("doc_id")] for r in found[1]} == set(float(r[0]) for r in con.execute("SELECT doc_id FROM documents").fetchall())
