@@ -211,3 +211,11 @@ def test_keyword_cascade(spark):
     strong = lambda it: (b[["case_id", "path"]].assign(classe="DVR", confidence=0.95) for b in it)
     out = {r.path: r for r in batching.cascade(df, strong=strong).collect()}
     assert out["a"].classe == "VISURA" and out["b"].confidence == 0.3 and out["d"].classe == "DVR" and out["d"].rescored
+
+
+def test_sql_functions(spark):
+    from paperloom.functions.register import register
+
+    assert "pl_word_count" in register(spark)
+    row = spark.sql("SELECT pl_word_count(' a  b ') AS n, pl_it_date('31/12/2024') AS d, pl_it_date('2024') AS e, pl_pct(1, 0) AS p, pl_file_name('a/b.c') AS f").first()
+    assert (row.n, str(row.d), row.e, row.p, row.f) == (2, "2024-12-31", None, 0.0, "b.c")
