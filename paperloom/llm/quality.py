@@ -14,7 +14,7 @@ RULES = [
     ("few_words", "n_words < 50"),
     ("repeated_words", "100 * n_repeat_words > 50 * n_words"),
     ("symbols", "10 * n_symbols > n_words"),
-    ("repeated_lines", "10 * n_dup_lines > 3 * n_lines"),
+    ("repeated_lines", "n_dup_lines >= 3 and 10 * n_dup_lines > 3 * n_lines"),
     ("word_length", "word_chars < 3 * n_words or word_chars > 10 * n_words"),
     ("bullet_lines", "10 * n_bullet_lines > 9 * n_lines"),
     ("ellipsis_lines", "10 * n_ellipsis_lines > 3 * n_lines"),
