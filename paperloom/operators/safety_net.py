@@ -45,12 +45,13 @@ def volume_cap(df: DataFrame, frac: float = 0.15, min_files: int = 10) -> DataFr
     aggregation that joins back.
     """
     sizes = df.groupBy("case_id").agg(F.count(F.lit(1)).alias("_files"))
-    w = Window.partitionBy("case_id", "_noise").orderBy(F.desc(F.coalesce(F.round("role_conf", 6), F.lit(0.0))), "filename", "path")
-    noise = df.withColumn("_noise", F.col("role") == "NOISE")
-    ranked = noise.filter("_noise").withColumn("_rank", F.row_number().over(w)).unionByName(noise.filter("not _noise or _noise is null").withColumn("_rank", F.lit(0)))
-    out = ranked.join(sizes, ["case_id"])
-    over = (F.col("_files") >= min_files) & (F.col("_rank") > F.floor(F.col("_files") * frac))
-    return out.withColumn("over_cap", over).withColumn("role", F.when(over, "SUPPORT").otherwise(F.col("role"))).drop("_noise", "_rank", "_files")
+    # Rows that are no noise each have a key of their own: nobody needs their rank, and they meet in no task.
+    noise = F.coalesce(F.col("role") == "NOISE", F.lit(False))
+    keyed = df.withColumn("_key", F.when(noise, "").otherwise(F.concat(F.lit("/"), "path")))
+    w = Window.partitionBy("case_id", "_key").orderBy(F.desc(F.coalesce(F.round("role_conf", 6), F.lit(0.0))), "filename", "path")
+    out = keyed.withColumn("_rank", F.row_number().over(w)).join(sizes, "case_id")
+    over = (F.col("_key") == "") & (F.col("_files") >= min_files) & (F.col("_rank") > F.floor(F.col("_files") * frac))
+    return out.withColumn("over_cap", over).withColumn("role", F.when(over, "SUPPORT").otherwise(F.col("role"))).drop("_key", "_rank", "_files")
 
 
 def safety_net(classified: DataFrame, match: Column | None = None) -> DataFrame:
