@@ -146,8 +146,9 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     """
     levels = Levels(window)
     found = stored(_anchors(docs, window), "anchors")
-    level1 = found.join(_repeated(found.select("base"), ["base"]), "base")
-    level1 = stored(level1, "level1")
+    # Keys that repeat are tables of their own: Spark splits a hot key of a join only if both sides come by a shuffle.
+    bases = stored(_repeated(found.select("base"), ["base"]), "bases")
+    level1 = stored(found.join(bases, "base"), "level1")
     sides = level1.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("h")), F.struct(F.lit(1).alias("side"), F.col("after").alias("h")))).alias("x")).select("x.*").filter("h is not null")
     doubled = stored(_repeated(sides, ["side", "h"]), "level2")
     left = doubled.filter("side = 0").select(F.col("h").alias("before"), F.lit(True).alias("left"))
@@ -165,7 +166,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     examples = groups.filter("n > 1").join(open_bases, "base", "left_semi").select("base", "example.*", F.lit(True).alias("settled"))
     asked = stored(single.union(examples).groupBy("id").agg(F.collect_list(F.struct("base", "first", "last", "settled")).alias("asked")), "asked")
     windows = stored(_windows(docs, asked, window), "windows")
-    twice = windows.groupBy("base", "h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("base", "h")
+    twice = stored(_repeated(windows.select("base", "h"), ["base", "h"]), "twice")
     last = windows.filter("not settled").join(twice, ["base", "h"])
     return settled.select("id", "first", "last").union(last.select("id", F.col("at").alias("first"), F.col("at").alias("last")))
 
