@@ -134,7 +134,7 @@ def links(fps: DataFrame, radius: int = 3, shard_rows: int = SHARD_ROWS) -> Data
     while True:
         level = _dealt(level, radius)
         level = stored(level, "shards")
-        counts = level.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        counts = stored(level.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "counts")
         counted = level.join(counts, "shard")
         few = counted.filter(F.col("n") <= shard_rows).select("shard", "fp")
         now = few.repartition("shard").sortWithinPartitions("shard").mapInArrow(_link_shards(radius), "a long, b long")
