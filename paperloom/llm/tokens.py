@@ -19,28 +19,32 @@ class WordTokenizer:
     #: Letters of ASCII and Latin-1, then marks.
     PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.limit, self.known = self.tokenizer.model, limit, _Known(self._ids)
+        self.model, self.limit, self.known, self.pieces = self.tokenizer.model, limit, _Known(self._ids), _Known(self._piece)
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letter = lambda piece: level.pre_tokenize_str(piece)[0][0]
 
+    def _piece(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(self.letter(piece))]).tobytes()
+
     def _ids(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
         m = self.PLAIN.fullmatch(text)
-        if m and is_normalized("NFC", text):
-            ids = [t.id for piece in m.groups() if piece for t in self.model.tokenize(self.letter(piece.lower()))]
-        else:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return array("I", ids).tobytes()
+        if m and (text.isascii() or is_normalized("NFC", text)):
+            # Spellings that differ in case or marks share what the model says of the letters.
+            ids = self.pieces[m[1].lower()]
+            return ids + self.pieces[m[2]] if m[2] else ids
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def ids(self, text: bytes) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        if len(self.known) > self.limit:
+        if len(self.known) + len(self.pieces) > self.limit:
             self.known.clear()
+            self.pieces.clear()
         return b"".join(map(self.known.__getitem__, text.split()))
 
 
