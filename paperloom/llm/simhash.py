@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,17 +194,23 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, shard_rows
 
 #: Bits of a wide fingerprint, and shards that a text goes to by its smallest shingles.
 WIDE, KEYS = 1024, 6
+#: Bytes of text from which a group is laid out in tiles.
+TILE_BYTES = 32_000_000
 
 
-def sketch(text: bytes, width: int = 5) -> tuple[bytes, list[int]] | None:
-    """The wide SimHash of a text, and the smallest hash of its shingles under each of KEYS hash functions; None without a word."""
+def shingles(text: bytes, width: int = 5) -> np.ndarray | None:
+    """The distinct hashes of a text's shingles of words, in order; None without a word."""
     from xxhash import xxh3_64_intdigest
 
     words = text.lower().split()
     if not words:
         return None
-    shingles = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-    hashes = np.fromiter(map(xxh3_64_intdigest, shingles), np.uint64)
+    each = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxh3_64_intdigest, each), np.uint64))
+
+
+def sketch(hashes: np.ndarray) -> tuple[bytes, list[int]]:
+    """The wide SimHash of a set of shingles, and the smallest hash under each of KEYS hash functions."""
     ones, keys = np.zeros(WIDE, np.int64), np.full(KEYS, 2**64 - 1, np.uint64)
     seeds = _mixed(np.arange(1, max(WIDE // 64, KEYS) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     for part in np.array_split(hashes, len(hashes) // 4096 + 1):
@@ -226,49 +232,103 @@ def distance_of(similarity: float) -> float:
     return float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)
 
 
+def loose_bits(similarity: float) -> float:
+    """Bits of a wide fingerprint in which a pair of that similarity differs at most: the mean and four deviations.
+
+    The mean is the angle's for sets that differ by many shingles, and up to sqrt(pi / 2) of it for one shingle.
+    """
+    mean = min(0.5, np.sqrt(np.pi / 2) * distance_of(similarity))
+    return float(mean * WIDE + 4 * np.sqrt(WIDE * mean * (1 - mean)))
+
+
 def similar(texts: DataFrame, width: int = 5, similarity: float = 0.8, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """Links (a, b) between the digests of distinct texts(digest, text) that connect those of about that similarity.
+    """Links (a, b) between the digests of distinct texts(digest, text) that connect those of that Jaccard similarity.
 
-    SimHash at that similarity leaves ten of 64 bits different, too many for shards of equal blocks. Therefore the
-    smallest shingle under each of KEYS hash functions deals a text into shards, which misses one pair in 15,000 at
-    0.8, and the BK-tree of a shard finds the pairs within a radius that all but one pair in 5,000 keep; wide
-    fingerprints then tell the similarity within about 0.02. A shard of more than shard_rows is laid out in tiles, of
-    which every two meet, so that none is left out. Texts without a word are left out.
+    The similarity is that of the sets of shingles. The smallest shingle under each of KEYS hash functions deals a text
+    into shards, which misses one pair in 15,000 at 0.8, and wide fingerprints link the pairs of a shard that may be
+    similar. The groups of these loose links come together with their texts, and only pairs whose shingles reach the
+    similarity are linked. A shard or group of more than shard_rows, or a group of more than TILE_BYTES, is laid out in
+    tiles, of which every two meet, so that none is left out. Texts without a word are left out.
     """
-    fields = "digest binary, wide binary, keys array<long>"
+    fields = "digest binary, wide binary, keys array<long>, size long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sketch((x or "").encode(), width) or (None, None) for x in _each(b.column("text"))]
-            wide, keys = zip(*found, strict=True) if found else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["digest", "wide", "keys"])
+            sizes, wide, keys = [], [], []
+            for x in _each(b.column("text")):
+                text = (x or "").encode()
+                hashes = shingles(text, width)
+                w, k = (None, None) if hashes is None else sketch(hashes)
+                sizes.append(len(text))
+                wide.append(w)
+                keys.append(k)
+            yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["digest", "wide", "keys", "size"])
 
     each = stored(texts.select("digest", "text").mapInArrow(run, fields).filter("wide is not null"), "sketches")
     shards = each.select("digest", F.posexplode("keys").alias("k", "key"))
     counts = stored(shards.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shards")
-    dealt = shards.join(counts, ["k", "key"])
-    tiles = F.ceil(F.col("n") / shard_rows).cast("int")
-    own = F.pmod(F.xxhash64("digest"), tiles).cast("int")
-    dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    dealt = dealt.select("digest", F.xxhash64("k", "key", F.least("own", "other"), F.greatest("own", "other")).alias("shard"))
+    dealt = _tiled(shards.join(counts, ["k", "key"]), ["k", "key"], F.ceil(F.col("n") / shard_rows))
     dealt = dealt.join(each.select("digest", "wide"), "digest")
-    radius, most = 2 * round(64 * distance_of(similarity)), distance_of(similarity) * WIDE
-    grouped = dealt.repartition("shard").sortWithinPartitions("shard", "digest")
-    return grouped.mapInArrow(_link_similar(radius, most), "a binary, b binary")
+    grouped = dealt.repartition("shard").sortWithinPartitions("shard", "digest").select("shard", "digest", "wide")
+    most = loose_bits(similarity)
+    loose = stored(grouped.mapInArrow(_link_shards_loosely(most), "a binary, b binary"), "loose")
+    groups = components(loose).withColumnRenamed("node", "digest")
+    members = stored(groups.join(each.select("digest", "size"), "digest"), "members")
+    counts = stored(members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")), "groups")
+    tiles = F.greatest(F.ceil(F.col("n") / shard_rows), F.ceil(F.col("bytes") / TILE_BYTES))
+    marked = stored(_tiled(members.join(counts, "component"), ["component"], tiles), "marked")
+    grouped = texts.select("digest", "text").join(small(marked), "digest").repartition("shard").sortWithinPartitions("shard", "digest").select("shard", "digest", "text")
+    return grouped.mapInArrow(_link_groups(width, similarity, most), "a binary, b binary")
+
+
+def _tiled(rows: DataFrame, keys: list[str], tiles: Column) -> DataFrame:
+    """Each row's digest once for each shard that it goes to: one for each two tiles of its key that include its own."""
+    tiles = tiles.cast("int")
+    own = F.pmod(F.xxhash64("digest"), tiles).cast("int")
+    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    return dealt.select("digest", F.xxhash64(*keys, F.least("own", "other"), F.greatest("own", "other")).alias("shard"))
+
+
+def _link_shards_loosely(most: float):
+    def links(digests: list[bytes], wides: list[bytes]) -> list[tuple[bytes, bytes]]:
+        return [(digests[i], digests[j]) for i, j in _joined(wides, most)]
+
+    return _by_shard("wide", links)
+
 
+def _link_groups(width: int, similarity: float, most: float):
+    """Links of the pairs of a group whose distinct shingles have the similarity."""
+
+    def links(digests: list[bytes], texts: list[str]) -> list[tuple[bytes, bytes]]:
+        sets = [shingles(x.encode(), width) for x in texts]
+
+        def alike(i: int, j: int) -> bool:
+            a, b = sets[i], sets[j]
+            if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+                return False
+            common = len(np.intersect1d(a, b, assume_unique=True))
+            return common >= similarity * (len(a) + len(b) - common) - 1e-9
+
+        return [(digests[i], digests[j]) for i, j in _joined([sketch(x)[0] for x in sets], most, alike)]
+
+    return _by_shard("text", links)
+
+
+def _by_shard(column: str, links):
+    """Hand the digests and the column of each shard, whose rows follow each other, to links."""
 
-def _link_similar(radius: int, most: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, rows = None, []
+        shard, digests, values = None, [], []
         for b in batches:
             out: list[tuple[bytes, bytes]] = []
-            for k, digest, wide in zip(*(b.column(c).to_pylist() for c in ("shard", "digest", "wide")), strict=True):
+            for k, digest, value in zip(b.column("shard").to_pylist(), b.column("digest").to_pylist(), _each(b.column(column)), strict=True):
                 if k != shard:
-                    out += _similar_forest(rows, radius, most)
-                    shard, rows = k, []
-                rows.append((digest, wide))
+                    out += links(digests, values) if len(digests) > 1 else []
+                    shard, digests, values = k, [], []
+                digests.append(digest)
+                values.append(value)
             yield _links(out)
-        yield _links(_similar_forest(rows, radius, most))
+        yield _links(links(digests, values) if len(digests) > 1 else [])
 
     return run
 
@@ -277,23 +337,23 @@ def _links(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["a", "b"])
 
 
-def _similar_forest(rows: list[tuple[bytes, bytes]], radius: int, most: float) -> list[tuple[bytes, bytes]]:
-    tree, by_fp, parent, out = BKTree(radius), {}, {}, []
+def _joined(wides: list[bytes], most: float, alike=None) -> list[tuple[int, int]]:
+    """Links (place, place) that join what pairs within most bits join, of which alike, where given, holds as well.
 
-    def top(x: bytes) -> bytes:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = x = parent.setdefault(up, up)
-        return x
-
-    for digest, wide in rows:
-        fp, whole = int.from_bytes(wide[:8], "big"), int.from_bytes(wide, "big")
-        near = tree.add(fp)
-        for other, their in (o for f in ({*near, fp} if near or fp in by_fp else ()) for o in by_fp.get(f, ())):
-            a, b = top(digest), top(other)
-            if a != b and (whole ^ their).bit_count() <= most:
-                parent[a] = b
-                out.append((digest, other))
-        by_fp.setdefault(fp, []).append((digest, whole))
+    Pairs of one group need no look; a pair that is not alike joins nothing.
+    """
+    bits = np.frombuffer(b"".join(wides), np.uint64).reshape(len(wides), -1)
+    group, out = np.arange(len(wides)), []
+    for i in range(1, len(wides)):
+        near = np.nonzero(np.bitwise_count(bits[:i] ^ bits[i]).sum(1, dtype=np.int64) <= most)[0]
+        while len(near):
+            j = near[-1]
+            if alike is None or alike(i, j):
+                out.append((i, j))
+                group[: i + 1][group[: i + 1] == group[j]] = group[i]
+                near = near[group[near] != group[i]]
+            else:
+                near = near[:-1]
     return out
 
 

@@ -130,6 +130,31 @@ def test_near_duplicates_of_the_pipeline(spark):
     assert simhash.without_near_duplicates(df.limit(0)).count() == 0
 
 
+def test_similarity_of_the_pipeline_is_exact(spark):
+    """Pairs planted from 0.75 to 0.90, short texts and texts of many repeats stay or go as brute force says."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    rows = []
+    for similarity in (0.75, 0.78, 0.79, 0.80, 0.81, 0.82, 0.83, 0.84, 0.85, 0.90):
+        for _ in range(8):
+            base, shared = [word() for _ in range(904)], round(900 * 2 * similarity / (1 + similarity)) + 4
+            rows += [" ".join(base), " ".join(base[:shared] + [word() for _ in range(904 - shared)])]
+    for _ in range(20):
+        base = [word() for _ in range(8)]
+        rows += [" ".join(base), " ".join([*base, "x"]), " ".join([*base[:-1], "y"])]
+        rest = [word() for _ in range(30)]
+        rows += [" ".join(rest + base * n) for n in (1, 2, 200)]
+    sets = []
+    for t in rows:
+        w = t.split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))})
+    pairs = [(a, b) for b in range(len(sets)) for a in range(max(0, b - 6), b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    want = sorted(set(_groups(pairs, range(len(rows))).values()))
+    df = _docs(spark, list(enumerate(rows)))
+    assert sorted(r.doc_id for r in simhash.without_near_duplicates(df).collect()) == want
+    assert sorted(r.doc_id for r in simhash.without_near_duplicates(df, shard_rows=2).collect()) == want
+
+
 @pytest.mark.parametrize("window", [35, 20, 3, 1])
 def test_substring_dedup(spark, window):
     rng = random.Random(window)
