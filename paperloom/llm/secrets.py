@@ -24,7 +24,8 @@ ALLOWED = [
     "(?i)example|sample|placeholder|dummy|changeme|your[_-]",
     r"^(.)\1+$",
     r"^(?:[A-Za-z]+[/_=-])+[A-Za-z]*[0-9]{0,4}$",
-    "^/|//",
+    # Two segments of a path at least: words, or short parts in lower case.
+    r"^/{0,2}(?:SEGMENT/{1,2})+(?:SEGMENT)?/?$".replace("SEGMENT", r"(?:[A-Z]?[a-z]+(?:[_-][A-Z]?[a-z]+)*[_-]?[0-9]{0,4}|[a-z0-9]{1,4}|[0-9]{1,8})"),
     "^[0-9]{4}-[0-9]{2}-[0-9]{2}",
     "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
     "(?i)0123456789|abcdefgh|987654321",
@@ -87,7 +88,7 @@ def window_entropy(text: Column, alphabet: str, window: int = WINDOW) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, lambda a: a["best"])
 
 
-def _suspicious(match: Column, _: Column, window: int) -> Column:
+def _suspicious(match: Column, window: int) -> Column:
     allowed = match.rlike(ALLOWED[0])
     for p in ALLOWED[1:]:
         allowed = allowed | match.rlike(p)
@@ -100,17 +101,40 @@ def _suspicious(match: Column, _: Column, window: int) -> Column:
 def spans(text: Column, window: int = WINDOW) -> Column:
     """array<struct(start, number, end, kind, match)> of all secrets of a text, by start and then kind.
 
-    Kinds: those of BASE, and entropy for candidate strings outside their spans with a window of high entropy. A
-    candidate that matches an entry of ALLOWED is none; base matches stay whatever they look like.
+    Kinds: those of BASE, and entropy for candidate strings with a window of high entropy. Of a candidate that overlaps
+    their spans each stretch outside is a candidate. One that matches an entry of ALLOWED is none; base matches stay
+    whatever they look like.
     """
     base = F.concat(*(_spans(text, kind, pattern, lambda _, group, n=least: F.length(group) >= n) for kind, pattern, _, least in BASE))
-    more = _spans(text, "entropy", CANDIDATE % window, lambda match, group: _suspicious(match, group, window))
+    more = _spans(text, "entropy", CANDIDATE % window, lambda match, group: F.lit(True))
 
     def merged(b: Column) -> Column:
-        outside = F.filter(more, lambda m: ~F.exists(b, lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"])))
-        return F.sort_array(F.concat(b, outside))
+        outside = F.flatten(F.transform(more, lambda m: _outside(m, b)))
+        secret = F.filter(outside, lambda m: (F.length(m["match"]) >= window) & m["match"].rlike("[0-9]") & m["match"].rlike("[A-Za-z]") & _suspicious(m["match"], window))
+        return F.sort_array(F.concat(b, secret))
 
-    return F.transform(F.array(base), merged)[0]
+    # Spans are sorted once, so that the rest of a candidate follows from one pass.
+    return F.transform(F.array(F.sort_array(base)), merged)[0]
+
+
+def _outside(m: Column, spans: Column) -> Column:
+    """The stretches of the span m that lie outside spans, which are sorted; m itself if none overlaps it."""
+
+    def stretch(start: Column, end: Column) -> Column:
+        match = F.substring(m["match"], start - m["start"] + 1, end - start)
+        return F.array(F.struct(start.alias("start"), m["number"].alias("number"), end.alias("end"), m["kind"].alias("kind"), match.alias("match")))
+
+    def step(a: Column, x: Column) -> Column:
+        out = F.when(x["start"] > a["at"], F.concat(a["out"], stretch(a["at"], x["start"]))).otherwise(a["out"])
+        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), out.alias("out"))
+
+    def rest(a: Column) -> Column:
+        return F.when(a["at"] < m["end"], F.concat(a["out"], stretch(a["at"], m["end"]))).otherwise(a["out"])
+
+    near = F.filter(spans, lambda x: (x["start"] < m["end"]) & (m["start"] < x["end"]))
+    none = F.array().cast("array<struct<start:int,number:int,end:int,kind:string,match:string>>")
+    cut = F.aggregate(near, F.struct(m["start"].alias("at"), none.alias("out")), step, rest)
+    return F.when(F.size(near) == 0, F.array(m)).otherwise(cut)
 
 
 def _listed(found: Column) -> Column:
