@@ -2,59 +2,128 @@
 
 from __future__ import annotations
 
+import json
 import re
-from array import array
+from collections.abc import Iterator
 from functools import cache
-from unicodedata import is_normalized
+from itertools import repeat
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-class WordTokenizer:
-    """The ids of a tokenizer that never joins text over white space, by a bounded memory of words.
 
-    The texts are cut at ASCII white space, at which such a tokenizer (word_bpe_49k.json) cuts as well, so that the
-    ids of the words one after another are the ids of the text. A word of Latin letters and closing marks goes
-    straight to the tokenizer's model, every other one through the whole tokenizer.
-    """
+class Pieces:
+    """Strings by number, each with its token ids; ids of many are gathered at once."""
 
-    #: Letters of ASCII and Latin-1, then marks.
-    PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]*)")
+    def __init__(self, kind: np.dtype):
+        self.number: dict[str, int] = {}
+        self.ids, self.starts, self.sizes = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def __init__(self, path: str, limit: int = 1_000_000):
-        from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+    def add(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.number.update(zip(names, range(len(self.number), len(self.number) + len(names)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.model, self.limit, self.known, self.pieces = self.tokenizer.model, limit, _Known(self._ids), _Known(self._piece)
-        level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letter = lambda piece: level.pre_tokenize_str(piece)[0][0]
+    def numbers(self, names: list[str]) -> np.ndarray:
+        """The number of each string, -1 for an unknown one."""
+        return np.fromiter(map(self.number.get, names, repeat(-1)), np.int64, len(names))
 
-    def _piece(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(self.letter(piece))]).tobytes()
+    def gather(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the strings one after another, and where each one's begin and the last one's end."""
+        sizes = self.sizes[numbers]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[numbers] - ends + sizes, sizes)
+        at += np.arange(len(at))
+        return self.ids[at], np.concatenate([[0], ends])
 
-    def _ids(self, word: bytes) -> bytes:
-        text = word.decode("utf-8", "replace")
-        m = self.PLAIN.fullmatch(text)
-        if m and (text.isascii() or is_normalized("NFC", text)):
-            # Spellings that differ in case or marks share what the model says of the letters.
-            ids = self.pieces[m[1].lower()]
-            return ids + self.pieces[m[2]] if m[2] else ids
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def ids(self, text: bytes) -> bytes:
-        """The ids as little-endian unsigned 32-bit numbers."""
-        if len(self.known) + len(self.pieces) > self.limit:
-            self.known.clear()
-            self.pieces.clear()
-        return b"".join(map(self.known.__getitem__, text.split()))
+class WordTokenizer:
+    """The ids of a tokenizer that never joins text over white space, by a bounded memory of words.
 
+    The texts are cut at ASCII white space, at which such a tokenizer (word_bpe_49k.json) cuts as well, so that the
+    ids of the words one after another are the ids of the text. The new words of a batch that have only ASCII and
+    Latin-1 letters and marks are cut into the tokenizer's own pieces, and all new pieces go to its model at once; any
+    other word goes through the whole tokenizer.
+    """
 
-class _Known(dict):
-    def __init__(self, make):
-        self.make = make
+    #: Words that PIECES cuts as the tokenizer does; special tokens are not among them.
+    PLAIN = re.compile("(?!.*<[|])[!-~À-ÖØ-öø-ÿ]+")
+    #: The tokenizer's pieces of such a word in lower case.
+    PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
-    def __missing__(self, word):
-        self[word] = found = self.make(word)
-        return found
+    def __init__(self, path: str, limit: int = 1_000_000):
+        from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
+
+        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        # The model alone: pieces come in lower case, their bytes as the letters that stand for them, each but once.
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self.model = Tokenizer(BPE(model["vocab"], merges, cache_capacity=0, end_of_word_suffix=model["end_of_word_suffix"]))
+        self.model.pre_tokenizer = WhitespaceSplit()
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {c: level.pre_tokenize_str(chr(c))[0][0] for c in range(0xC0, 0x100)}
+        vocabulary = self.tokenizer.get_vocab()
+        size = max(vocabulary.values()) + 1
+        self.type = np.dtype("<u2" if size <= 1 << 16 else "<u4")
+        self.closes = np.zeros(size, bool)
+        self.closes[[i for t, i in vocabulary.items() if t.endswith(model["end_of_word_suffix"])]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.words, self.pieces = Pieces(self.type), Pieces(self.type)
+        self.pieces.add([""], np.zeros(0, self.type), np.zeros(1, np.int64))
+
+    def _learn(self, fresh: list[str]) -> None:
+        flat, counts, whole = [], [], []
+        for word in fresh:
+            if word.isascii() and word.isalpha():
+                flat.append(word.lower())
+                counts.append(1)
+            elif self.PLAIN.fullmatch(word):
+                pieces = self.PIECES.findall(word.lower())
+                flat += pieces
+                counts.append(len(pieces))
+            else:
+                # Under a name that no piece has.
+                flat.append("\n" + word if word else "")
+                counts.append(1)
+                whole += [word] if word else []
+        if whole:
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
+            self.pieces.add(["\n" + w for w in whole], np.array([i for x in ids for i in x], self.type), np.array([len(x) for x in ids], np.int64))
+        new = list(set(flat).difference(self.pieces.number))
+        for i in range(0, len(new), 1000):
+            some = new[i : i + 1000]
+            ids = np.array(self.model.encode_batch_fast([" ".join(x if x.isascii() else x.translate(self.letters) for x in some)], add_special_tokens=False)[0].ids, self.type)
+            # The last token of each piece, and no other one, closes a word.
+            self.pieces.add(some, ids, np.diff(np.nonzero(self.closes[ids])[0], prepend=-1))
+        ids, starts = self.pieces.gather(self.pieces.numbers(flat))
+        self.words.add(fresh, ids, np.diff(starts[np.concatenate([[0], np.cumsum(counts)])]))
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after another, and where each text's begin and the last one's end."""
+        if len(self.words.number) + len(self.pieces.number) > self.limit:
+            self._forget()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        words = split.flatten().dictionary_encode()
+        numbers = np.zeros(0, np.int64)
+        if n := len(words.dictionary):
+            # Words have no line ends: one long string gives them to Python at once.
+            names = pc.binary_join(pa.ListArray.from_arrays([0, n], words.dictionary), "\n")[0].as_py().split("\n")
+            numbers = self.words.numbers(names)
+            fresh = np.nonzero(numbers < 0)[0].tolist()
+            # A very long text is learned in parts, to bound the lists.
+            for i in range(0, len(fresh), 100_000):
+                self._learn([names[k] for k in fresh[i : i + 100_000]])
+            numbers[fresh] = np.arange(len(self.words.number) - len(fresh), len(self.words.number))
+            numbers = numbers[words.indices.to_numpy()]
+        ids, starts = self.words.gather(numbers)
+        bounds = split.offsets.to_numpy()
+        return ids, starts[bounds - bounds[0]]
 
 
 @cache
@@ -67,3 +136,17 @@ def default_path() -> str:
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
+
+
+def ended_ids(texts: pa.Array, path: str | None, end_id: int, size: int = 8_000_000) -> Iterator[np.ndarray]:
+    """The ids and end_id of each text of a batch; texts of about so many bytes are looked at together."""
+    tok = tokenizer(path or default_path())
+    end = np.array([end_id], tok.type if end_id < 1 << 16 else "<u4")
+    first, total = 0, 0
+    for i, n in enumerate([*pc.fill_null(pc.binary_length(texts), 0).to_pylist(), size]):
+        if total + n > size and i > first or i == len(texts):
+            ids, starts = tok.ids(texts.slice(first, i - first))
+            for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
+                yield np.concatenate([ids[a:b], end])
+            first, total = i, 0
+        total += n

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from paperloom.llm.common import stored
 from paperloom.llm.packing import packed, unpacked
-from paperloom.llm.tokens import default_path, tokenizer
+from paperloom.llm.tokens import ended_ids
 
 
 class Feistel:
@@ -67,11 +67,9 @@ def sequences(docs: DataFrame, window: int, path: str | None, end_id: int) -> Da
     kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, end = tokenizer(path or default_path()), np.array([end_id], "<u4").tobytes()
         for b in batches:
             source, start, length, ids, size = [], [], [], [], 0
-            for i, text in enumerate(b.column("text")):
-                whole = np.frombuffer(tok.ids((text.as_py() or "").encode()) + end, "<u4")
+            for i, whole in enumerate(ended_ids(b.column("text"), path, end_id)):
                 for s in range(0, len(whole), window):
                     part = whole[s : s + window]
                     source.append(i)
@@ -120,8 +118,10 @@ def materialise(docs: DataFrame, key: int, window: int = 2048, per_shard: int =
 
     shards = -(-n // per_shard) or 1
     slots = each.select("index", "doc_id", "start", "length", "ids").mapInArrow(placed, fields).withColumn("shard", F.expr(f"slot div {per_shard}"))
-    # A range of slots for each shard, by number; several shards share a task only if there are very many.
-    slots = slots.repartitionByRange(min(shards, 100_000), "shard").sortWithinPartitions("slot")
+    # A range of slots for each shard, by number: the range is known, so that nothing needs sampling. Several shards
+    # share a task only if there are very many.
+    tasks = min(shards, 100_000)
+    slots = slots.repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {shards} as int)")).sortWithinPartitions("slot")
 
     out = T.StructType([T.StructField("slot", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("at", T.LongType()), T.StructField("doc_id", kind), T.StructField("start", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("ids_crc32", T.LongType()), T.StructField("record", T.BinaryType())])
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

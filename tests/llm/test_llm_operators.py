@@ -7,10 +7,12 @@ from hashlib import sha256
 from math import log2
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from paperloom.llm import components, decontamination, language_id, packing, quality, secrets, sharding, simhash, substring_dedup, tokens, training_order, url_filters
 
@@ -198,9 +200,16 @@ def test_training_order(spark):
     rows = training_order.materialise(docs, 5, 64, 16).collect()
     again = training_order.materialise(docs.repartition(7), 5, 64, 16).collect()
     assert [bytes(r.record) for r in rows] == [bytes(r.record) for r in again] and [r.slot for r in rows] == list(range(len(rows)))
-    tok = tokens.tokenizer(tokens.default_path())
-    pieces = sorted((r.doc_id is not None, r.doc_id, r.start, bytes(r.record)[: 4 * r.length]) for r in rows if r.doc_id == 5)
-    assert b"".join(p[3] for p in pieces) == tok.ids(ODD[6][1].encode()) + np.array([1], "<u4").tobytes()
+    # By hand: the sequences in order of doc_id (null first), hash of text and start, each at the slot of its number.
+    texts = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), "text").collect()
+    cut = []
+    for r in sorted(texts, key=lambda r: (r.doc_id is not None, r.doc_id or 0, r.h)):
+        ids = _ids(r.text)
+        cut += [(r.doc_id, s, ids[s : s + 64]) for s in range(0, len(ids), 64)]
+    slots = training_order.Feistel(len(cut), 5).slots(np.arange(len(cut))).tolist()
+    want = {s: (d, start, len(x), zlib.crc32(np.array(x, "<u4").tobytes()), np.array(x + [0] * (64 - len(x)), "<u4").tobytes()) for s, (d, start, x) in zip(slots, cut)}
+    assert {r.slot: (r.doc_id, r.start, r.length, r.ids_crc32, bytes(r.record)) for r in rows} == want
+    assert all((r.shard, r.at) == divmod(r.slot, 16) for r in rows)
 
 
 def test_shards_on_disk(spark, tmp_path):
@@ -211,27 +220,56 @@ def test_shards_on_disk(spark, tmp_path):
     assert [x.tobytes() for x in training_order.read_shard(spark, str(tmp_path / "s"), 1, 64, 3)] == [bytes(r.record) for r in rows[3:]]
 
 
+def _ids(text: str | None) -> list[int]:
+    return [*tokens.tokenizer(tokens.default_path()).tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+
+
+def test_repeats_and_greedy():
+    """Combinations fill the window and take no more than there is; what the greedy filling leaves fills none."""
+    rng = np.random.default_rng(3)
+    # A histogram that some combinations use up exactly.
+    made = [(20, 12, 0), (16, 16, 0), (32, 0, 0), (25, 4, 3), (11, 11, 10), (19, 9, 4), (30, 1, 1)]
+    histogram = sum(n * np.bincount(c, minlength=33) for c, n in zip(made, rng.integers(30, 90, len(made)).tolist()))
+    histogram[0] = 0
+    combos = packing.combinations(32, np.nonzero(histogram)[0])
+    assert (combos.sum(1) == 32).all() and len({tuple(sorted(c)) for c in combos.tolist()}) == len(combos)
+    brute = {tuple(sorted((a, b, 32 - a - b))) for a in range(33) for b in range(33 - a)}
+    assert {tuple(sorted(c)) for c in combos.tolist()} == {c for c in brute if all(i == 0 or histogram[i] for i in c)}
+    times = packing.repeats(histogram, combos)
+    used = np.bincount(np.repeat(combos, times, axis=0).ravel(), minlength=33)
+    assert (used[1:] <= histogram[1:]).all() and used[1:] @ np.arange(1, 33) > 0.9 * (histogram @ np.arange(33))
+    left = histogram.tolist()
+    found = packing.greedy(32, left)
+    assert all(sum(c) == 32 for c, _ in found) and (np.array(left) + sum(n * np.bincount(c, minlength=33) for c, n in found) == histogram).all()
+
+
 def test_word_tokenizer(spark):
     whole = tokens.WordTokenizer(tokens.default_path(), limit=50)
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(60).collect()]
     texts += ["Don't  STOP now… İstanbul Σίσυφος ΟΔΟΣ é 12x3!? <|endoftext|>a", "", "  \x1cx"]
-    for t in texts:
-        assert whole.ids(t.encode()) == np.array(whole.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    texts += ["it's I'LL we've 'd ''s l'été ÀÉÎ x<|startoftext|> <| a_b-c.d...e £5 naïve e\u0301 ß ÿ Ÿ 日本語 ٣ \u00a0z", None]
+    want = [whole.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for some in (texts, texts[::-1]):
+        ids, starts = whole.ids(pa.array(some))
+        found = [ids[a:b].tolist() for a, b in zip(starts, starts[1:])]
+        assert found == (want if some is texts else want[::-1])
+    assert [x.tolist() for x in tokens.ended_ids(pa.array(texts), None, 70_000, 100)] == [[*x, 70_000] for x in want]
+    assert list(tokens.ended_ids(pa.array([], pa.string()), None, 1)) == []
 
 
 def test_packing(spark):
     rng = random.Random(4)
     docs = _docs(spark, [*ODD, *((100 + i, " ".join(rng.choice(["ab", "the", "zq9"]) for _ in range(rng.randint(0, 900)))) for i in range(150))])
     out = packing.pack(docs.repartition(3), 256).collect()
-    tok, end = tokens.tokenizer(tokens.default_path()), np.array([1], "<u4").tobytes()
-    want = Counter(tok.ids((r.text or "").encode()) + end for r in docs.collect())
+    coded = lambda text: np.array(_ids(text), "<u4").tobytes()
+    want = Counter(coded(r.text) for r in docs.collect())
     rows, sequences = defaultdict(list), defaultdict(list)
     for r in out:
         assert zlib.crc32(bytes(r.ids)) == r.ids_crc32 and len(r.ids) == 4 * r.length
         sequences[r.sequence_id].append((r.offset, r.length))
         rows[r.doc_id].append(r)
     unique = {d: b"".join(bytes(x.ids) for x in sorted(p, key=lambda x: x.start)) for d, p in rows.items() if d != 4}
-    assert Counter(unique.values()) + Counter({tok.ids(b"one two") + end: 2}) == want
+    assert Counter(unique.values()) + Counter({coded("one two"): 2}) == want
     assert sorted(sequences) == list(range(len(sequences)))
     for parts in sequences.values():
         at = 0
@@ -268,8 +306,6 @@ def test_secrets_with_slashes(spark):
 
 
 def test_window_entropy(spark):
-    from pyspark.sql import functions as F
-
     s = "aAbBcC0123456789aaaaaZZtop"
     got = spark.range(1).select(secrets.window_entropy(F.lit(s), secrets.CLASSES[1][2], 8).alias("h")).first().h
     want = max(-sum(n / 8 * log2(n / 8) for n in Counter(s[i : i + 8]).values()) for i in range(len(s) - 7))
