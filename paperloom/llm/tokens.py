@@ -43,10 +43,13 @@ class WordTokenizer:
 
     The texts are cut at ASCII white space, at which such a tokenizer (word_bpe_49k.json) cuts as well, so that the
     ids of the words one after another are the ids of the text. The new words of a batch that have only ASCII and
-    Latin-1 letters and marks are cut into the tokenizer's own pieces, and all new pieces go to its model at once; any
+    Latin-1 letters and marks are cut into the tokenizer's own pieces, and the new pieces go to its model together; any
     other word goes through the whole tokenizer.
     """
 
+    #: Words of two pieces, letters and then marks or none.
+    MARKS = ".,;:!?"
+    LETTERS = f"^[A-Za-zÀ-ÖØ-öø-ÿ]+[{MARKS}]*$"
     #: Words that PIECES cuts as the tokenizer does; special tokens are not among them.
     PLAIN = re.compile("(?!.*<[|])[!-~À-ÖØ-öø-ÿ]+")
     #: The tokenizer's pieces of such a word in lower case.
@@ -78,12 +81,21 @@ class WordTokenizer:
         self.pieces.add([""], np.zeros(0, self.type), np.zeros(1, np.int64))
 
     def _learn(self, fresh: list[str]) -> None:
+        """Give each word its ids: of the model's pieces where its cuts are known, else of the whole tokenizer."""
+        words = pa.array(fresh, pa.string())
+        plain = pc.match_substring_regex(words, self.LETTERS).to_numpy(zero_copy_only=False)
+        low = pc.utf8_lower(words.filter(pa.array(plain)))
+        letters = pc.utf8_rtrim(low, self.MARKS)
+        marks = (pc.utf8_length(low).to_numpy() - pc.utf8_length(letters).to_numpy()).tolist()
+        letters = letters.dictionary_encode()
+        first = self._numbers(_strings(letters.dictionary))[letters.indices.to_numpy()]
+        second = self._numbers([w[-k:] if k else "" for w, k in zip([fresh[i] for i in np.nonzero(plain)[0].tolist()], marks, strict=True)])
+        ids, starts = self.pieces.gather(np.stack([first, second], 1).ravel())
+        self.words.add([fresh[i] for i in np.nonzero(plain)[0].tolist()], ids, np.diff(starts[::2]))
         flat, counts, whole = [], [], []
-        for word in fresh:
-            if word.isascii() and word.isalpha():
-                flat.append(word.lower())
-                counts.append(1)
-            elif self.PLAIN.fullmatch(word):
+        other = [fresh[i] for i in np.nonzero(~plain)[0].tolist()]
+        for word in other:
+            if self.PLAIN.fullmatch(word):
                 pieces = self.PIECES.findall(word.lower())
                 flat += pieces
                 counts.append(len(pieces))
@@ -95,14 +107,22 @@ class WordTokenizer:
         if whole:
             ids = [x.ids for x in self.tokenizer.encode_batch_fast(whole, add_special_tokens=False)]
             self.pieces.add(["\n" + w for w in whole], np.array([i for x in ids for i in x], self.type), np.array([len(x) for x in ids], np.int64))
-        new = list(set(flat).difference(self.pieces.number))
-        for i in range(0, len(new), 1000):
-            some = new[i : i + 1000]
-            ids = np.array(self.model.encode_batch_fast([" ".join(x if x.isascii() else x.translate(self.letters) for x in some)], add_special_tokens=False)[0].ids, self.type)
+        ids, starts = self.pieces.gather(self._numbers(flat))
+        self.words.add(other, ids, np.diff(starts[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]))
+
+    def _numbers(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of pieces; new ones go to the model first."""
+        numbers = self.pieces.numbers(pieces)
+        unknown = np.nonzero(numbers < 0)[0].tolist()
+        new = list(dict.fromkeys([pieces[i] for i in unknown]))
+        if new:
+            coded = [x if x.isascii() else x.translate(self.letters) for x in new]
+            parts = [self.model.encode_batch_fast([" ".join(coded[i : i + 1000])], add_special_tokens=False)[0].ids for i in range(0, len(new), 1000)]
+            ids = np.concatenate([np.array(x, self.type) for x in parts])
             # The last token of each piece, and no other one, closes a word.
-            self.pieces.add(some, ids, np.diff(np.nonzero(self.closes[ids])[0], prepend=-1))
-        ids, starts = self.pieces.gather(self.pieces.numbers(flat))
-        self.words.add(fresh, ids, np.diff(starts[np.concatenate([[0], np.cumsum(counts)])]))
+            self.pieces.add(new, ids, np.diff(np.nonzero(self.closes[ids])[0], prepend=-1))
+        numbers[unknown] = self.pieces.numbers([pieces[i] for i in unknown])
+        return numbers
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of texts one after another, and where each text's begin and the last one's end."""
@@ -111,21 +131,25 @@ class WordTokenizer:
         split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         words = split.flatten().dictionary_encode()
         numbers = np.zeros(0, np.int64)
-        if n := len(words.dictionary):
-            # Words have no line ends: one long string gives them to Python at once.
-            names = pc.binary_join(pa.ListArray.from_arrays([0, n], words.dictionary), "\n")[0].as_py().split("\n")
+        if len(words.dictionary):
+            names = _strings(words.dictionary)
             numbers = self.words.numbers(names)
             fresh = np.nonzero(numbers < 0)[0].tolist()
             # A very long text is learned in parts, to bound the lists.
             for i in range(0, len(fresh), 100_000):
                 self._learn([names[k] for k in fresh[i : i + 100_000]])
-            numbers[fresh] = np.arange(len(self.words.number) - len(fresh), len(self.words.number))
+            numbers[fresh] = self.words.numbers([names[k] for k in fresh])
             numbers = numbers[words.indices.to_numpy()]
         ids, starts = self.words.gather(numbers)
         bounds = split.offsets.to_numpy()
         return ids, starts[bounds - bounds[0]]
 
 
+def _strings(words: pa.Array) -> list[str]:
+    """Words, which have no line ends, by one long string: quicker than one by one."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words), "\n")[0].as_py().split("\n") if len(words) else []
+
+
 @cache
 def tokenizer(path: str) -> WordTokenizer:
     """One for each worker process."""
