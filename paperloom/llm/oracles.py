@@ -32,11 +32,12 @@ FROM n LEFT JOIN component c ON n.node = c.node LEFT JOIN best b ON n.node = b.n
 """
 
 _SPANS = """
-SELECT doc_id, '{kind}' AS kind, {number} AS number, m, g, start_at, start_at + length(m) AS end_at FROM (
-  SELECT doc_id, m, g, CAST(sum(length(piece)) OVER w + coalesce(sum(length(m)) OVER (PARTITION BY doc_id, row_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start_at
-  FROM (SELECT doc_id, row_id, i, ms[i] AS m, gs[i] AS g, pieces[i] AS piece FROM (
-    SELECT doc_id, row_id, regexp_extract_all(text, '{p}', 0) AS ms, regexp_extract_all(text, '{p}', {group}) AS gs, string_split_regex(text, '{p}') AS pieces, unnest(range(1, len(regexp_extract_all(text, '{p}', 0)) + 1)) AS i FROM d))
-  WINDOW w AS (PARTITION BY doc_id, row_id ORDER BY i ROWS UNBOUNDED PRECEDING)) WHERE {passes}
+SELECT row_id, '{kind}' AS kind, {number} AS number, m, g, start_at, start_at + length(m) AS end_at FROM (
+  SELECT row_id, m, g, CAST(sum(length(piece)) OVER w + sum(length(m)) OVER w - length(m) AS BIGINT) AS start_at
+  FROM (SELECT row_id, unnest(ms) AS m, unnest(gs) AS g, unnest(pieces[1:len(ms)]) AS piece, unnest(range(1, len(ms) + 1)) AS i FROM (
+    SELECT row_id, regexp_extract_all(text, '{p}', 0) AS ms, regexp_extract_all(text, '{p}', {group}) AS gs, string_split_regex(text, '{p}') AS pieces
+    FROM d WHERE regexp_matches(text, '{p}')))
+  WINDOW w AS (PARTITION BY row_id ORDER BY i ROWS UNBOUNDED PRECEDING)) WHERE {passes}
 """
 
 
@@ -44,35 +45,42 @@ def _spans(kind: str, number: int, p: str, group: int, passes: str) -> str:
     return _SPANS.format(kind=kind, number=number, p=p.replace("'", "''"), group=group, passes=passes)
 
 
-# In the text of the patterns a capital or small letter may stand for the other; RE2 has no look-around, so that the
-# candidates are whole runs, of which those without a digit or a letter are dropped.
+# In the text of the patterns a capital or small letter may stand for the other. Runs are as long as can be, so that
+# their least length stands in the pattern. RE2 has no look-around: candidates are whole runs, whose characters outside
+# base spans make up the stretches to judge.
 OP4 = (
-    "WITH d AS (SELECT doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS text FROM documents), base AS ("
+    "WITH d AS (SELECT doc_id, row_number() OVER () AS row_id, coalesce(text, '') AS text FROM documents), base AS MATERIALIZED ("
     + " UNION ALL ".join([
         _spans("assign", 0, r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, "length(g) >= 8"),
-        _spans("access", 1, "AKIA[A-Z0-9]+", 0, "length(m) >= 16"),
-        _spans("hex", 2, "[0-9a-f]+", 0, "length(m) >= 32"),
+        _spans("access", 1, "AKIA[A-Z0-9]{12,}", 0, "true"),
+        _spans("hex", 2, "[0-9a-f]{32,}", 0, "true"),
     ])
-    + "), candidates AS ("
-    + _spans("entropy", 3, "[A-Za-z0-9+/_=-]+", 0, "length(m) >= 20 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')")
-    + r"""), windows AS (
+    + "), runs AS MATERIALIZED ("
+    + _spans("entropy", 3, "[A-Za-z0-9+/_=-]{20,}", 0, "true")
+    + r"""), chars AS (
+  SELECT row_id, start_at AS run, start_at + k - 1 AS pos, substr(m, k, 1) AS c FROM (SELECT row_id, start_at, m, unnest(range(1, length(m) + 1)) AS k FROM runs)),
+covered AS (SELECT DISTINCT row_id, unnest(range(start_at, end_at)) AS pos FROM base),
+outside AS (SELECT c.*, c.pos - row_number() OVER (PARTITION BY c.row_id, run ORDER BY c.pos) AS island FROM chars c ANTI JOIN covered v ON c.row_id = v.row_id AND c.pos = v.pos),
+candidates AS (
+  SELECT * FROM (SELECT row_id, min(pos) AS start_at, max(pos) + 1 AS end_at, string_agg(c, '' ORDER BY pos) AS m FROM outside GROUP BY row_id, run, island)
+  WHERE length(m) >= 20 AND regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')),
+masked AS (
+  SELECT m, regexp_replace(m, '(?i)example|sample|placeholder|dummy|changeme|your[_-]|0123456789|abcdefgh|987654321', ' ', 'g') AS x FROM (SELECT DISTINCT m FROM candidates)
+  WHERE NOT regexp_matches(m, '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$')
+    AND NOT (len(list_filter(string_split_regex(m, '[/_=-]'), lambda s: s <> '')) > 1 AND len(list_filter(string_split_regex(m, '[/_=-]'),
+      lambda s: s <> '' AND NOT regexp_full_match(s, '[A-Za-z]{1,20}[0-9]{0,4}|[0-9]{1,8}|[a-z0-9]{1,4}|[0-9]{1,2}T[0-9]{1,6}Z?'))) = 0)),
+windows AS (
   SELECT m, max(h) AS h FROM (SELECT m, i, log2(20) - sum(n * log2(n)) / 20 AS h FROM (SELECT m, i, c, count(*) AS n FROM (
-      SELECT m, i, unnest(string_split(substr(m, i, 20), '')) AS c FROM (SELECT m, unnest(range(1, length(m) - 18)) AS i FROM (SELECT DISTINCT m FROM candidates))) GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1),
+      SELECT m, i, unnest(string_split(substr(x, i, 20), '')) AS c FROM (SELECT m, x, unnest(range(1, length(x) - 18)) AS i FROM masked) WHERE NOT contains(substr(x, i, 20), ' ')) GROUP BY 1, 2, 3) GROUP BY 1, 2) GROUP BY 1),
 high AS (
-  SELECT c.* FROM candidates c JOIN windows w ON c.m = w.m
-  WHERE round(w.h, 6) >= CASE WHEN regexp_full_match(c.m, '[0-9a-fA-F]+') THEN 3.0 ELSE 3.7 END
-    AND NOT regexp_matches(c.m, '(?i)example|sample|placeholder|dummy|changeme|your[_-]')
-    AND NOT regexp_matches(c.m, '^(?:[A-Za-z]+[/_=-])+[A-Za-z]*[0-9]{0,4}$') AND NOT regexp_matches(c.m, '^/|//')
-    AND NOT regexp_matches(c.m, '^[0-9]{4}-[0-9]{2}-[0-9]{2}')
-    AND NOT regexp_matches(c.m, '(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$')
-    AND NOT regexp_matches(c.m, '(?i)0123456789|abcdefgh|987654321')
-    AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = c.doc_id AND b.start_at < c.end_at AND c.start_at < b.end_at)),
-every AS (SELECT * FROM base UNION ALL SELECT * FROM high),
-listed AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  SELECT row_id, 'entropy' AS kind, 3 AS number, start_at, end_at FROM candidates c JOIN windows w ON c.m = w.m
+  WHERE round(w.h, 6) >= CASE WHEN regexp_full_match(c.m, '[0-9a-fA-F]+') THEN 3.0 ELSE 3.7 END),
+every AS (SELECT row_id, kind, number, start_at, end_at FROM base UNION ALL SELECT * FROM high),
+listed AS (SELECT row_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
   string_agg(concat(kind, ':', CAST(start_at AS VARCHAR), ':', CAST(end_at AS VARCHAR)), ',' ORDER BY start_at, number) FILTER (kind <> 'entropy') AS base_spans,
   string_agg(concat(kind, ':', CAST(start_at AS VARCHAR), ':', CAST(end_at AS VARCHAR)), ',' ORDER BY start_at, number) AS spans FROM every GROUP BY 1)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans
-FROM d LEFT JOIN listed l ON d.doc_id = l.doc_id
+FROM d LEFT JOIN listed l ON d.row_id = l.row_id
 """
 )
 

@@ -19,17 +19,14 @@ CLASSES = [
 WINDOW = 20
 #: Whole runs of candidate characters that have a digit and a letter.
 CANDIDATE = r"((?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{%d,})"
-#: Candidates that match one of these are no secrets: placeholders, runs of one character, paths, dates, UUIDs, counting.
-ALLOWED = [
-    "(?i)example|sample|placeholder|dummy|changeme|your[_-]",
-    r"^(.)\1+$",
-    r"^(?:[A-Za-z]+[/_=-])+[A-Za-z]*[0-9]{0,4}$",
-    # Two segments of a path at least: words, or short parts in lower case.
-    r"^/{0,2}(?:SEGMENT/{1,2})+(?:SEGMENT)?/?$".replace("SEGMENT", r"(?:[A-Z]?[a-z]+(?:[_-][A-Z]?[a-z]+)*[_-]?[0-9]{0,4}|[a-z0-9]{1,4}|[0-9]{1,8})"),
-    "^[0-9]{4}-[0-9]{2}-[0-9]{2}",
-    "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$",
-    "(?i)0123456789|abcdefgh|987654321",
-]
+#: The allow-list. Windows that hold a placeholder or counting are not looked at, so that chance hits in a long string
+#: hide no more than themselves.
+PLACEHOLDERS = "(?i)example|sample|placeholder|dummy|changeme|your[_-]|0123456789|abcdefgh|987654321"
+#: A candidate of two such segments or more and of no other is a path, a name of words, a date or a time.
+SEGMENT = "^(?:[A-Za-z]{1,20}[0-9]{0,4}|[0-9]{1,8}|[a-z0-9]{1,4}|[0-9]{1,2}T[0-9]{1,6}Z?)$"
+UUID = "(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+#: Matches that one pass adds to a block before the block is added to the others.
+BLOCK = 256
 #: The order of kinds of spans that start together.
 KINDS = [*(k for k, *_ in BASE), "entropy"]
 
@@ -50,8 +47,14 @@ def _spans(text: Column, kind: str, pattern: str, passes) -> Column:
             span = F.struct(start.alias("start"), number.alias("number"), end.alias("end"), F.lit(kind).alias("kind"), x["whole"][k].alias("match"))
             return F.struct(end.alias("end"), F.when(passes(x["whole"][k], x["group"][k]), F.concat(a["out"], F.array(span))).otherwise(a["out"]).alias("out"))
 
+        def block(a: Column, k: Column) -> Column:
+            places = F.sequence(k, F.least(k + BLOCK, F.size(x["whole"])) - 1)
+            more = F.aggregate(places, F.struct(a["end"].alias("end"), none.alias("out")), step)
+            return F.transform(F.array(more), lambda m: F.struct(m["end"].alias("end"), F.concat(a["out"], m["out"]).alias("out")))[0]
+
+        # By blocks, as each addition copies what it adds to.
         start = F.struct(F.lit(0).alias("end"), none.alias("out"))
-        return F.aggregate(F.sequence(F.lit(0), F.size(x["whole"]) - 1), start, step, lambda a: a["out"])
+        return F.aggregate(F.sequence(F.lit(0), F.size(x["whole"]) - 1, F.lit(BLOCK)), start, block, lambda a: a["out"])
 
     parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("whole"), F.regexp_extract_all(text, F.lit(pattern), F.lit(1)).alias("group"), F.split(text, pattern, -1).alias("between"))
     return F.when(~text.rlike(pattern), none).otherwise(F.transform(F.array(parts), found)[0])
@@ -62,39 +65,46 @@ def _sum_of_logs(c: Column) -> Column:
 
 
 def window_entropy(text: Column, alphabet: str, window: int = WINDOW) -> Column:
-    """The largest Shannon entropy, in bits, of a window of text; a shorter text counts as none.
+    """The largest Shannon entropy, in bits, of a window of text that has characters of the alphabet alone; -1 without one.
 
     Counts of the window's characters are kept from step to step: the one that enters and the one that leaves change
     two counts and the sum of c log2 c.
     """
-    at = lambda i: F.instr(F.lit(alphabet), F.substring(text, i, F.lit(1)))
     # One count for each character of the alphabet; other characters share number 0.
     start = F.struct(F.array_repeat(F.lit(0), len(alphabet) + 1).alias("counts"), F.lit(0.0).alias("s"), F.lit(-1.0).alias("best"))
 
-    def step(a: Column, i: Column) -> Column:
-        def moved(x: Column) -> Column:
-            into, out = x["into"], x["out"]
-            c_out = F.coalesce(F.get(a["counts"], out), F.lit(0))
-            c_in = F.get(a["counts"], into) - F.when(into == out, 1).otherwise(0)
-            s = a["s"] + F.when(out >= 0, _sum_of_logs(c_out - 1) - _sum_of_logs(c_out)).otherwise(0.0)
-            s = s + _sum_of_logs(c_in + 1) - _sum_of_logs(c_in)
-            counts = F.when(into == out, a["counts"]).otherwise(F.transform(a["counts"], lambda c, j: c + F.when(j == into, 1).when(j == out, -1).otherwise(0)))
-            entropy = F.log2(F.lit(float(window))) - s / window
-            return F.struct(counts.alias("counts"), s.alias("s"), F.when(i >= window, F.greatest(a["best"], entropy)).otherwise(a["best"]).alias("best"))
+    def largest(at: Column) -> Column:
+        def step(a: Column, i: Column) -> Column:
+            def moved(x: Column) -> Column:
+                into, out = x["into"], x["out"]
+                c_out = F.coalesce(F.get(a["counts"], out), F.lit(0))
+                c_in = F.get(a["counts"], into) - F.when(into == out, 1).otherwise(0)
+                s = a["s"] + F.when(out >= 0, _sum_of_logs(c_out - 1) - _sum_of_logs(c_out)).otherwise(0.0)
+                s = s + _sum_of_logs(c_in + 1) - _sum_of_logs(c_in)
+                counts = F.when(into == out, a["counts"]).otherwise(F.transform(a["counts"], lambda c, j: c + F.when(j == into, 1).when(j == out, -1).otherwise(0)))
+                return F.struct(counts.alias("counts"), s.alias("s"))
+
+            def judged(x: Column) -> Column:
+                entropy = F.log2(F.lit(float(window))) - x["s"] / window
+                best = F.when((i >= window - 1) & (F.get(x["counts"], F.lit(0)) == 0), F.greatest(a["best"], entropy)).otherwise(a["best"])
+                return F.struct(x["counts"].alias("counts"), x["s"].alias("s"), best.alias("best"))
+
+            ends = F.struct(F.get(at, i).alias("into"), F.when(i >= window, F.get(at, i - window)).otherwise(-1).alias("out"))
+            return F.transform(F.transform(F.array(ends), moved), judged)[0]
 
-        ends = F.struct(at(i).alias("into"), F.when(i > window, at(i - window)).otherwise(-1).alias("out"))
-        return F.transform(F.array(ends), moved)[0]
+        return F.aggregate(F.sequence(F.lit(0), F.size(at) - 1), start, step, lambda a: a["best"])
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(text)), start, step, lambda a: a["best"])
+    # The characters' numbers by one split, as a place in a long string is not found at once.
+    numbers = F.transform(F.split(text, ""), lambda c: F.when(c == "", 0).otherwise(F.instr(F.lit(alphabet), c)))
+    return F.transform(F.array(numbers), largest)[0]
 
 
 def _suspicious(match: Column, window: int) -> Column:
-    allowed = match.rlike(ALLOWED[0])
-    for p in ALLOWED[1:]:
-        allowed = allowed | match.rlike(p)
-    high = F.lit(False)
+    segments = F.filter(F.split(match, "[/_=-]"), lambda x: x != "")
+    allowed = match.rlike(UUID) | ((F.size(segments) > 1) & F.forall(segments, lambda x: x.rlike(SEGMENT)))
+    masked, high = F.regexp_replace(match, PLACEHOLDERS, " "), F.lit(False)
     for _, pattern, alphabet, least in reversed(CLASSES):
-        high = F.when(match.rlike(pattern), F.round(window_entropy(match, alphabet, window), 6) >= least).otherwise(high)
+        high = F.when(match.rlike(pattern), F.round(window_entropy(masked, alphabet, window), 6) >= least).otherwise(high)
     return ~allowed & high
 
 
@@ -102,8 +112,8 @@ def spans(text: Column, window: int = WINDOW) -> Column:
     """array<struct(start, number, end, kind, match)> of all secrets of a text, by start and then kind.
 
     Kinds: those of BASE, and entropy for candidate strings with a window of high entropy. Of a candidate that overlaps
-    their spans each stretch outside is a candidate. One that matches an entry of ALLOWED is none; base matches stay
-    whatever they look like.
+    their spans each stretch outside is a candidate. The allow-list (PLACEHOLDERS, SEGMENT, UUID) suppresses candidates;
+    base matches stay whatever they look like.
     """
     base = F.concat(*(_spans(text, kind, pattern, lambda _, group, n=least: F.length(group) >= n) for kind, pattern, _, least in BASE))
     more = _spans(text, "entropy", CANDIDATE % window, lambda match, group: F.lit(True))

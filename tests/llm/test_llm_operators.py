@@ -305,6 +305,20 @@ def test_secrets_with_slashes(spark):
     assert spans == f"access:2:22,entropy:22:{23 + len(key)}"
 
 
+def test_secrets_in_long_runs(spark):
+    """Runs of 100,000 characters: names, paths and base64, in which chance placeholders hide only themselves."""
+    rng = random.Random(11)
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    key = "".join(rng.choice(base64) for _ in range(100_000))
+    texts = ["ab-" * 33_000 + "1", "word1/" * 16_000, f"{key[:50_000]}//example{key[50_000:]}", "your_key_0123456789abcdefgh", "example-" * 3 + key[:40], "token=abcdefgh12 " * 2000, "2024-01-01/logs/12T0930Z/part-0001"]
+    rows = {r.doc_id: r.spans for r in secrets.summary(_docs(spark, list(enumerate(texts)))).collect()}
+    assert [rows[i] for i in (0, 1, 3, 6)] == [""] * 4
+    assert rows[2] == f"entropy:0:{len(texts[2])}" and rows[4] == f"entropy:0:{len(texts[4])}"
+    assert rows[5] == ",".join(f"assign:{17 * i}:{17 * i + 16}" for i in range(2000))
+    overlapping = f"password=AKIA{'A' * 30}-{'0123456789abcdef' * 2} end"
+    assert secrets.redacted(_docs(spark, [(1, overlapping)])).first().text == "[SECRET] end"
+
+
 def test_window_entropy(spark):
     s = "aAbBcC0123456789aaaaaZZtop"
     got = spark.range(1).select(secrets.window_entropy(F.lit(s), secrets.CLASSES[1][2], 8).alias("h")).first().h
