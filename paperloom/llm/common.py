@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,27 +22,54 @@ BROADCAST_ROWS = 1_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where that is unset, a local session (as in tests) gets a temporary folder, any other one a folder in the
-    warehouse.
+    Where that is unset, a folder in the warehouse, which they share as well.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-            found = tempfile.mkdtemp(prefix="spark-shared-")
-        else:
-            found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(found)
     return found
 
 
+#: Paths of the tables that stored() wrote, by what it returned, and in order.
+_PATHS: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: cuts the lineage and fixes every row."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    _PATHS[found] = path
+    _WRITTEN.append(path)
+    return found
+
+
+def spent(*tables: DataFrame) -> None:
+    """Delete stored tables that nothing reads any more, as all that was made of them is stored too."""
+    for t in tables:
+        _delete(t.sparkSession, _PATHS.pop(t))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """Delete what stored() writes inside, at the end, but for the tables that are put into the list."""
+    first, keep = len(_WRITTEN), []
+    yield keep
+    kept = [_PATHS[t] for t in keep]
+    for path in _WRITTEN[first:]:
+        if path not in kept:
+            _delete(spark, path)
+    _WRITTEN[first:] = kept
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -58,6 +87,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS, each: Column | None = None)
     return F.broadcast(df) if n <= rows else df
 
 
+def columns(df: DataFrame) -> list[Column]:
+    """All columns of df, also those whose names hold dots."""
+    return [F.col(f"`{c}`") for c in df.columns]
+
+
+def unused(name: str, df: DataFrame) -> str:
+    """A column name made of name that df does not have; names differ in more than case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 

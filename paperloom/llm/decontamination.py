@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import sha256
@@ -11,10 +12,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import small, stored
+from paperloom.llm.common import columns, small, stored, unused
 
-#: Characters of test items up to which one automaton holds them all; more are dealt to several, one pass each.
-AUTOMATON_CHARS = 32_000_000
+#: Characters of test items up to which one automaton holds them all; more are dealt to several, one pass each. An
+#: automaton takes about 130 bytes a character in each Python worker.
+AUTOMATON_CHARS = 4_000_000
 
 #: Bytes of ASCII that end a word become blanks, A-Z lower case; all other bytes stay.
 _NORMAL = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -81,14 +83,15 @@ def places(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(point(found[s][0]), point(found[e - 1][1])) for s, e in spans]
 
 
-def _dealt(benchmark: DataFrame, chars: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The items (id as text, text) in parts of at most about chars characters each; items without an id are named by nothing."""
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = -(-total // chars) or 1
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) if parts > 1 else F.lit(0)
-    for p in range(parts):
-        yield [tuple(r) for r in items.filter(part == p).collect()]
+#: The automaton that this worker built last, by the name of its items.
+_BUILT: dict[str, Windows] = {}
+
+
+def _automaton(name: str, items: list[tuple[str, str | None]], window: int) -> Windows:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Windows(items, window)
+    return _BUILT[name]
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, chars: int = AUTOMATON_CHARS) -> DataFrame:
@@ -101,65 +104,91 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, chars: int
     null item_id counts as an empty one; items with the same id count once. Repeated rows stay; an empty benchmark
     hits nothing; an empty table gives no rows.
 
-    The benchmark goes to the driver and by broadcast to the tasks in parts of at most chars characters, usually one;
-    each part beyond the first costs one more pass.
+    The benchmark goes to the driver and by broadcast to the tasks in parts of about chars characters, usually one. Of
+    several, each costs one more pass that stores the texts with hits alone.
     """
-    kind = docs.schema["doc_id"].dataType
-    fields = [T.StructField("n_words", T.LongType()), T.StructField("hit", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))), T.StructField("item_ids", T.ArrayType(T.StringType()))]
-    spark, each = docs.sparkSession, docs.select("doc_id", "text", F.array().cast("array<struct<start:int,end:int>>").alias("hit"), F.array().cast("array<string>").alias("item_ids"))
-    schema = T.StructType([T.StructField("doc_id", kind), T.StructField("text", T.StringType()), *fields[1:]])
-
-    def scan(part):
-        shared = spark.sparkContext.broadcast(part)
+    spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
+    spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
+    out = T.StructType([T.StructField("doc_id", kind), T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("items_sha256", T.StringType()), T.StructField("places", spans)])
+    arrow_spans, arrow_ids = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+    parts = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // chars) or 1
+
+    def loaded(p: int):
+        """The items of a part in this worker, as an automaton."""
+        part = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
+        shared, name = spark.sparkContext.broadcast([tuple(r) for r in part.collect()]), uuid.uuid4().hex
+        return lambda: _automaton(name, shared.value, window)
+
+    def judged(b: pa.RecordBatch, found) -> pa.RecordBatch:
+        rows = []
+        for i, text in enumerate(b.column("text")):
+            text = text.as_py()
+            words = normal_words(text)
+            hit, ids = found(i, words)
+            where = [{"start": s, "end": e} for s, e in places(text, hit)]
+            rows.append((len(words), sum(e - s for s, e in hit), ids, sha256(",".join(ids).encode()).hexdigest(), where))
+        types = [pa.int64(), pa.int64(), arrow_ids, pa.string(), arrow_spans]
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True))], out.names)
+
+    if parts == 1:
+        only = loaded(0)
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            automaton = only()
+
+            def found(_: int, words: list[bytes]) -> tuple[list, list]:
+                hit, ids = automaton.hits(words)
+                return hit, sorted({automaton.items[k] for k in ids})
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            automaton = Windows(shared.value, window)
             for b in batches:
-                hit, ids = [], []
-                for text, h, i in zip(b.column("text"), b.column("hit"), b.column("item_ids"), strict=True):
-                    spans, found = automaton.hits(normal_words(text.as_py()))
-                    if not spans:
-                        hit.append(h.as_py())
-                        ids.append(i.as_py())
-                    else:
-                        both = merged([*((x["start"], x["end"]) for x in h.as_py()), *spans])
-                        hit.append([{"start": s, "end": e} for s, e in both])
-                        ids.append(sorted({*i.as_py(), *(automaton.items[k] for k in found)}))
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text"), pa.array(hit, b.schema.field("hit").type), pa.array(ids, b.schema.field("item_ids").type)], schema.names)
-
-        return run
-
-    *before, last = _dealt(benchmark, chars)
-    for part in before:
-        each = each.mapInArrow(scan(part), schema)
-    shared = spark.sparkContext.broadcast(last)
-    out = T.StructType([schema[0], T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()), *schema[3:], T.StructField("items_sha256", T.StringType()), T.StructField("places", schema["hit"].dataType)])
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = Windows(shared.value, window)
-        for b in batches:
-            rows = []
-            for text, h, i in zip(b.column("text"), b.column("hit"), b.column("item_ids"), strict=True):
-                text = text.as_py()
-                words = normal_words(text)
-                spans, found = automaton.hits(words)
-                both = merged([*((x["start"], x["end"]) for x in h.as_py()), *spans])
-                ids = sorted({*i.as_py(), *(automaton.items[k] for k in found)})
-                where = [{"start": s, "end": e} for s, e in places(text, both)]
-                rows.append((len(words), sum(e - s for s, e in both), ids, sha256(",".join(ids).encode()).hexdigest(), where))
-            types = [pa.int64(), pa.int64(), pa.list_(pa.string()), pa.string(), b.schema.field("hit").type]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True))], out.names)
-
-    done = each.mapInArrow(finish, out)
+                yield judged(b, found)
+
+        done = docs.select("doc_id", "text").mapInArrow(scan, out)
+    else:
+        digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")
+        hits = [_hits(docs.select(digest, "text"), loaded(p), p) for p in range(parts)]
+        every = hits[0]
+        for more in hits[1:]:
+            every = every.unionByName(more)
+        merge = every.groupBy("digest").agg(F.flatten(F.collect_set("hit")).alias("hit"), F.flatten(F.collect_set("item_ids")).alias("item_ids"))
+        known = docs.select(digest, "doc_id", "text").join(small(stored(merge, "hits"), each=F.size("hit") + F.size("item_ids")), "digest", "left")
+
+        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                hit, ids = b.column("hit"), b.column("item_ids")
+                yield judged(b, lambda i, _, hit=hit, ids=ids: (merged([(x["start"], x["end"]) for x in hit[i].as_py() or []]), sorted(set(ids[i].as_py() or []))))
+
+        done = known.select("doc_id", "text", "hit", "item_ids").mapInArrow(finish, out)
     return done.withColumn("n_items", F.size("item_ids").cast("long")).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
 
 
+def _hits(texts: DataFrame, automaton, part: int) -> DataFrame:
+    """(digest, hit, item_ids) of those texts(digest, text) that one part of the benchmark hits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here = automaton()
+        for b in batches:
+            at, hit, ids = [], [], []
+            for i, text in enumerate(b.column("text")):
+                spans, found = here.hits(normal_words(text.as_py()))
+                if spans:
+                    at.append(i)
+                    hit.append([{"start": s, "end": e} for s, e in spans])
+                    ids.append(sorted({here.items[k] for k in found}))
+            yield pa.RecordBatch.from_arrays([b.column("digest").take(pa.array(at, pa.int64())), pa.array(hit, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), pa.array(ids, pa.list_(pa.string()))], ["digest", "hit", "item_ids"])
+
+    return stored(texts.mapInArrow(run, "digest binary, hit array<struct<start: int, end: int>>, item_ids array<string>"), f"hits-{part}")
+
+
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13) -> DataFrame:
     """The rows of docs whose text is not contaminated.
 
-    Found by text, so that rows that repeat or lack a doc_id are judged each by its own; a null text stays.
+    Found by text, so that rows that repeat or lack a doc_id are judged each by its own; a null text stays. Other
+    columns stay as they are, whatever their names.
     """
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     keyed = docs.select(digest.alias("doc_id"), "text")
-    gone = stored(matches(keyed, benchmark, window).filter("contaminated").select(F.col("doc_id").alias("_digest")).distinct(), "contaminated")
-    return docs.withColumn("_digest", digest).join(small(gone), "_digest", "left_anti").select(*docs.columns)
+    own = unused("digest", docs)
+    gone = stored(matches(keyed, benchmark, window).filter("contaminated").select(F.col("doc_id").alias(own)).distinct(), "contaminated")
+    return docs.withColumn(own, digest).join(small(gone), own, "left_anti").select(*columns(docs))
