@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -44,6 +45,10 @@ BUCKETS = 1 << 16
 SWITCH, MOST = 8.0, 6.0
 #: Words that a worker remembers.
 KNOWN = 400_000
+#: Characters of a piece at most.
+LONGEST = 60
+#: Words that are one piece as they are.
+_WHOLE = re.compile(f"[\0-\u024f\u1e00-\u1eff]{{0,{LONGEST}}}")
 
 
 _FIRST = np.array([first for _, first, _ in sorted(SCRIPTS, key=lambda x: x[1])])
@@ -52,19 +57,37 @@ _NUMBER = np.array([NAMES.index(s) for s, _, _ in sorted(SCRIPTS, key=lambda x:
 _MARKS = ".,;:!?\"'()[]{}<>|*#$%&@/+-=_~0123456789«»“”„’…"
 
 
-def scripts_of(words: list[str]) -> np.ndarray:
-    """The number of the script of each word's first character."""
-    points = np.fromiter((ord(w[0]) for w in words), np.int64, len(words))
+def _scripts(points: np.ndarray) -> np.ndarray:
     at = np.maximum(np.searchsorted(_FIRST, points, side="right") - 1, 0)
     return np.where((points >= _FIRST[at]) & (points <= _LAST[at]), _NUMBER[at], len(NAMES) - 1)
 
 
-def features(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Hashed features of all words, as pairs of (feature, word): the runs of one to four characters between edges, and the word.
+def scripts_of(words: list[str]) -> np.ndarray:
+    """The number of the script of each word's first character."""
+    return _scripts(np.fromiter((ord(w[0]) for w in words), np.int64, len(words)))
 
-    A word longer than 60 characters counts by its start.
+
+def pieces(word: str) -> list[str]:
+    """The word cut wherever its letters' script changes, and into parts of at most LONGEST characters; one piece, mostly.
+
+    Characters that are no letters go with the letter before them, those at the start with the first letter. So every
+    character of a text without spaces counts.
     """
-    edged = [f"<{w[:60]}>" for w in words]
+    if _WHOLE.fullmatch(word):
+        return [word]
+    points = np.frombuffer(word.encode("utf-32-le", "replace"), "<u4").astype(np.int64)
+    letters = np.nonzero(np.fromiter(map(str.isalpha, word), bool, len(word)))[0]
+    ends = {0, len(word)}
+    if len(letters):
+        script = _scripts(points[letters])
+        ends |= set(letters[1:][script[1:] != script[:-1]].tolist())
+    cuts = sorted(ends)
+    return [word[i : min(i + LONGEST, b)] for a, b in zip(cuts, cuts[1:], strict=False) for i in range(a, b, LONGEST)]
+
+
+def features(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Hashed features of all words, as pairs of (feature, word): the runs of one to four characters between edges, and the word."""
+    edged = [f"<{w}>" for w in words]
     codes = np.frombuffer("".join(edged).encode("utf-32-le", "replace"), "<u4").astype(np.uint64)
     sizes = np.fromiter(map(len, edged), np.int64, len(edged))
     word = np.repeat(np.arange(len(words)), sizes)
@@ -150,11 +173,11 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
         for b in batches:
             rows: dict[str, tuple[list[str], list[int]]] = {}
             for lang, word, n in zip(*(b.column(c).to_pylist() for c in ("lang", "word", "n")), strict=True):
-                if word := plain(word):
-                    words, numbers = rows.setdefault(lang, ([], []))
-                    words.append(word)
-                    numbers.append(n)
-            for lang, (words, numbers) in rows.items():
+                words, numbers = rows.setdefault(lang, ([], []))
+                bare = [x for x in map(plain, pieces(word)) if x]
+                words += bare
+                numbers += [n] * len(bare)
+            for lang, (words, numbers) in ((k, v) for k, v in rows.items() if v[0]):
                 x = seen.setdefault(lang, np.zeros(BUCKETS + len(NAMES)))
                 n = np.array(numbers, float)
                 # A word counts by the root of its number, so that the commonest ones leave room for the others.
@@ -165,12 +188,10 @@ def train(docs: DataFrame, sample: int = SAMPLE) -> Model:
             at = np.nonzero(x)[0]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(x[at])], ["lang", "at", "n"])
 
-    sums = words.mapInArrow(count_features, "lang string, at int, n double").groupBy("lang", "at").agg(F.sum("n").alias("n")).collect()
-    langs = sorted({r.lang for r in sums})
+    sums = words.mapInArrow(count_features, "lang string, at int, n double").groupBy("lang", "at").agg(F.sum("n").alias("n")).toArrow()
+    langs = sorted(pc.unique(sums["lang"]).to_pylist())
     x = np.zeros((BUCKETS + len(NAMES), len(langs)), np.float64)
-    number = {lang: i for i, lang in enumerate(langs)}
-    for r in sums:
-        x[r.at, number[r.lang]] = r.n
+    x[sums["at"].to_numpy(), pc.index_in(sums["lang"], pa.array(langs, pa.string())).to_numpy()] = sums["n"].to_numpy()
     return Model(langs, x[:BUCKETS], x[BUCKETS:].T)
 
 
@@ -200,7 +221,7 @@ def viterbi(scores: np.ndarray, switch: float = SWITCH) -> np.ndarray:
 
 
 class Labels:
-    """Labels whole texts by a model, with a bounded memory of words."""
+    """Labels whole texts by a model, piece by piece, with a bounded memory of words."""
 
     def __init__(self, model: Model, switch: float):
         self.model, self.switch = model, switch
@@ -209,26 +230,44 @@ class Labels:
     def forget(self) -> None:
         self.number: dict[str, int] = {}
         self.place: dict[str, int] = {}
+        self.several: list[np.ndarray] = []
         self.rows = np.zeros((1024, len(self.model.langs)), np.float32)
         self.n = 0
 
-    def words(self, texts: list[str]) -> list[np.ndarray]:
-        """The number of each word's scores in rows, -1 for one without a letter, by text."""
+    def words(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By text, the number of each piece's scores in rows, -1 for one without a letter, and the number of its word."""
         split = [t.split() for t in texts]
         fresh = [w for w in set().union(*split) if w not in self.number]
-        bare = [plain(w) for w in fresh]
+        cut = [pieces(w) for w in fresh]
+        bare = [plain(x) for c in cut for x in c]
         known = [b for b in dict.fromkeys(bare) if b and b not in self.place]
-        if known:
-            if self.n + len(known) > len(self.rows):
-                self.rows = np.concatenate([self.rows, np.zeros((len(self.rows) + len(known), self.rows.shape[1]), np.float32)])
-            self.rows[self.n : self.n + len(known)] = self.model.scores(known)
-            self.place.update(zip(known, range(self.n, self.n + len(known)), strict=True))
-            self.n += len(known)
-        self.number.update((w, self.place[b] if b else -1) for w, b in zip(fresh, bare, strict=True))
-        return [np.fromiter(map(self.number.__getitem__, x), np.int64, len(x)) for x in split]
+        # A very long text is scored in parts, to bound the lists of features.
+        for i in range(0, len(known), 200_000):
+            some = known[i : i + 200_000]
+            if self.n + len(some) > len(self.rows):
+                self.rows = np.concatenate([self.rows, np.zeros((len(self.rows) + len(some), self.rows.shape[1]), np.float32)])
+            self.rows[self.n : self.n + len(some)] = self.model.scores(some)
+            self.place.update(zip(some, range(self.n, self.n + len(some)), strict=True))
+            self.n += len(some)
+        at = iter([self.place[b] if b else -1 for b in bare])
+        for w, c in zip(fresh, cut, strict=True):
+            if len(c) == 1:
+                self.number[w] = next(at)
+            else:
+                # A word of several pieces: below -1, and its pieces' numbers aside.
+                self.number[w] = -2 - len(self.several)
+                self.several.append(np.array([next(at) for _ in c]))
+        return [self._expanded(np.fromiter(map(self.number.__getitem__, x), np.int64, len(x))) for x in split]
+
+    def _expanded(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        words = np.arange(len(numbers))
+        if not (numbers < -1).any():
+            return numbers, words
+        parts = [self.several[-2 - n] if n < -1 else [n] for n in numbers.tolist()]
+        return np.concatenate(parts).astype(np.int64), np.repeat(words, [len(x) for x in parts])
 
     def label(self, texts: list[np.ndarray]) -> list[np.ndarray]:
-        """The language of each word with letters, by text. Texts of similar length go together."""
+        """The language of each piece with letters, by text. Texts of similar length go together."""
         out: list[np.ndarray] = [np.zeros(0, np.int16)] * len(texts)
         order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
         at = 0
@@ -252,8 +291,9 @@ class Labels:
 def identify(docs: DataFrame, model: Model, switch: float = SWITCH, with_spans: bool = True) -> DataFrame:
     """docs with lang_pred, score and spans; docs needs a column text, and only text is looked at.
 
-    lang_pred is the language of most words, of equals the first by name, and score its share of the words with a
-    letter. A null text, one without a letter, and any text for a model without languages is und with score 0. spans
+    The steps are words, cut at 60 characters and where their script changes, so that whole texts count whatever their
+    spaces. lang_pred is the language of most steps, of equals the first by name, and score its share of the steps with
+    a letter. A null text, one without a letter, and any text for a model without languages is und with score 0. spans
     tells each stretch of one language: (lang, first, words), counted in words between white space, from the first
     word with a letter on; null unless asked for. Columns of docs with these names are replaced; repeated rows stay.
     """
@@ -270,15 +310,15 @@ def identify(docs: DataFrame, model: Model, switch: float = SWITCH, with_spans:
                 if len(labels.number) > KNOWN:
                     labels.forget()
                 texts = [x.as_py() or "" for x in b.column("text")]
-                numbers = labels.words(texts) if langs else [np.zeros(0, np.int64)] * len(texts)
-                found = labels.label([x[x >= 0] for x in numbers]) if langs else [x.astype(np.int16) for x in numbers]
+                steps = labels.words(texts) if langs else [(np.zeros(0, np.int64),) * 2] * len(texts)
+                found = labels.label([x[x >= 0] for x, _ in steps]) if langs else [x.astype(np.int16) for x, _ in steps]
                 pred, score, spans = [], [], []
-                for x, path in zip(numbers, found, strict=True):
+                for (x, words), path in zip(steps, found, strict=True):
                     share = np.bincount(path, minlength=1)
                     top = int(share.argmax())
                     pred.append(langs[top] if len(path) else "und")
                     score.append(float(share[top] / len(path)) if len(path) else 0.0)
-                    spans.append(_spans(x, path, langs) if with_spans else None)
+                    spans.append(_spans(words[x >= 0], int(words[-1]) + 1 if len(words) else 0, path, langs) if with_spans else None)
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(spans, arrow)], fields.names)
 
     return docs.mapInArrow(run, fields)
@@ -295,10 +335,11 @@ def _parts(b: pa.RecordBatch, column: str, size: int) -> Iterator[pa.RecordBatch
     yield b.slice(start)
 
 
-def _spans(numbers: np.ndarray, path: np.ndarray, langs: list[str]) -> list[dict]:
+def _spans(places: np.ndarray, n: int, path: np.ndarray, langs: list[str]) -> list[dict]:
+    """Stretches of one language over the n words of a text; places is the word of each step of path."""
     if not len(path):
         return []
-    places = np.nonzero(numbers >= 0)[0]
     starts = np.nonzero(np.r_[True, path[1:] != path[:-1]])[0]
     first = places[starts]
-    return [{"lang": langs[path[s]], "first": int(f), "words": int(e - f)} for s, f, e in zip(starts, first, np.r_[first[1:], len(numbers)], strict=True)]
+    # A word in which the language changes belongs to both stretches' words but starts only one of them.
+    return [{"lang": langs[path[s]], "first": int(f), "words": max(1, int(e - f))} for s, f, e in zip(starts, first, np.r_[first[1:], n], strict=True)]
