@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import small, stored
+from paperloom.llm.common import small, spent, stored
 
 #: Words of short texts that are looked at together.
 WORDS_AT_ONCE = 200_000
@@ -149,6 +149,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     # Keys that repeat are tables of their own: Spark splits a hot key of a join only if both sides come by a shuffle.
     bases = stored(_repeated(found.select("base"), ["base"]), "bases")
     level1 = stored(found.join(bases, "base"), "level1")
+    spent(found, bases)
     sides = level1.select(F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("before").alias("h")), F.struct(F.lit(1).alias("side"), F.col("after").alias("h")))).alias("x")).select("x.*").filter("h is not null")
     doubled = stored(_repeated(sides, ["side", "h"]), "level2")
     left = doubled.filter("side = 0").select(F.col("h").alias("before"), F.lit(True).alias("left"))
@@ -158,6 +159,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     grow, reach = levels.double - levels.base, window - levels.double
     level2 = level2.withColumn("first", F.when(F.col("left").isNull(), F.greatest("first", F.expr(f"at - {grow} + 1"))).otherwise(F.col("first"))).withColumn("last", F.when(F.col("right").isNull(), F.least("last", F.expr(f"at - {reach} - 1"))).otherwise(F.col("last")))
     level2 = stored(level2.filter("first <= last").select("id", "at", "first", "last", "base", "context", (F.col("left") & F.col("right")).alias("full")), "doubled")
+    spent(level1, doubled)
     groups = level2.groupBy("base", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "at", "first", "last")).alias("example"))
     groups = stored(groups, "contexts")
     settled = level2.join(groups.filter("n > 1").select("base", "context"), ["base", "context"])
@@ -166,6 +168,7 @@ def repeated_windows(docs: DataFrame, window: int) -> DataFrame:
     examples = groups.filter("n > 1").join(open_bases, "base", "left_semi").select("base", "example.*", F.lit(True).alias("settled"))
     asked = stored(single.union(examples).groupBy("id").agg(F.collect_list(F.struct("base", "first", "last", "settled")).alias("asked")), "asked")
     windows = stored(_windows(docs, asked, window), "windows")
+    spent(asked)
     twice = stored(_repeated(windows.select("base", "h"), ["base", "h"]), "twice")
     last = windows.filter("not settled").join(twice, ["base", "h"])
     return settled.select("id", "first", "last").union(last.select("id", F.col("at").alias("first"), F.col("at").alias("last")))
