@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import WHITE, small, stored
+from paperloom.llm.common import BROADCAST_ROWS, WHITE, columns, small, stored, unused
 from paperloom.llm.components import components
 
 #: Shards of more fingerprints than this are dealt anew by narrower blocks.
@@ -194,8 +195,10 @@ def near_duplicates(docs: DataFrame, width: int = 3, radius: int = 3, shard_rows
 
 #: Bits of a wide fingerprint, and shards that a text goes to by its smallest shingles.
 WIDE, KEYS = 1024, 6
-#: Bytes of text from which a group is laid out in tiles.
-TILE_BYTES = 32_000_000
+#: Rows, and bytes of text, from which a shard or group is led: its rows are held against some leaders first.
+GROUP_ROWS, TILE_BYTES = 512, 32_000_000
+#: Leaders of a large shard or group.
+LEADERS = 4
 
 
 def shingles(text: bytes, width: int = 5) -> np.ndarray | None:
@@ -241,14 +244,15 @@ def loose_bits(similarity: float) -> float:
     return float(mean * WIDE + 4 * np.sqrt(WIDE * mean * (1 - mean)))
 
 
-def similar(texts: DataFrame, width: int = 5, similarity: float = 0.8, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def similar(texts: DataFrame, width: int = 5, similarity: float = 0.8, shard_rows: int = GROUP_ROWS) -> DataFrame:
     """Links (a, b) between the digests of distinct texts(digest, text) that connect those of that Jaccard similarity.
 
     The similarity is that of the sets of shingles. The smallest shingle under each of KEYS hash functions deals a text
     into shards, which misses one pair in 15,000 at 0.8, and wide fingerprints link the pairs of a shard that may be
     similar. The groups of these loose links come together with their texts, and only pairs whose shingles reach the
-    similarity are linked. A shard or group of more than shard_rows, or a group of more than TILE_BYTES, is laid out in
-    tiles, of which every two meet, so that none is left out. Texts without a word are left out.
+    similarity are linked. The rows of a shard or group of more than shard_rows rows or TILE_BYTES are first held
+    against its leaders; those that one leader links need no look at each other, and the rest is laid out in tiles that
+    meet each other and those rows, so that none is left out. Texts without a word are left out.
     """
     fields = "digest binary, wide binary, keys array<long>, size long"
 
@@ -265,28 +269,65 @@ def similar(texts: DataFrame, width: int = 5, similarity: float = 0.8, shard_row
             yield pa.RecordBatch.from_arrays([b.column("digest"), pa.array(wide, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["digest", "wide", "keys", "size"])
 
     each = stored(texts.select("digest", "text").mapInArrow(run, fields).filter("wide is not null"), "sketches")
-    shards = each.select("digest", F.posexplode("keys").alias("k", "key"))
-    counts = stored(shards.groupBy("k", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "shards")
-    dealt = _tiled(shards.join(counts, ["k", "key"]), ["k", "key"], F.ceil(F.col("n") / shard_rows))
-    dealt = dealt.join(each.select("digest", "wide"), "digest")
-    grouped = dealt.repartition("shard").sortWithinPartitions("shard", "digest").select("shard", "digest", "wide")
     most = loose_bits(similarity)
-    loose = stored(grouped.mapInArrow(_link_shards_loosely(most), "a binary, b binary"), "loose")
+    wides, tall = each.select("digest", "wide"), texts.select("digest", "text")
+    shards = each.select("digest", F.posexplode("keys").alias("k", "key"), F.lit(0).cast("long").alias("size"))
+    dealt, starred = _dealt_to_tiles(shards, ["k", "key"], wides, lambda a, b: _bits_apart(a, b) <= most, shard_rows)
+    grouped = dealt.join(wides, "digest").repartition("shard").sortWithinPartitions("shard", "digest").select("shard", "digest", "wide")
+    loose = stored(grouped.mapInArrow(_link_shards_loosely(most), "a binary, b binary").union(starred), "loose")
     groups = components(loose).withColumnRenamed("node", "digest")
     members = stored(groups.join(each.select("digest", "size"), "digest"), "members")
-    counts = stored(members.groupBy("component").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")), "groups")
-    tiles = F.greatest(F.ceil(F.col("n") / shard_rows), F.ceil(F.col("bytes") / TILE_BYTES))
-    marked = stored(_tiled(members.join(counts, "component"), ["component"], tiles), "marked")
-    grouped = texts.select("digest", "text").join(small(marked), "digest").repartition("shard").sortWithinPartitions("shard", "digest").select("shard", "digest", "text")
-    return grouped.mapInArrow(_link_groups(width, similarity, most), "a binary, b binary")
 
+    def alike(a: str, b: str) -> bool:
+        return _alike(_shingles(a, width), _shingles(b, width), similarity)
 
-def _tiled(rows: DataFrame, keys: list[str], tiles: Column) -> DataFrame:
-    """Each row's digest once for each shard that it goes to: one for each two tiles of its key that include its own."""
-    tiles = tiles.cast("int")
-    own = F.pmod(F.xxhash64("digest"), tiles).cast("int")
-    dealt = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    return dealt.select("digest", F.xxhash64(*keys, F.least("own", "other"), F.greatest("own", "other")).alias("shard"))
+    marked, starred = _dealt_to_tiles(members, ["component"], tall, alike, shard_rows)
+    grouped = tall.join(small(stored(marked, "marked")), "digest").repartition("shard").sortWithinPartitions("shard", "digest").select("shard", "digest", "text")
+    return grouped.mapInArrow(_link_groups(width, similarity, most), "a binary, b binary").union(starred)
+
+
+def _dealt_to_tiles(rows: DataFrame, keys: list[str], values: DataFrame, linked, shard_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(digest, shard) of the rows(keys, digest, size) of groups of two and more, and links (a, b) to the leaders of large groups.
+
+    A small group is one shard. Of a large one the rows that link to its best leader, by linked(value, leader's value)
+    of values(digest, value), know each other; the others are tiles of which every two meet, and each meets every tile
+    of the former.
+    """
+    value = next(c for c in values.columns if c != "digest")
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes")).filter("n > 1")
+    counts = counts.withColumn("tiles", F.greatest(F.ceil(F.col("n") / shard_rows), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int"))
+    counts = stored(counts.select(*keys, "tiles", "n"), "groups")
+    few = rows.join(counts.filter("tiles = 1"), keys).select("digest", F.xxhash64(*keys).alias("shard"))
+    large = small(counts.filter("tiles > 1"))
+    hot = stored(rows.join(large, keys).select(*keys, "digest", "tiles", "n"), "large")
+    lowest = [F.min(F.struct(F.xxhash64("digest", F.lit(i)), "digest"))["digest"] for i in range(LEADERS)]
+    leaders = hot.groupBy(*keys).agg(F.array_distinct(F.array(*lowest)).alias("leaders"))
+    leaders = leaders.select(*keys, F.posexplode("leaders").alias("no", "leader"))
+    led = leaders.join(values.select(F.col("digest").alias("leader"), F.col(value).alias("_led")), "leader")
+    led = small(stored(led.select(*keys, "no", "leader", "_led"), "leaders"), rows=BROADCAST_ROWS // 100)
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
+
+    def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = [i for i, (x, y) in enumerate(zip(_each(b.column(value)), _each(b.column("_led")), strict=True)) if linked(x, y)]
+            yield b.select([*keys, "digest", "no", "leader"]).take(pa.array(near, pa.int64()))
+
+    asked = values.join(small(hot.select(*keys, "digest")), "digest").join(led, keys).filter("digest <> leader")
+    star = stored(asked.select(*keys, "digest", "no", "leader", value, "_led").mapInArrow(stars, f"{kinds}, digest binary, no int, leader binary"), "stars")
+    best = star.groupBy(*keys, "no", "leader").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.max(F.struct("n", "no", "leader")).alias("x"))
+    best = small(stored(best.select(*keys, "x.no", "x.leader", "x.n"), "best"))
+    known = star.join(best, [*keys, "no", "leader"]).select(*keys, "digest").union(best.select(*keys, "leader")).withColumn("known", F.lit(True))
+    parts = hot.join(known, [*keys, "digest"], "left").join(best.select(*keys, (F.col("n") + 1).alias("n_known")), keys, "left")
+    n_known = F.coalesce("n_known", F.lit(0))
+    # Tiles in proportion to the whole group's, so that they bound rows and bytes alike.
+    share = lambda x: F.ceil(F.col("tiles") * x / F.col("n")).cast("int")
+    parts = parts.select(*keys, "digest", F.coalesce("known", F.lit(False)).alias("known"), share(n_known).alias("of_known"), share(F.col("n") - n_known).alias("of_rest"))
+    own = F.pmod(F.xxhash64("digest"), F.when(F.col("known"), F.col("of_known")).otherwise(F.col("of_rest"))).cast("int")
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    with_rest = F.transform(upto(F.col("of_rest")), lambda j: F.when(F.col("known"), F.struct(F.lit(1).alias("a"), own.alias("b"), j.alias("c"))).otherwise(F.struct(F.lit(0).alias("a"), F.least(own, j).alias("b"), F.greatest(own, j).alias("c"))))
+    with_known = F.when(F.col("known"), F.array().cast("array<struct<a:int,b:int,c:int>>")).otherwise(F.transform(upto(F.col("of_known")), lambda j: F.struct(F.lit(1).alias("a"), j.alias("b"), own.alias("c"))))
+    many = parts.withColumn("t", F.explode(F.concat(with_rest, with_known))).select("digest", F.xxhash64(*keys, "t.a", "t.b", "t.c").alias("shard"))
+    return few.union(many), star.select(F.col("digest").alias("a"), F.col("leader").alias("b"))
 
 
 def _link_shards_loosely(most: float):
@@ -296,20 +337,26 @@ def _link_shards_loosely(most: float):
     return _by_shard("wide", links)
 
 
+@lru_cache(maxsize=LEADERS)
+def _shingles(text: str, width: int) -> np.ndarray:
+    """As shingles(); a leader's text comes with many rows one after another."""
+    return shingles(text.encode(), width)
+
+
+def _alike(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether two sets of shingles reach the Jaccard similarity."""
+    if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
+        return False
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (len(a) + len(b) - common) - 1e-9
+
+
 def _link_groups(width: int, similarity: float, most: float):
     """Links of the pairs of a group whose distinct shingles have the similarity."""
 
     def links(digests: list[bytes], texts: list[str]) -> list[tuple[bytes, bytes]]:
         sets = [shingles(x.encode(), width) for x in texts]
-
-        def alike(i: int, j: int) -> bool:
-            a, b = sets[i], sets[j]
-            if min(len(a), len(b)) < similarity * max(len(a), len(b)) - 1e-9:
-                return False
-            common = len(np.intersect1d(a, b, assume_unique=True))
-            return common >= similarity * (len(a) + len(b) - common) - 1e-9
-
-        return [(digests[i], digests[j]) for i, j in _joined([sketch(x)[0] for x in sets], most, alike)]
+        return [(digests[i], digests[j]) for i, j in _joined([sketch(x)[0] for x in sets], most, lambda i, j: _alike(sets[i], sets[j], similarity))]
 
     return _by_shard("text", links)
 
@@ -337,6 +384,10 @@ def _links(found: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.binary()) for i in (0, 1)], ["a", "b"])
 
 
+def _bits_apart(a: bytes, b: bytes) -> int:
+    return (int.from_bytes(a) ^ int.from_bytes(b)).bit_count()
+
+
 def _joined(wides: list[bytes], most: float, alike=None) -> list[tuple[int, int]]:
     """Links (place, place) that join what pairs within most bits join, of which alike, where given, holds as well.
 
@@ -357,29 +408,32 @@ def _joined(wides: list[bytes], most: float, alike=None) -> list[tuple[int, int]
     return out
 
 
-def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def without_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, shard_rows: int = GROUP_ROWS) -> DataFrame:
     """The rows of docs but for near-duplicates: one row of each group stays, with all its columns.
 
     A group is what links of similar() connect; equal texts are in one, and so are all texts without a word (null,
     empty or blank). Of a group the row of the smallest doc_id stays, a null one last; of rows with the same doc_id
-    the one whose text has the smallest SHA-256; of rows that repeat both, one.
+    the one whose text has the smallest SHA-256; of rows that repeat both, one. Other columns stay as they are,
+    whatever their names. An empty table gives no rows.
     """
+    own = unused("digest", docs)
     blank = F.btrim(F.coalesce("text", F.lit("")), F.lit(WHITE)) == ""
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2(F.when(blank, "").otherwise(F.col("text")), 256)))
-    rows = stored(keyed.groupBy("_digest", "doc_id").agg(F.count(F.lit(1)).alias("rows")), "rows")
+    keyed = docs.withColumn(own, F.unhex(F.sha2(F.when(blank, "").otherwise(F.col("text")), 256)))
+    rows = stored(keyed.groupBy(F.col(own).alias("_digest"), "doc_id").agg(F.count(F.lit(1)).alias("rows")), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id"))
     texts = rows.groupBy("_digest").agg(first.alias("first"))
     # One row tells each text: sketches are made of one copy only.
     one = stored(texts.select("_digest", "first.doc_id"), "texts")
-    sample = keyed.join(small(one), keyed._digest.eqNullSafe(one._digest) & keyed.doc_id.eqNullSafe(one.doc_id), "left_semi")
-    links = stored(similar(sample.select(F.col("_digest").alias("digest"), "text"), width, similarity, shard_rows), "links")
+    thin = keyed.select(F.col(own).alias("digest"), "doc_id", "text")
+    sample = thin.join(small(one), thin.digest.eqNullSafe(one._digest) & thin.doc_id.eqNullSafe(one.doc_id), "left_semi")
+    links = stored(similar(sample.select("digest", "text"), width, similarity, shard_rows), "links")
     groups = components(links)
     named = one.join(groups, one._digest == groups.node, "left").select("_digest", "doc_id", F.coalesce("component", "_digest").alias("component"))
     lead = named.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_digest")).alias("lead"))
     lead = lead.select(F.col("lead.doc_id").alias("_id"), F.col("lead._digest").alias("_lead"))
     lead = stored(lead.join(rows, lead._id.eqNullSafe(rows.doc_id) & (lead._lead == rows._digest)).select("_id", "_lead", "rows"), "leads")
-    here = lambda some: keyed.join(small(some), keyed._digest.eqNullSafe(some._lead) & keyed.doc_id.eqNullSafe(some._id), "left_semi")
+    here = lambda some: keyed.join(small(some), keyed[own].eqNullSafe(some._lead) & keyed.doc_id.eqNullSafe(some._id), "left_semi")
     stay, repeated = here(lead), lead.filter("rows > 1")
     if not repeated.isEmpty():
-        stay = here(lead.filter("rows = 1")).union(here(repeated).dropDuplicates(["doc_id", "_digest"]))
-    return stay.select(*docs.columns)
+        stay = here(lead.filter("rows = 1")).union(here(repeated).dropDuplicates(["doc_id", own]))
+    return stay.select(*columns(docs))

@@ -157,6 +157,27 @@ def test_similarity_of_the_pipeline_is_exact(spark):
     assert sorted(r.doc_id for r in simhash.without_near_duplicates(df, shard_rows=2).collect()) == want
 
 
+@pytest.mark.parametrize("hub", [True, False])
+def test_large_groups_of_the_pipeline(spark, hub):
+    """A group far larger than a tile, with and without a text that links to all others, stays or goes as brute force says."""
+    rng = random.Random(12)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    base, rows = [word() for _ in range(100)], []
+    for i in range(150):
+        copy = list(base)
+        # Each breaks five shingles of 96 or, without a hub, ten to fifteen: some pairs are links, others not.
+        for at in rng.sample(range(5, 95, 5), 1 if hub else 1 + i % 3):
+            copy[at] = word()
+        rows.append(" ".join(copy))
+    rows += [" ".join(base[:60] + [word() for _ in range(40)]) for _ in range(5)]
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(96)} for t in rows]
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    want = sorted(set(_groups(pairs, range(len(rows))).values()))
+    df = spark.createDataFrame([(i, t, "x", i) for i, t in enumerate(rows)], "doc_id long, text string, digest string, `a.b` int")
+    out = simhash.without_near_duplicates(df, shard_rows=16)
+    assert out.columns == df.columns and sorted(r.doc_id for r in out.collect()) == want
+
+
 @pytest.mark.parametrize("window", [35, 20, 3, 1])
 def test_substring_dedup(spark, window):
     rng = random.Random(window)
@@ -344,6 +365,20 @@ def test_language(spark):
     assert {s.lang for s in spans} == {"en", "fr"} and len(spans) <= 4
 
 
+def test_language_without_spaces(spark):
+    """Every character counts: in long runs, and after a change of script inside a word."""
+    assert language_id.pieces("wordЖизнь漢字1かな") == ["word", "Жизнь", "漢字1", "かな"] and language_id.pieces("«été»") == ["«été»"]
+    long = "漢" * 1000
+    assert "".join(language_id.pieces(long)) == long and max(map(len, language_id.pieces(long))) == language_id.LONGEST
+    rows = [("天地玄黃宇宙洪荒日月盈昃" * 3, "zh"), ("いろはにほへとちりぬるを" * 3, "ja"), ("the quick brown fox jumps over", "en"), ("być albo nie być oto jest pytanie", "pl")] * 5
+    model = language_id.train(spark.createDataFrame(rows, "text string, lang string"))
+    texts = ["the" + "天地玄黃" * 500, "天" + "いろはにほ" * 300, "quickbrown" * 900, "x" * 70 + " the fox", "1234" * 100, None]
+    out = [r.lang_pred for r in language_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), model).orderBy("doc_id").collect()]
+    assert out == ["zh", "ja", "en", "en", "und", "und"]
+    twice = language_id.identify(spark.createDataFrame([("the fox",), ("the fox",)], "text string"), model).collect()
+    assert twice[0] == twice[1] and twice[0].lang_pred == "en"
+
+
 def test_viterbi():
     from itertools import product
 
@@ -415,6 +450,9 @@ def test_decontamination(spark, chars):
     bench = spark.createDataFrame(items, "item_id string, text string")
     out = decontamination.matches(_docs(spark, rows), bench, chars=chars).collect()
     assert sorted(((r.doc_id, r.n_words, r.n_hit, r.item_ids, r.contaminated) for r in out), key=str) == sorted(want, key=str)
+    named = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, digest string, `a.b` int")
+    kept = decontamination.without_contaminated(named, bench)
+    assert kept.columns == named.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(w[0]) for w in want if not w[4])
     for r in out:
         text = next(t for d, t in rows if d == r.doc_id)
         assert sum(len(norm(text[p.start : p.end])) for p in r.places) == r.n_hit
