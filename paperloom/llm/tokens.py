@@ -55,7 +55,7 @@ class WordTokenizer:
     #: The tokenizer's pieces of such a word in lower case.
     PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
-    def __init__(self, path: str, limit: int = 1_000_000):
+    def __init__(self, path: str, limit: int = 600_000):
         from tokenizers import Tokenizer
         from tokenizers.models import BPE
         from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
@@ -162,7 +162,7 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def ended_ids(texts: pa.Array, path: str | None, end_id: int, size: int = 8_000_000) -> Iterator[np.ndarray]:
+def ended_ids(texts: pa.Array, path: str | None, end_id: int, size: int = 2_000_000) -> Iterator[np.ndarray]:
     """The ids and end_id of each text of a batch; texts of about so many bytes are looked at together."""
     tok = tokenizer(path or default_path())
     end = np.array([end_id], tok.type if end_id < 1 << 16 else "<u4")
