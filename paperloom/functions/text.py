@@ -29,9 +29,15 @@ def word_count(c) -> Column:
     return F.size(F.filter(F.split(F.coalesce(_col(c), F.lit("")), r"(?U)\s+"), lambda x: x != ""))
 
 
-def sanitize(c, cap: int = 200_000, tag: str = "\n[...troncato...]") -> Column:
-    """LF line ends, no control characters but tab and LF, cut at cap with a tag."""
-    clean = F.regexp_replace(F.regexp_replace(_col(c), r"\r\n?", "\n"), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")
+#: Fixed value: what follows a text that was cut.
+TRUNCATED = "\n[TESTO TRONCATO V2]"
+
+
+def sanitize(c, cap: int | None = 200_000, tag: str = TRUNCATED) -> Column:
+    """LF line ends, no control characters below blank but tab and LF, cut at cap, if any, with a tag; a null is empty."""
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce(_col(c), F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), r"\r\n?", "\n")
+    if cap is None:
+        return clean
     return F.when(F.length(clean) > cap, F.concat(F.substring(clean, 1, cap), F.lit(tag))).otherwise(clean)
 
 

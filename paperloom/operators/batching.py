@@ -7,11 +7,11 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from paperloom.functions import catalog as C
 from paperloom.functions import text as X
 from paperloom.operators.joins import merge_rescored
+from paperloom.operators.shared import numbered, stored
 
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
@@ -77,9 +77,10 @@ def cascade(files: DataFrame, cheap: Scorer = keyword_scorer, strong: Scorer = k
     low = keyed.filter(least).select("case_id", "path", F.lit("ALTRO").alias("classe"), F.lit(0.3).alias("confidence"))
     asked = keyed.filter(~least)
     asked = asked if partitions is None else asked.repartition(partitions)
-    stage1 = asked.mapInPandas(cheap, _SCORED)
+    # Scored once each: a scorer may cost much, and need not say the same twice.
+    stage1 = stored(asked.mapInPandas(cheap, _SCORED), "scored")
     doubt = asked.join(stage1.filter(F.col("confidence") < threshold).select("case_id", "path"), ["case_id", "path"], "left_semi")
-    merged = merge_rescored(stage1, doubt.mapInPandas(strong, _SCORED))
+    merged = merge_rescored(stage1, stored(doubt.mapInPandas(strong, _SCORED), "rescored"))
     return merged.unionByName(low.withColumn("rescored", F.lit(False)))
 
 
@@ -89,12 +90,13 @@ def recover(batches: DataFrame, scorer: Scorer, schema: str, key: list[str] = ["
     A batch without a result is scored again as a whole, then document by document (as batches of one). The scorer
     maps rows to (case_id, batch_id, path, output) rows of what it could do.
     """
-    first = batches.mapInPandas(scorer, schema)
+    # Each round is stored: it is scored once, and what it lost is fixed.
+    first = stored(batches.mapInPandas(scorer, schema), "first")
     lost = batches.join(first.select(*key).distinct(), key, "left_anti")
-    again = lost.mapInPandas(scorer, schema)
+    again = stored(lost.mapInPandas(scorer, schema), "again")
     still = lost.join(again.select(*key).distinct(), key, "left_anti")
-    single = still.withColumn("batch_id", F.col("batch_id") * 1_000_000 + F.row_number().over(Window.partitionBy(*key).orderBy("path")))
-    alone = single.mapInPandas(scorer, schema)
+    single = numbered(still, key, ["path"], "_n").withColumn("batch_id", F.col("batch_id") * 1_000_000 + F.col("_n")).drop("_n")
+    alone = stored(single.mapInPandas(scorer, schema), "alone")
     failed = single.join(alone.select(*key, "path"), [*key, "path"], "left_anti")
     return first.unionByName(again).unionByName(alone), failed.select("case_id", "path")
 

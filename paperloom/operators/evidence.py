@@ -9,12 +9,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from paperloom.functions import text as X
 from paperloom.functions.catalog import MARKERS
 from paperloom.operators.joins import accept_recovered, clause_coverage
-from paperloom.operators.ordering import ordered_results
+from paperloom.operators.shared import numbered, stored
 from paperloom.operators.summaries import resolve_company
 from paperloom.operators.windows import round_robin
 
@@ -91,16 +90,15 @@ def parse_evidence_v1(raw: DataFrame) -> DataFrame:
 def cards(parsed: DataFrame) -> DataFrame:
     """One row for each card of parse_evidence, with a position in its case."""
     each = parsed.filter("ok").select("case_id", "batch_id", "chunk", F.posexplode("cards").alias("n", "x")).select("case_id", "batch_id", "chunk", "n", "x.section", "x.card")
-    w = Window.partitionBy("case_id").orderBy("batch_id", "chunk", "n")
-    return each.withColumn("pos", F.row_number().over(w)).drop("chunk", "n")
+    return numbered(each, ["case_id"], ["batch_id", "chunk", "n"], "pos").drop("chunk", "n")
 
 
 def assemble(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(evidence, case_meta, failures): cards with sections merged by name whatever its case, the company and count of each case, and failed chunks."""
-    parsed = parse_evidence(raw)
-    found = cards(parsed).withColumn("section_key", F.upper(F.trim("section")))
-    first = Window.partitionBy("case_id", "section_key").orderBy("pos")
-    evidence = found.withColumn("section", F.first("section").over(first)).drop("section_key")
+    parsed = stored(parse_evidence(raw), "parsed")
+    found = stored(cards(parsed).withColumn("section_key", F.upper(F.trim("section"))), "cards")
+    names = found.groupBy("case_id", "section_key").agg(F.min_by("section", "pos").alias("section"))
+    evidence = found.drop("section").join(names, ["case_id", "section_key"], "left").drop("section_key")
     kinds = found.groupBy("case_id", "batch_id").agg(F.array_join(F.sort_array(F.collect_list(F.lower(F.coalesce(F.try_element_at("card", F.lit("tipo")), F.lit(""))))), " ").alias("tipo"))
     named = parsed.filter("azienda is not null").groupBy("case_id", "batch_id").agg(F.min_by("azienda", "chunk").alias("nome"))
     companies = resolve_company(named.join(kinds, ["case_id", "batch_id"], "left").select("case_id", F.col("batch_id").alias("batch_idx"), "nome", "tipo"))
@@ -159,9 +157,9 @@ def parse_narrative(raw: DataFrame) -> DataFrame:
 
 def assemble_narrative(paragraphs: DataFrame) -> DataFrame:
     """paragraphs(case_id, batch_id, n, categoria, contenuto) in the order of batches, numbered anew, with the areas that the case touches."""
-    w = Window.partitionBy("case_id")
-    out = ordered_results(paragraphs).withColumn("numero", F.row_number().over(w.orderBy("batch_id", "n")))
-    return out.withColumn("areas", F.size(F.collect_set(F.coalesce("categoria", F.lit("18"))).over(w)))
+    out = numbered(paragraphs, ["case_id"], ["batch_id", "n"], "numero")
+    areas = paragraphs.groupBy("case_id").agg(F.count_distinct(F.coalesce("categoria", F.lit("18"))).cast("int").alias("areas"))
+    return out.join(areas, "case_id", "left")
 
 
 def build_checklist(report: DataFrame, norm_clauses: DataFrame, scorer, groups: int = 6, least: int = 50) -> DataFrame:
@@ -174,10 +172,10 @@ def build_checklist(report: DataFrame, norm_clauses: DataFrame, scorer, groups:
     asked = dealt.groupBy("norm", "group_no").agg(F.sort_array(F.collect_list("clause_key")).alias("keys"))
     fields = "case_id string, norm string, clause_key string, text string"
     named = report.select(F.col("case_id").cast("string").alias("case_id"), "norm", F.col("text").alias("report"))
-    first = named.join(asked, "norm").mapInPandas(scorer, fields)
+    first = stored(named.join(asked, "norm").mapInPandas(scorer, fields), "answers")
     missing = clause_coverage(first, norm_clauses).filter(F.col("status").isin("missing", "empty", "short"))
     single = missing.join(named, ["case_id", "norm"]).select("case_id", "norm", F.lit(-1).alias("group_no"), F.array("clause_key").alias("keys"), "report")
-    again = single.mapInPandas(scorer, fields)
+    again = stored(single.mapInPandas(scorer, fields), "answers")
     merged = accept_recovered(first, again, least)
     norms = norm_clauses.select("clause_key", "norm").distinct()
     return clause_coverage(merged.join(norms, "clause_key"), norm_clauses)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from paperloom.functions import catalog as C
 from paperloom.functions import text as X
+from paperloom.operators.shared import checked
 
 
 def drop_artifacts(files: DataFrame) -> DataFrame:
@@ -134,9 +134,12 @@ def error_view(errors: DataFrame) -> DataFrame:
 
 def route_compact(docs: DataFrame, flag: str = "auto", threshold: int = 50) -> DataFrame:
     """docs(case_id, role) with compact: collective files go the compact way if it is on, or automatic and the case has many."""
-    many = F.count_if(F.col("role") == "AGGREGABLE").over(Window.partitionBy("case_id")) >= threshold
-    on = {"on": F.lit(True), "off": F.lit(False), "auto": many}[flag]
-    return docs.withColumn("compact", F.coalesce((F.col("role") == "AGGREGABLE") & on, F.lit(False)))
+    collective = F.coalesce(F.col("role") == "AGGREGABLE", F.lit(False))
+    if flag != "auto":
+        return docs.withColumn("compact", collective & F.lit(flag == "on"))
+    many = docs.filter("role = 'AGGREGABLE'").groupBy("case_id").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= threshold)
+    many = checked(many.select("case_id", F.lit(True).alias("_many")))
+    return docs.join(many, "case_id", "left").withColumn("compact", collective & F.col("_many").isNotNull()).drop("_many")
 
 
 def analysable(files: DataFrame) -> DataFrame:

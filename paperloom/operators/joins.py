@@ -9,15 +9,7 @@ from pyspark.sql.window import Window
 from paperloom.functions import catalog as C
 from paperloom.functions import text as X
 from paperloom.functions import values as V
-
-#: Rows up to which a side counts as small enough for a broadcast.
-SMALL_ROWS = 100_000
-
-
-def checked(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """Hint a broadcast of df if it has no more than that many rows; else Spark picks the join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
+from paperloom.operators.shared import checked, stored
 
 def merge_ocr(files: DataFrame, ocr: DataFrame) -> DataFrame:
     """Files with the text of ocr(case_id, path, ocr_text) where they have one; unprocessed tells those without any."""
@@ -53,7 +45,7 @@ def clause_coverage(clauses: DataFrame, norm_clauses: DataFrame, limits: DataFra
     """Every expected clause of the norms of a case, and its status: missing, empty, short, warning or complete."""
     limits = thresholds(clauses) if limits is None else limits
     wanted = clauses.select("case_id", "norm").distinct().join(checked(norm_clauses), "norm")
-    out = wanted.join(clauses.select("case_id", "norm", "clause_key", "text"), ["case_id", "norm", "clause_key"], "left").join(F.broadcast(limits), "norm", "left")
+    out = wanted.join(clauses.select("case_id", "norm", "clause_key", "text"), ["case_id", "norm", "clause_key"], "left").join(checked(limits), "norm", "left")
     least, warn = F.coalesce("min_words", F.lit(C.CLAUSE_WORDS_DEFAULT[0])), F.coalesce("warning_words", F.lit(C.CLAUSE_WORDS_DEFAULT[1]))
     words = X.word_count("text")
     status = F.when(F.col("text").isNull(), "missing").when(words == 0, "empty").when(words < least, "short").when(words < warn, "warning").otherwise("complete")
@@ -89,7 +81,7 @@ def detect_standard(df: DataFrame, standards: DataFrame, norm: str = "norma") ->
     fits = (up == F.col("_up")) | (up.contains(F.col("_up")) & ((F.size(numbers("key")) == 0) | (F.size(numbers(norm)) == 0) | F.arrays_overlap(numbers("key"), numbers(norm))))
     found = names.join(checked(keys), fits)
     best = found.groupBy(norm).agg(F.max(F.struct((up == F.col("_up")).alias("same"), F.length("key").alias("n"), "key")).alias("best"))
-    return df.join(checked(best.select(norm, F.col("best.key").alias("standard"))), norm, "left")
+    return df.join(checked(stored(best.select(norm, F.col("best.key").alias("standard")), "standards")), norm, "left")
 
 
 def areas(df: DataFrame) -> DataFrame:
@@ -98,11 +90,11 @@ def areas(df: DataFrame) -> DataFrame:
 
 def route_area(evidence: DataFrame, table: DataFrame | None = None, name: str = "categoria") -> DataFrame:
     """Evidence with its area: by number where the name starts with one, else by either name being part of the other."""
-    table = areas(evidence) if table is None else table
+    table = checked(areas(evidence) if table is None else table)
     names = evidence.select(name).distinct().withColumn("code", X.area_code(name))
-    by_code = names.filter("code is not null").join(F.broadcast(table), "code").select(name, "area")
+    by_code = names.filter("code is not null").join(table, "code").select(name, "area")
     up, area = F.upper(name), F.upper("area")
-    by_name = names.filter("code is null").drop("code").join(F.broadcast(table), up.contains(area) | area.contains(up))
+    by_name = names.filter("code is null").drop("code").join(table, up.contains(area) | area.contains(up))
     by_name = by_name.groupBy(name).agg(F.min_by("area", "area_no").alias("area"))
     return evidence.join(by_code.unionByName(by_name), name, "left")
 
@@ -120,7 +112,7 @@ def area_priority(df: DataFrame, order: list[str] = C.REPORT_AREAS, name: str =
 
 def matrix(cases: DataFrame, providers: DataFrame) -> DataFrame:
     """Every case with every provider, of which there are few."""
-    return cases.select("case_id").distinct().crossJoin(F.broadcast(providers.select("provider").distinct()))
+    return cases.select("case_id").distinct().crossJoin(checked(providers.select("provider").distinct()))
 
 
 def delta_vs(df: DataFrame, baseline: str, metrics: list[str]) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions import catalog as C
@@ -23,10 +23,14 @@ def sort_cases(cases: DataFrame, sort: str = "desc") -> DataFrame:
 
 
 def reading_order(files: DataFrame) -> DataFrame:
-    """files by category in reading order, then by name whatever its case; position tells it for each case."""
+    """files by category in reading order, then by name whatever its case."""
+    return files.withColumn("category_no", reading_rank("path")).orderBy("category_no", F.lower("path"), "path")
+
+
+def reading_rank(path: str) -> Column:
+    """the place of a file's category in reading order."""
     rank = {c: i for i, c in enumerate([*C.CATEGORIES_CLI, "other"])}
-    number = F.create_map(*(F.lit(x) for pair in rank.items() for x in pair))[X.categorize("path", "cli")]
-    return files.withColumn("category_no", number).orderBy("category_no", F.lower("path"), "path")
+    return F.create_map(*(F.lit(x) for pair in rank.items() for x in pair))[X.categorize(path, "cli")]
 
 
 def area_order(paragraphs: DataFrame, name: str = "categoria", then: str = "sottotitolo") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import catalog as C
 from paperloom.functions import text as X
 from paperloom.functions import values as V
+from paperloom.operators.shared import checked, numbered
 
 
 def _share(part: Column, of: Column, digits: int = 1) -> Column:
@@ -265,14 +266,24 @@ def dashboard(cases: DataFrame, as_of: str) -> DataFrame:
 
 
 def admin_panel(cases: DataFrame) -> DataFrame:
-    """Mean time and share of cases that took any."""
+    """Mean time and share of cases that took any; admin_users has the panel's list."""
     worked = F.col("processing_time_seconds") > 0
     return cases.agg(F.round(F.avg(F.when(worked, F.col("processing_time_seconds"))), 2).alias("mean_seconds"), _share(F.count_if(worked), F.count(F.lit(1))).alias("success_pct"))
 
 
+def admin_users(cases: DataFrame, k: int = 8) -> DataFrame:
+    """The k users of most cases, of equals the first by user, with the share of all cases."""
+    total = cases.count()
+    top = cases.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "user_id").limit(k)
+    return top.withColumn("share_pct", _share(F.col("n"), F.lit(total)))
+
+
 def unprocessed_report(df: DataFrame) -> DataFrame:
-    """Unprocessed files by phase and reason, with their names in order."""
-    return df.groupBy("phase", "reason").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("path")), ",").alias("paths"))
+    """Unprocessed files, a row each, numbered by name within phase and reason, with how many those have (n)."""
+    rows = numbered(df.select("phase", "reason", "path"), ["phase", "reason"], ["path"], "no")
+    counts = checked(df.groupBy("phase", "reason").agg(F.count(F.lit(1)).alias("n")))
+    same = rows.phase.eqNullSafe(counts.phase) & rows.reason.eqNullSafe(counts.reason)
+    return rows.join(counts, same).select(rows.phase, rows.reason, "no", "path", "n")
 
 
 def role_audit(df: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from paperloom.operators.shared import carried, numbered, placed, with_runs
+
 _BEFORE = (Window.unboundedPreceding, -1)
 
 
@@ -15,14 +17,17 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 
 
 def renumber(df: DataFrame, order: list, by: list[str] = ["case_id"], out: str = "numero") -> DataFrame:  # noqa: B006
-    """Rows of a case numbered 1 to N in the order given."""
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
+    """Rows of a case numbered 1 to N in the order given, with no task that holds a whole case."""
+    return numbered(df, by, order, out)
 
 
 def running_offset(df: DataFrame, size: str, order: list, by: list[str], start: int = 1, out: str = "offset") -> DataFrame:
-    """Start plus the sum of size over the rows before."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(*_BEFORE)
-    return df.withColumn(out, start + F.coalesce(F.sum(size).over(w), F.lit(0)))
+    """Start plus the sum of size over the rows before: of a range of rows, and of all ranges before."""
+    rows = placed(df, by, order)
+    runs = carried(rows, by, F.sum(size), lambda x, w: F.coalesce(F.sum(x).over(w), F.lit(0)))
+    inside = Window.partitionBy("_part", *by).orderBy("_at").rowsBetween(*_BEFORE)
+    found = with_runs(rows, runs, by).withColumn(out, start + F.col("_of_part") + F.coalesce(F.sum(size).over(inside), F.lit(0)))
+    return found.drop("_at", "_part", "_first", "_of_part")
 
 
 def homogeneous_groups(evidence: DataFrame, n: int = 3) -> DataFrame:
@@ -33,8 +38,12 @@ def homogeneous_groups(evidence: DataFrame, n: int = 3) -> DataFrame:
 
 def fill_section(df: DataFrame, default: str = "18") -> DataFrame:
     """df(case_id, pos, own, header) with section: its own, else that of the nearest header above, else the default."""
-    w = Window.partitionBy("case_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("section", F.coalesce("own", F.last("header", ignorenulls=True).over(w), F.lit(default)))
+    rows = placed(df, ["case_id"], ["pos"])
+    last = F.max_by("header", F.when(F.col("header").isNotNull(), F.col("_at")))
+    runs = carried(rows, ["case_id"], last, lambda x, w: F.last(x, ignorenulls=True).over(w))
+    inside = Window.partitionBy("_part", "case_id").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    section = F.coalesce("own", F.last("header", ignorenulls=True).over(inside), "_of_part", F.lit(default))
+    return with_runs(rows, runs, ["case_id"]).withColumn("section", section).drop("_at", "_part", "_first", "_of_part")
 
 
 def merge_first(df: DataFrame, fields: list[str], order: str) -> DataFrame:
@@ -45,12 +54,12 @@ def merge_first(df: DataFrame, fields: list[str], order: str) -> DataFrame:
 
 def round_robin(df: DataFrame, order: list, by: list[str], n: int = 6, out: str = "group_no") -> DataFrame:
     """Rows dealt to n groups in turn."""
-    return df.withColumn(out, (F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) % n)
+    return numbered(df, by, order, out, 0).withColumn(out, F.col(out) % n)
 
 
 def chunk(df: DataFrame, order: list, by: list[str], n: int = 100, out: str = "chunk_no") -> DataFrame:
     """Rows in chunks of n."""
-    return df.withColumn(out, F.floor((F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1) / n).cast("int"))
+    return numbered(df, by, order, out, 0).withColumn(out, F.floor(F.col(out) / n).cast("int"))
 
 
 def rotate(df: DataFrame, i: str, labels: list[str], out: str = "label") -> DataFrame:

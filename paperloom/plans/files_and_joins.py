@@ -143,10 +143,10 @@ def _(f):
     return files.analysable(f).select("doc_id")
 
 
-@query("p19_shallow_warnings", "v_evidence")
+@query("p19_shallow_warnings", "v_evidence", sql="SELECT case_id, path, 'SICUREZZA' AS cluster, 'misure' AS field, ' Presente ' AS value FROM v_evidence WHERE pos % 3 = 0 UNION ALL SELECT case_id, path, 'SICUREZZA', 'testo', text FROM v_evidence WHERE lower(trim(text)) IN ('si', 'sì', 'yes', 'presente', 'present', 'presenti', 'ok')")
 def _(e):
-    fields = F.create_map(F.lit("misure"), F.when(F.col("pos") % 3 == 0, " Presente ").otherwise("a | b"), F.lit("esito"), F.lit("si"))
-    return files.shallow_warnings(e.select("case_id", "path", F.create_map(F.lit("SICUREZZA"), fields).alias("clusters")), ["misure"])
+    fields = F.create_map(F.lit("misure"), F.when(F.col("pos") % 3 == 0, " Presente ").otherwise("a | b"), F.lit("esito"), F.lit("si"), F.lit("testo"), F.col("text"))
+    return files.shallow_warnings(e.select("case_id", "path", F.create_map(F.lit("SICUREZZA"), fields).alias("clusters")), ["misure", "testo"])
 
 
 # The safety net: W01, W02, D01 and its ledger.
@@ -240,9 +240,14 @@ def _(c, n):
     return joins.missing_clauses(c, n)
 
 
-@query("d12_thresholds", "v_clauses", sql="SELECT * FROM (VALUES " + ", ".join(f"('{n}', {a}, {b})" for n, a, b in C.CLAUSE_WORDS) + ") t(norm, min_words, warning_words) WHERE (SELECT count(*) FROM v_clauses) > 0")
+_NORM = "CASE norm WHEN 'en' THEN 'ISO 9001' WHEN 'fr' THEN 'ESG' ELSE norm END"
+
+
+@query("d12_thresholds", "v_clauses", sql=f"WITH t(norm, min_words, warning_words) AS (VALUES {', '.join(str(x) for x in C.CLAUSE_WORDS)}) SELECT c.norm, coalesce(t.min_words, {C.CLAUSE_WORDS_DEFAULT[0]}) AS min_words, coalesce(t.warning_words, {C.CLAUSE_WORDS_DEFAULT[1]}) AS warning_words, c.clauses FROM (SELECT {_NORM} AS norm, count(*) AS clauses FROM v_clauses GROUP BY 1) c LEFT JOIN t ON c.norm = t.norm")
 def _(c):
-    return joins.thresholds(c).join(c.agg(F.count(F.lit(1)).alias("n")).filter("n > 0"), how="cross").drop("n")
+    least, warn = (F.coalesce(n, F.lit(x)).alias(n) for n, x in zip(("min_words", "warning_words"), C.CLAUSE_WORDS_DEFAULT, strict=True))
+    norms = c.groupBy(F.expr(_NORM).alias("norm")).agg(F.count(F.lit(1)).alias("clauses"))
+    return norms.join(joins.thresholds(c), "norm", "left").select("norm", least, warn, "clauses")
 
 
 @query("j08_lost_documents", "v_files", sql="SELECT doc_id FROM v_files WHERE doc_id % 10 NOT IN (0, 1, 2, 3, 4, 5, 6)")
@@ -331,12 +336,11 @@ def _(r):
     return joins.delta_vs(means, "1-URGENT", ["seconds", "cost"])
 
 
-@query("j15_coverage_by_tokens", "v_files", sql="WITH n AS (SELECT case_id, doc_id, list_distinct(list_filter(regexp_split_to_array(lower(substr(regexp_replace(text, '[./\\s]', ' ', 'g'), 1, 40)), '[^a-z]+'), lambda w: length(w) >= 4)) AS tokens FROM v_files), t AS (SELECT DISTINCT case_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS token FROM v_files WHERE doc_id % 50 = 0), x AS (SELECT case_id, doc_id, unnest(tokens) AS token FROM n), h AS (SELECT x.doc_id, count(*) AS hits FROM x JOIN t USING (case_id, token) GROUP BY 1) SELECT n.case_id, n.doc_id, CAST(len(tokens) AS INT) AS tokens, CAST(coalesce(hits, 0) AS INT) AS hits, coalesce(hits, 0) >= least(2, len(tokens)) AS found FROM n LEFT JOIN h USING (doc_id)")
+# Every file's name against the texts of all files of its case.
+@query("j15_coverage_by_tokens", "v_files", sql="WITH n AS (SELECT case_id, doc_id, list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(regexp_replace(path, '^.*/', ''), '\\.[^.]*$', '')), '[^a-z]+'), lambda w: length(w) >= 4)) AS tokens FROM v_files), t AS (SELECT DISTINCT case_id, unnest(regexp_split_to_array(lower(text), '[^a-z]+')) AS token FROM v_files), x AS (SELECT case_id, doc_id, unnest(tokens) AS token FROM n), h AS (SELECT x.doc_id, count(*) AS hits FROM x JOIN t USING (case_id, token) GROUP BY 1) SELECT n.case_id, n.doc_id, CAST(len(tokens) AS INT) AS tokens, CAST(coalesce(hits, 0) AS INT) AS hits, coalesce(hits, 0) >= least(2, len(tokens)) AS found FROM n LEFT JOIN h USING (doc_id)")
 def _(f):
-    head = F.substring(F.regexp_replace("text", r"[./\s]", " "), 1, 40)
-    named = f.select("case_id", "doc_id", head.alias("head"))
-    short = named.select("case_id", F.concat_ws("/", F.col("doc_id").cast("string"), F.concat("head", F.lit(".x"))).alias("path"))
-    out = joins.coverage_by_tokens(short, f.filter("doc_id % 50 = 0").select("case_id", "text"))
+    named = f.select("case_id", F.concat_ws("/", F.col("doc_id").cast("string"), "path").alias("path"))
+    out = joins.coverage_by_tokens(named, f.select("case_id", "text"))
     return out.select("case_id", F.split("path", "/")[0].cast("long").alias("doc_id"), "tokens", "hits", "found")
 
 
@@ -409,10 +413,10 @@ def _(f):
     return done.select("case_id", "path", F.lit("done").alias("state")).unionByName(failed.select("case_id", "path", F.lit("failed").alias("state")))
 
 
-@query("d06_with_fallback", "v_files", sql="WITH p AS (SELECT doc_id AS batch_id, CASE doc_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'truncated' ELSE 'failed' END AS status, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN substr(text, 1, 50) END AS output, CASE WHEN doc_id % 2 = 0 THEN 'ok' ELSE 'truncated' END AS s2, substr(text, 1, 40) AS o2 FROM v_files), q AS (SELECT *, coalesce(status <> 'ok' AND o2 IS NOT NULL AND (s2 = 'ok' OR length(o2) > length(coalesce(output, ''))), false) AS b FROM p) SELECT batch_id, CASE WHEN b THEN s2 ELSE status END AS status, CASE WHEN b THEN o2 ELSE output END AS output, b AS fell_back FROM q")
+@query("d06_with_fallback", "v_files", sql="WITH p AS (SELECT doc_id AS batch_id, CASE doc_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'truncated' ELSE 'failed' END AS status, CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN substr(text, 1, length(text) // 2) END AS output, CASE WHEN doc_id % 2 = 0 THEN 'ok' ELSE 'truncated' END AS s2, CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, length(text) // 3) ELSE text END AS o2 FROM v_files), q AS (SELECT *, coalesce(status <> 'ok' AND o2 IS NOT NULL AND (s2 = 'ok' OR length(o2) > length(coalesce(output, ''))), false) AS b FROM p) SELECT batch_id, CASE WHEN b THEN s2 ELSE status END AS status, CASE WHEN b THEN o2 ELSE output END AS output, b AS fell_back FROM q")
 def _(f):
-    first = f.select(F.col("doc_id").alias("batch_id"), F.expr("CASE doc_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'truncated' ELSE 'failed' END").alias("status"), F.expr("CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN substr(text, 1, 50) END").alias("output"))
-    second = f.select(F.col("doc_id").alias("batch_id"), F.expr("CASE WHEN doc_id % 2 = 0 THEN 'ok' ELSE 'truncated' END").alias("status"), F.expr("substr(text, 1, 40)").alias("output"))
+    first = f.select(F.col("doc_id").alias("batch_id"), F.expr("CASE doc_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'truncated' ELSE 'failed' END").alias("status"), F.expr("CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN substr(text, 1, length(text) div 2) END").alias("output"))
+    second = f.select(F.col("doc_id").alias("batch_id"), F.expr("CASE WHEN doc_id % 2 = 0 THEN 'ok' ELSE 'truncated' END").alias("status"), F.expr("CASE WHEN doc_id % 5 = 0 THEN substr(text, 1, length(text) div 3) ELSE text END").alias("output"))
     return batching.with_fallback(first, second, ["batch_id"])
 
 
@@ -432,9 +436,9 @@ def _(f):
     return windows.renumber(ordering.reading_order(f), ["category_no", F.lower("path"), "path", "doc_id"], out="n").select("doc_id", F.col("n").cast("long").alias("n"))
 
 
-@query("f04_area_order", "v_paragraphs", sql=f"SELECT case_id, numero, row_number() OVER (PARTITION BY case_id ORDER BY {_PRIORITY}, s, numero) AS n FROM (SELECT case_id, numero, {_CAT} AS c, substr(contenuto, 1, 20) AS s FROM v_paragraphs)")
+@query("f04_area_order", "v_paragraphs", sql=f"SELECT case_id, numero, row_number() OVER (PARTITION BY case_id ORDER BY {_PRIORITY}, s, numero) AS n FROM (SELECT case_id, numero, {_CAT} AS c, contenuto AS s FROM v_paragraphs)")
 def _(p):
-    rows = p.select("case_id", "numero", F.expr(_CAT).alias("categoria"), F.substring("contenuto", 1, 20).alias("sottotitolo"))
+    rows = p.select("case_id", "numero", F.expr(_CAT).alias("categoria"), F.col("contenuto").alias("sottotitolo"))
     return windows.renumber(ordering.area_order(rows), ["priority", "sottotitolo", "numero"], out="n").select("case_id", "numero", F.col("n").cast("long").alias("n"))
 
 

@@ -116,7 +116,7 @@ def _(e):
 
 @query("s11_parse_narrative", "v_evidence", sql="SELECT case_id, pos AS batch_id, CASE WHEN pos % 2 = 0 THEN 1 ELSE 2 END AS tier, CAST(pos AS INT) AS numero, categoria FROM v_evidence")
 def _(e):
-    item = F.to_json(F.struct(F.col("pos").cast("int").alias("numero"), "categoria", F.lit("t").alias("sottotitolo"), F.substring("text", 1, 100).alias("contenuto")))
+    item = F.to_json(F.struct(F.col("pos").cast("int").alias("numero"), "categoria", F.lit("t").alias("sottotitolo"), F.col("text").alias("contenuto")))
     text = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("["), item, F.lit("]"))).otherwise(F.concat(F.lit("Ecco: {\"paragrafi\": ["), item, F.lit(",]} fine {")))
     return E.parse_narrative(e.select("case_id", F.col("pos").alias("batch_id"), text.alias("text"))).select("case_id", "batch_id", "tier", "numero", "categoria")
 
@@ -128,7 +128,8 @@ def _(p):
 
 @query("s13_parse_checklists", "v_clauses", sql="SELECT case_id, norm, clause_key, text FROM v_clauses")
 def _(c):
-    rows = c.groupBy("case_id", "norm").agg(F.sort_array(F.collect_list(F.struct("clause_key", "text"))).alias("x"))
+    # A checklist holds fifty clauses at most.
+    rows = c.groupBy("case_id", "norm", F.expr("doc_id div 50").alias("part")).agg(F.sort_array(F.collect_list(F.struct("clause_key", "text"))).alias("x"))
     as_map = rows.filter("norm in ('en', 'fr')").select(F.col("case_id").alias("azienda"), F.col("norm").alias("norma"), F.map_from_entries("x").alias("clausole"))
     as_list = rows.filter("norm not in ('en', 'fr')").select(F.col("case_id").alias("azienda"), F.col("norm").alias("norma"), F.transform("x", lambda y: F.struct(y["clause_key"].alias("requisito"), y["text"].alias("evidenza"))).alias("contenuto"))
     return T.parse_checklists(as_map.unionByName(as_list, allowMissingColumns=True))
@@ -144,6 +145,11 @@ def _(f):
     return A.manifest(f)
 
 
+@query("s15_manifest_list", "v_files", sql=f"SELECT case_id, path, category, CAST(row_number() OVER (PARTITION BY case_id ORDER BY CASE category WHEN 'pdf' THEN 0 WHEN 'word' THEN 1 WHEN 'excel' THEN 2 WHEN 'images' THEN 3 WHEN 'text' THEN 4 ELSE 5 END, lower(path), path) AS INT) AS no FROM (SELECT case_id, path, {category(C.CATEGORIES_CLI, False)} AS category FROM v_files)")
+def _(f):
+    return A.manifest_list(f)
+
+
 @query("s16_append_case", "v_cases", sql="SELECT tipo, count(*) + 5 AS n FROM v_cases GROUP BY 1")
 def _(c):
     new = c.groupBy("tipo").agg(F.min("id").alias("id")).select("tipo", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("id"))
@@ -195,9 +201,9 @@ def _(p):
 
 
 def _answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A scorer for the checklist: the report's words, in length by the clause; some clauses only when asked alone."""
+    """A scorer for the checklist: every first, second or third word of the report by the clause; some clauses only when asked alone."""
     for b in batches:
-        rows = [(c, n, k, " ".join((t or "").split()[: 60 + 7 * len(k) * (i % 3)])) for c, n, keys, t in zip(b["case_id"], b["norm"], b["keys"], b["report"], strict=True) for i, k in enumerate(keys) if len(keys) == 1 or i % 4]
+        rows = [(c, n, k, " ".join((t or "").split()[:: 1 + i % 3])) for c, n, keys, t in zip(b["case_id"], b["norm"], b["keys"], b["report"], strict=True) for i, k in enumerate(keys) if len(keys) == 1 or i % 4]
         yield pd.DataFrame(rows, columns=["case_id", "norm", "clause_key", "text"])
 
 

@@ -199,9 +199,14 @@ def _(c):
     return summaries.admin_panel(c)
 
 
-@query("a39_unprocessed_report", "v_files", sql="SELECT CASE WHEN doc_id % 2 = 0 THEN 'ocr' ELSE 'parse' END AS phase, concat('r', CAST(doc_id % 3 AS VARCHAR)) AS reason, count(*) AS n, string_agg(path, ',' ORDER BY path) AS paths FROM v_files WHERE doc_id % 20 = 1 OR doc_id % 20 = 4 GROUP BY 1, 2")
+@query("a36_admin_users", "v_cases", sql="SELECT user_id, n, round(100.0 * n / (SELECT count(*) FROM v_cases), 1) AS share_pct FROM (SELECT user_id, count(*) AS n FROM v_cases GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 8)")
+def _(c):
+    return summaries.admin_users(c)
+
+
+@query("a39_unprocessed_report", "v_files", sql="SELECT phase, reason, path, CAST(row_number() OVER (PARTITION BY phase, reason ORDER BY path) AS INT) AS no, count(*) OVER (PARTITION BY phase, reason) AS n FROM (SELECT path, CASE WHEN doc_id % 2 = 0 THEN 'ocr' ELSE 'parse' END AS phase, concat('r', CAST(doc_id % 3 AS VARCHAR)) AS reason FROM v_files)")
 def _(f):
-    rows = f.filter("doc_id % 20 in (1, 4)").select("path", F.when(F.col("doc_id") % 2 == 0, "ocr").otherwise("parse").alias("phase"), F.concat(F.lit("r"), (F.col("doc_id") % 3).cast("string")).alias("reason"))
+    rows = f.select("path", F.when(F.col("doc_id") % 2 == 0, "ocr").otherwise("parse").alias("phase"), F.concat(F.lit("r"), (F.col("doc_id") % 3).cast("string")).alias("reason"))
     return summaries.unprocessed_report(rows)
 
 
@@ -308,7 +313,7 @@ def _text(name: str, sql: str, column, view: str = "documents", key: str = "doc_
 
 _text("h01_py_strip", "regexp_replace(concat(chr(9), text, chr(10), ' '), '^\\s+|\\s+$', '', 'g')", lambda: X.py_strip(F.concat(F.lit("\t"), "text", F.lit("\n "))))
 _text("h02_word_count", f"CAST({words('text')} AS INT)", lambda: X.word_count("text"))
-_text("h03_sanitize", "CASE WHEN length(replace(text, '.', chr(10))) > 1000 THEN concat(substr(replace(text, '.', chr(10)), 1, 1000), chr(10), '[...troncato...]') ELSE replace(text, '.', chr(10)) END", lambda: X.sanitize(F.replace("text", F.lit("."), F.lit("\r\n")), 1000))
+_text("h03_sanitize", "CASE WHEN length(replace(text, '.', chr(10))) > 1000 THEN concat(substr(replace(text, '.', chr(10)), 1, 1000), chr(10), '[TESTO TRONCATO V2]') ELSE replace(text, '.', chr(10)) END", lambda: X.sanitize(F.replace("text", F.lit("."), F.lit("\r\n")), 1000))
 _text("h04_xml_safe", "replace(text, '.', '')", lambda: X.xml_safe(F.replace("text", F.lit("."), F.lit("\x0b"))))
 _text("h05_printable_ratio", "CASE WHEN text = '' THEN 0 ELSE 1.0 - (length(concat(text, chr(1))) - length(text)) / length(concat(text, chr(1))) END", lambda: F.when(F.col("text") == "", 0.0).otherwise(X.printable_ratio(F.concat("text", F.lit("\x01")))))
 _text("h06_compress_text", "trim(regexp_replace(text, '\\s+', ' ', 'g'))", lambda: X.optimize_text("text"))
@@ -342,9 +347,9 @@ _text("h32_backoff", "least(60.0, 2.0 * pow(2, n_truncated))", lambda: V.backoff
 _text("h33_md_tables", "len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x), '^\\|.*\\|$') AND NOT regexp_matches(trim(x), '^\\|[\\s:|-]+\\|$')))::INT + 2", lambda: F.size(X.md_tables(F.concat(F.lit("| a | b |\n|---|:--|\n| 1 | 2 |\n"), "text"))))
 
 
-@query("h37_dedup_runs", "documents", sql="SELECT doc_id, array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), ' ') AS value FROM (SELECT doc_id, list_transform(string_split(text, ' ')[1:60], lambda w: substr(w, 1, 1)) AS l FROM documents)")
+@query("h37_dedup_runs", "documents", sql="SELECT doc_id, array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), ' ') AS value FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents)")
 def _(d):
-    return d.select("doc_id", F.array_join(X.dedup_runs(F.transform(F.slice(F.split("text", " "), 1, 60), lambda w: F.substring(w, 1, 1))), " ").alias("value"))
+    return d.select("doc_id", F.array_join(X.dedup_runs(F.split("text", " ")), " ").alias("value"))
 
 
 @query("h19_resolve_case_name", "v_candidates", sql="SELECT batch_idx AS case_id, CASE WHEN batch_idx % 2 = 0 THEN concat('AZIENDA ALFA ', CAST(batch_idx % 9 AS VARCHAR), ' SRL') WHEN batch_idx % 3 = 0 THEN 'AZIENDA BETA' ELSE nome END AS name, CASE WHEN batch_idx % 2 = 0 AND batch_idx % 3 = 0 THEN 'registry_and_archive' WHEN batch_idx % 2 = 0 THEN 'registry' WHEN batch_idx % 3 = 0 THEN 'archive' ELSE 'vote' END AS how FROM v_candidates")

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import lzma
 import re
 import zipfile
+import zlib
 from collections.abc import Callable, Iterator
 from html import unescape
 from html.parser import HTMLParser
@@ -15,7 +17,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
-from paperloom.operators.ordering import reading_order
+from paperloom.operators.ordering import reading_rank
+from paperloom.operators.shared import numbered
 
 _FILES = "case_id string, path string, filename string, size long, content binary, problem string"
 
@@ -45,7 +48,7 @@ def expand(case_id: str, content: bytes, max_depth: int = 10, max_files: int = 5
                 return
             try:
                 found = archive.read(member)
-            except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError, OSError):
+            except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, RuntimeError, NotImplementedError, EOFError, OSError, ValueError):
                 yield _row(case_id, path, None, "unreadable_member")
                 continue
             if path.lower().endswith(".zip"):
@@ -271,8 +274,11 @@ HANDLERS: dict[str, Callable[[bytes], str]] = {
 }
 
 
-def extract_text(files: DataFrame, handlers: dict[str, Callable[[bytes], str]] = HANDLERS, cap: int = 200_000) -> DataFrame:
-    """files(case_id, path, content) with text and method; a file that fails has no text and says so, its task goes on."""
+def extract_text(files: DataFrame, handlers: dict[str, Callable[[bytes], str]] = HANDLERS, cap: int | None = None) -> DataFrame:
+    """files(case_id, path, content) with text and method; a file that fails has no text and says so, its task goes on.
+
+    A text of more than cap characters, where there is one, is cut, and its method is truncated.
+    """
     keyed = files.select("case_id", "path", X.categorize("path").alias("category"), "content")
 
     def one(category: str, content: bytes | None) -> tuple[str | None, str]:
@@ -284,7 +290,9 @@ def extract_text(files: DataFrame, handlers: dict[str, Callable[[bytes], str]] =
             text = handlers[category](content)
         except Exception as e:  # noqa: BLE001  any handler may fail on any file
             return None, f"failed:{type(e).__name__}"
-        return text[:cap], "ok" if text.strip() else "empty"
+        if cap is not None and len(text) > cap:
+            return text[:cap], "truncated"
+        return text, "ok" if text.strip() else "empty"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -294,14 +302,25 @@ def extract_text(files: DataFrame, handlers: dict[str, Callable[[bytes], str]] =
     return keyed.mapInPandas(run, "case_id string, path string, category string, text string, method string")
 
 
-def ingest(archives: DataFrame, handlers: dict[str, Callable[[bytes], str]] = HANDLERS, least: int = 10) -> DataFrame:
-    """archives(case_id, content) → members that are no artefacts, with their text and whether there is enough of it."""
+def ingest(archives: DataFrame, handlers: dict[str, Callable[[bytes], str]] = HANDLERS, least: int = 10, cap: int | None = None) -> DataFrame:
+    """archives(case_id, content) → members that are no artefacts, with their text and whether there is enough of it.
+
+    Texts are cleaned, and cut at cap where there is one, in one place: sanitize marks what it cuts, and method tells it.
+    """
     members = expand_archives(archives)
     good = members.filter(F.col("problem").isNull() & ~X.is_artifact("path") & (X.categorize("path") != "skip"))
     out = extract_text(good, handlers)
-    return out.withColumn("text", X.sanitize("text")).withColumn("enough", F.coalesce(F.length(X.py_strip("text")) >= least, F.lit(False)))
+    cut = F.lit(False) if cap is None else F.length(X.sanitize("text", None)) > cap
+    out = out.withColumn("method", F.when(cut, "truncated").otherwise(F.col("method")))
+    return out.withColumn("text", F.when(F.col("text").isNotNull(), X.sanitize("text", cap))).withColumn("enough", F.coalesce(F.length(X.py_strip("text")) >= least, F.lit(False)))
 
 
 def manifest(files: DataFrame) -> DataFrame:
-    """Files of each category of a case, in reading order."""
-    return reading_order(files.withColumn("category", X.categorize("path", "cli"))).groupBy("case_id", "category").agg(F.count(F.lit(1)).alias("files"))
+    """Files of each category of a case."""
+    return files.withColumn("category", X.categorize("path", "cli")).groupBy("case_id", "category").agg(F.count(F.lit(1)).alias("files"))
+
+
+def manifest_list(files: DataFrame) -> DataFrame:
+    """The files themselves, a row each, numbered in reading order within their case."""
+    ranked = files.select("case_id", "path", X.categorize("path", "cli").alias("category"), reading_rank("path").alias("_rank"))
+    return numbered(ranked, ["case_id"], ["_rank", F.lower("path"), "path"], "no").drop("_rank")

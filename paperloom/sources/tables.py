@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from paperloom.functions import text as X
+from paperloom.operators.shared import numbered
 
 EVENT_FIELDS = "type string, ts timestamp, session_id string, phase string, pct double, detail string, duration_seconds double, filename string, size_bytes long, kind string, msg string, chars long, method string, success boolean, batch int, chunk string, event_id long, _corrupt string"
 
@@ -90,9 +90,8 @@ def list_sections(evidence: DataFrame) -> DataFrame:
 
 
 def export_cases(cases: DataFrame) -> DataFrame:
-    """The list of cases for a spreadsheet, newest first and numbered; for one user's list, which is short."""
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("data_creazione"), "id"))
-    return cases.select("user_id", n.alias("n"), "id", "tipo", "azienda", "norma", F.date_format("data_creazione", "dd/MM/yyyy").alias("data"), F.round("processing_time_seconds", 1).alias("secondi"))
+    """The list of cases for a spreadsheet, newest first and numbered by user."""
+    return numbered(cases, ["user_id"], [F.desc("data_creazione"), "id"], "n").select("user_id", "n", "id", "tipo", "azienda", "norma", F.date_format("data_creazione", "dd/MM/yyyy").alias("data"), F.round("processing_time_seconds", 1).alias("secondi"))
 
 
 def retention_plan(df: DataFrame, as_of: str, live: int = 7, archive: int = 30, ts: str = "ts") -> DataFrame:

@@ -219,3 +219,75 @@ def test_sql_functions(spark):
     assert "pl_word_count" in register(spark)
     row = spark.sql("SELECT pl_word_count(' a  b ') AS n, pl_it_date('31/12/2024') AS d, pl_it_date('2024') AS e, pl_pct(1, 0) AS p, pl_file_name('a/b.c') AS f").first()
     assert (row.n, str(row.d), row.e, row.p, row.f) == (2, "2024-12-31", None, 0.0, "b.c")
+
+
+def test_numbering_of_a_hot_case(spark):
+    """A case of nine tenths of the rows is numbered, summed and filled as a window over all of it would."""
+    from pyspark.sql.window import Window
+
+    from paperloom.operators import windows
+
+    df = spark.range(5000).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.when(F.col("id") % 20 > 0, "b")).alias("case_id"), F.col("id").alias("pos"), F.lit(None).cast("string").alias("own"), F.when(F.col("id") % 700 == 3, F.concat(F.lit("h"), "id")).alias("header"))
+    df = df.repartition(7)
+    w = Window.partitionBy("case_id").orderBy("pos")
+    want = df.select("pos", F.row_number().over(w).alias("n"), F.coalesce(F.sum("pos").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("s"), F.coalesce(F.last("header", True).over(w), F.lit("18")).alias("h"))
+    key = lambda rows: sorted(map(tuple, rows))
+    assert key(windows.renumber(df, ["pos"], out="n").select("pos", "n").collect()) == key(want.select("pos", "n").collect())
+    assert key(windows.running_offset(df, "pos", ["pos"], ["case_id"], 0, "s").select("pos", "s").collect()) == key(want.select("pos", "s").collect())
+    assert key(windows.fill_section(df).select("pos", "section").collect()) == key(want.select("pos", "h").collect())
+    assert windows.renumber(df.limit(0), ["pos"]).count() == 0
+    # Most ranges hold rows of the hot case: no task has it whole.
+    from paperloom.operators.shared import placed
+
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    assert placed(df, ["case_id"], ["pos"]).filter("case_id = 'hot'").select("_part").distinct().count() > 1
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_scorers_see_each_row_once_a_round(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def scorer(batches):
+        for b in batches:
+            seen.add(len(b))
+            b = b[(b["batch_id"] != 1) | (b["batch_id"] > 10)]
+            yield b.assign(output="x")[["case_id", "batch_id", "path", "output"]]
+
+    docs = spark.createDataFrame([("c", i // 3, f"f{i}") for i in range(12)], "case_id string, batch_id long, path string")
+    done, failed = batching.recover(docs, scorer, "case_id string, batch_id long, path string, output string")
+    assert (done.count(), failed.count(), done.count()) == (12, 0, 12)
+    assert seen.value == 12 + 3 + 3
+    seen.value = 0
+
+    def cheap(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b[["case_id", "path"]].assign(classe="DVR", confidence=0.5)
+
+    df = spark.createDataFrame([("c", str(i), "visura.pdf", "x" * 80) for i in range(5)], "case_id string, path string, filename string, text string")
+    out = batching.cascade(df, cheap, cheap)
+    assert (out.count(), out.filter("rescored").count(), seen.value) == (5, 5, 10)
+
+
+def test_corrupt_members_and_long_texts(spark):
+    data = bytearray(_zip({"a.txt": "one"}))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("b.txt", "some text " * 500)
+    broken = bytearray(out.getvalue())
+    broken[40:60] = bytes(20)
+    df = spark.createDataFrame([("c1", data), ("c2", broken)], "case_id string, content binary")
+    assert {(r.path, r.problem) for r in archives.expand_archives(df).collect()} == {("a.txt", None), ("b.txt", "unreadable_member")}
+    long = "é" * 250_000
+    files_ = spark.createDataFrame([("c", "a.txt", bytearray(long.encode()))], "case_id string, path string, content binary")
+    whole, cut = archives.extract_text(files_).first(), archives.extract_text(files_, cap=200_000).first()
+    assert (whole.text, whole.method) == (long, "ok") and (len(cut.text), cut.method) == (200_000, "truncated")
+    df = spark.createDataFrame([("c1", bytearray(_zip({"a.txt": long.encode()})))], "case_id string, content binary")
+    assert archives.ingest(df).first().text == long
+    cut = archives.ingest(df, cap=200_000).first()
+    assert cut.text == long[:200_000] + "\n[TESTO TRONCATO V2]" and cut.method == "truncated"
+
+
+def test_sanitize(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(X.sanitize(F.lit("a\r\nb\rc\x00\x7f\td"))) == "a\nb\nc\x7f\td" and one(X.sanitize(F.lit(None).cast("string"))) == ""
