@@ -9,14 +9,15 @@ from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 #: Words are runs of anything but ASCII white space; bytes.split() of Python cuts at the same six bytes.
 WHITE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: Rows up to which a table of a few numbers a row counts as small enough for a broadcast (about 64 MB).
-BROADCAST_ROWS = 1_000_000
+#: Bytes up to which a table counts as small enough for a broadcast.
+BROADCAST_BYTES = 64_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -78,13 +79,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS, each: Column | None = None) -> DataFrame:
-    """Hint a broadcast if df, a stored table of narrow rows, has no more than that many; else leave the join to Spark.
+def small(df: DataFrame, each: Column | None = None) -> DataFrame:
+    """Hint a broadcast if df, a stored table, has no more than BROADCAST_BYTES; else leave the join to Spark.
 
-    each: what a row counts, where it holds an array.
+    Bytes are rows times the width of their columns: a number 8, a digest or short string 40, and 16 for the row. Where
+    each tells what a row counts, as for an array or a long value, its sum times 16 is added.
     """
-    n = df.limit(rows + 1).count() if each is None else df.agg(F.sum(each)).first()[0] or 0
-    return F.broadcast(df) if n <= rows else df
+    width = 16 + sum(40 if isinstance(f.dataType, (T.StringType, T.BinaryType)) else 8 for f in df.schema)
+    found = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(0) if each is None else each), F.lit(0))).first()
+    return F.broadcast(df) if found[0] * width + found[1] * 16 <= BROADCAST_BYTES else df
 
 
 def columns(df: DataFrame) -> list[Column]:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import BROADCAST_ROWS, WHITE, columns, small, stored, unused
+from paperloom.llm.common import WHITE, columns, small, stored, unused
 from paperloom.llm.components import components
 
 #: Shards of more fingerprints than this are dealt anew by narrower blocks.
@@ -304,7 +304,7 @@ def _dealt_to_tiles(rows: DataFrame, keys: list[str], values: DataFrame, linked,
     leaders = hot.groupBy(*keys).agg(F.array_distinct(F.array(*lowest)).alias("leaders"))
     leaders = leaders.select(*keys, F.posexplode("leaders").alias("no", "leader"))
     led = leaders.join(values.select(F.col("digest").alias("leader"), F.col(value).alias("_led")), "leader")
-    led = small(stored(led.select(*keys, "no", "leader", "_led"), "leaders"), rows=BROADCAST_ROWS // 100)
+    led = small(stored(led.select(*keys, "no", "leader", "_led"), "leaders"), each=F.length("_led") / 16)
     kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in keys)
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

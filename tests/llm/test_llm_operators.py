@@ -468,3 +468,78 @@ def test_pipeline(spark):
         docs = kept
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
     assert {r.doc_id for r in pieces.select("doc_id").collect()} == {r.doc_id for r in docs.select("doc_id").collect()}
+
+
+def test_pipeline_stages_by_brute_force(spark, tmp_path):
+    """Each stage on odd rows against plain Python; columns with odd names stay, and an empty table stays empty."""
+    import corpus_pipeline as cp
+
+    rng = random.Random(21)
+    vocabulary = [f"{rng.choice('bcdfglmnprst')}{rng.choice('aeiou')}{rng.choice('lmnrst')}{rng.choice('aeiou')}{i}" for i in range(3000)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    item = words(40)
+    rows = [(1, None), (2, ""), (3, " ".join(words(20))), (None, " ".join(words(80)))]
+    for i in range(10, 40):
+        text = words(rng.randint(60, 200))
+        rows.append((i, " ".join(text)))
+        if i % 3 == 0:
+            rows.append((i + 100, " ".join([*text[:-1], "x"])))
+        if i % 5 == 0:
+            rows.append((i + 200, " ".join([*text[:30], *item, *text[40:70]])))
+        if i % 7 == 0:
+            rows += [(i + 300, " ".join([*text[5:], "password=hunter2hunter2", *words(9)]))] * 2
+    docs = spark.createDataFrame([(d, t, "x", len(t) if t is not None else None, 1) for d, t in rows], "doc_id long, text string, failure_bits string, n_chars int, `a.b` int")
+    sf = str(tmp_path)
+    spark.createDataFrame([("q", " ".join(item))], "item_id string, text string").write.parquet(f"{sf}/benchmark.parquet")
+    docs.write.parquet(f"{sf}/documents.parquet")
+    key = lambda x: sorted(x, key=str)
+
+    def repeats(w):
+        seen = Counter(zip(w, w[1:], w[2:]))
+        return len({i + k for i, g in enumerate(zip(w, w[1:], w[2:])) if seen[g] > 1 for k in range(3)})
+
+    kept = [(d, t) for d, t in rows if len(w := (t or "").split()) >= 50 and 2 * repeats(w) <= len(w)]
+    out = cp.quality_rules(spark, docs, sf)
+    assert out.columns == docs.columns and key((r.doc_id, r.text) for r in out.collect()) == key(kept)
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t in kept]
+    group = _groups([(a, b) for b in range(len(kept)) for a in range(b) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])], range(len(kept)))
+    leads = defaultdict(list)
+    for i, (d, t) in enumerate(kept):
+        leads[group[i]].append((d is None, d or 0, t))
+    want = [(None if none else d, t) for none, d, t in map(min, leads.values())]
+    out = cp.near_duplicates(spark, out, sf)
+    assert out.columns == docs.columns and key((r.doc_id, r.text) for r in out.collect()) == key(want) and len(want) < len(kept)
+    grams = {tuple(item[i : i + 13]) for i in range(28)}
+
+    def hit(t):
+        w = t.split()
+        return len({i + k for i in range(len(w) - 12) if tuple(w[i : i + 13]) in grams for k in range(13)})
+
+    clean = [(d, t) for d, t in want if not (hit(t) and 20 * hit(t) >= len(t.split()))]
+    out = cp.benchmark_decontamination(spark, out, sf)
+    assert out.columns == docs.columns and key((r.doc_id, r.text) for r in out.collect()) == key(clean) and len(clean) < len(want)
+    redacted = [(d, t.replace("password=hunter2hunter2", "[SECRET]")) for d, t in clean]
+    out = cp.secret_scan(spark, out, sf)
+    assert out.columns == docs.columns and key((r.doc_id, r.text, r.n_chars) for r in out.collect()) == key((d, t, len(t)) for d, t in redacted) and redacted != clean
+    pieces = defaultdict(list)
+    for r in cp.run(spark, sf).collect():
+        pieces[r.doc_id].append((r.start, np.frombuffer(r.ids, "<u4").tolist()))
+    assert {d: [i for _, x in sorted(p) for i in x] for d, p in pieces.items()} == {d: _ids(t) for d, t in redacted}
+    docs.limit(0).write.mode("overwrite").parquet(f"{sf}/documents.parquet")
+    assert cp.run(spark, sf).count() == 0
+
+
+def test_sharding_by_brute_force(spark):
+    """The schedule over classes is that of a heap over all groups, largest first."""
+    rng = random.Random(5)
+    sizes = [rng.choice([3, 40, 41, 500, 4000]) for _ in range(300)]
+    docs = _docs(spark, [(i, f"{i:05d}" + "x" * n) for i, n in enumerate(sizes)])
+    out = sharding.shard(docs, 5).collect()
+    loads = [0] * 5
+    for n in sorted((n + 6 for n in sizes), reverse=True):
+        k = loads.index(min(loads))
+        loads[k] += n
+    found = Counter()
+    for r in out:
+        found[r.shard] += r.size
+    assert sorted(found.values()) == sorted(loads)
