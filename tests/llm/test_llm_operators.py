@@ -487,7 +487,7 @@ def test_pipeline_stages_by_brute_force(spark, tmp_path):
         if i % 5 == 0:
             rows.append((i + 200, " ".join([*text[:30], *item, *text[40:70]])))
         if i % 7 == 0:
-            rows += [(i + 300, " ".join([*text[5:], "password=hunter2hunter2", *words(9)]))] * 2
+            rows += [(i + 300, " ".join([*words(60), "password=hunter2hunter2", *words(9)]))] * 2
     docs = spark.createDataFrame([(d, t, "x", len(t) if t is not None else None, 1) for d, t in rows], "doc_id long, text string, failure_bits string, n_chars int, `a.b` int")
     sf = str(tmp_path)
     spark.createDataFrame([("q", " ".join(item))], "item_id string, text string").write.parquet(f"{sf}/benchmark.parquet")
