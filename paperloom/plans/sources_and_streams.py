@@ -93,16 +93,18 @@ def _(p):
 
 def _raw(e: DataFrame, mark: str = "---") -> DataFrame:
     """Raw output of a scorer for each document: a company, two cards, and a broken chunk for some."""
-    card = F.concat(F.lit("- tipo: '"), "tipo", F.lit("'\n  titolo: T"), F.col("pos").cast("string"), F.lit("\n  categoria: "), "categoria", F.lit("\n  data_doc: "), "data_doc", F.lit("\n  esito: | a | b |\n"))
+    card = F.concat(F.lit("- tipo: '"), "tipo", F.lit("'\n  titolo: T"), F.col("pos").cast("string"), F.lit("\n  categoria: "), "categoria", F.lit("\n  data_doc: "), "data_doc", F.lit("\n  esito: | a | b |\n  dettagli:\n    ente: INPS\n    note: 'a: b'\n  firmato: yes\n  tabella: |\n| x | y |\n| 1 | 2 |\n  nota: nota: con due punti\n"))
     head = F.concat(F.lit("```yaml\nmeta:\n  azienda:\n    nome: '"), "azienda", F.lit("'\nsezioni:\n"))
     broken = F.when(F.col("pos") % 5 == 0, F.lit(f"{mark}\n{{{{garbage\n")).otherwise(F.lit(""))
     return e.select("case_id", F.col("pos").alias("batch_id"), F.concat(head, card, F.lit(f"{mark}\n"), card, broken).alias("text"))
 
 
-@query("s09_parse_evidence", "v_evidence", sql="SELECT case_id, CAST(pos AS INT) AS batch_id, CAST(CASE WHEN pos % 5 = 0 THEN 3 ELSE 2 END AS BIGINT) AS chunks, CAST(2 AS BIGINT) AS cards, CAST(CASE WHEN pos % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS failures, azienda FROM v_evidence")
+@query("s09_parse_evidence", "v_evidence", sql="SELECT case_id, CAST(pos AS INT) AS batch_id, CAST(CASE WHEN pos % 5 = 0 THEN 3 ELSE 2 END AS BIGINT) AS chunks, CAST(2 AS BIGINT) AS cards, CAST(CASE WHEN pos % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS failures, azienda, 2 AS nested FROM v_evidence")
 def _(e):
     p = E.parse_evidence(_raw(e))
-    return p.groupBy("case_id", "batch_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size("cards")).alias("cards"), F.count_if(~F.col("ok")).alias("failures"), F.max("azienda").alias("azienda"))
+    field = lambda x, name: F.try_element_at(x["card"], F.lit(name))
+    whole = lambda x: (field(x, "dettagli") == '{"ente": "INPS", "note": "a: b"}') & (field(x, "tabella") == "| x | y |\n| 1 | 2 |") & (field(x, "esito") == "| a | b |") & (field(x, "firmato") == "yes") & (field(x, "nota") == "nota: con due punti")
+    return p.groupBy("case_id", "batch_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size("cards")).alias("cards"), F.count_if(~F.col("ok")).alias("failures"), F.max("azienda").alias("azienda"), F.sum(F.size(F.filter("cards", whole))).cast("int").alias("nested"))
 
 
 @query("s10_parse_evidence_v1", "v_evidence", sql="SELECT case_id, CAST(pos AS INT) AS batch_id, tipo, data_doc, CAST(2 AS BIGINT) AS n FROM v_evidence")
