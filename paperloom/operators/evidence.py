@@ -229,24 +229,37 @@ def _braces(text: str) -> list[str]:
     return out
 
 
+def _lenient(text: str):
+    """JSON with commas before closing brackets and raw control characters; None if it is none."""
+    try:
+        return json.loads(re.sub(r",\s*([}\]])", r"\1", text), strict=False)
+    except ValueError:
+        return None
+
+
+def _objects(found: list) -> list[dict]:
+    """The objects of a list, and those of paragrafi and of lists one level deeper."""
+    inner = lambda x: x["paragrafi"] if isinstance(x, dict) and isinstance(x.get("paragrafi"), list) else x if isinstance(x, list) else [x]
+    return [y for x in found for y in inner(x) if isinstance(y, dict)]
+
+
 def _repaired(text: pd.Series) -> pd.Series:
+    """The tier, 2 or 3, and the objects as JSON: of the text between its outermost brackets, else of matching braces."""
+
     def one(t: str | None) -> str:
-        good = []
-        for piece in _braces(t or ""):
-            for attempt in (piece, re.sub(r",\s*([}\]])", r"\1", piece)):
-                try:
-                    good.append(json.loads(attempt, strict=False))
-                    break
-                except ValueError:
-                    continue
-        flat = [y for x in good for y in (x.get("paragrafi") if isinstance(x.get("paragrafi"), list) else [x])]
-        return json.dumps([x for x in flat if isinstance(x, dict)], ensure_ascii=False)
+        t = t or ""
+        starts = [i for i in (t.find("["), t.find("{")) if i >= 0]
+        whole = _lenient(t[min(starts) : max(t.rfind("]"), t.rfind("}")) + 1]) if starts else None
+        objects = [] if whole is None else _objects([whole])
+        tier = 2 if objects else 3
+        objects = objects or _objects([x for x in map(_lenient, _braces(t)) if x is not None])
+        return f"{tier}{json.dumps(objects, ensure_ascii=False)}"
 
     return text.map(one)
 
 
 def parse_narrative(raw: DataFrame) -> DataFrame:
-    """raw(case_id, batch_id, text) as paragraphs: strict JSON first, what that leaves by matching braces.
+    """raw(case_id, batch_id, text) as paragraphs: strict JSON first, then lenient, what that leaves by matching braces.
 
     tier tells which; a text that gives nothing has no rows, and failed_narrative finds it.
     """
@@ -254,10 +267,17 @@ def parse_narrative(raw: DataFrame) -> DataFrame:
     strict = F.when(F.try_parse_json(plain).isNotNull(), F.from_json(F.when(plain.startswith("["), plain), _PARAGRAPHS))
     tried = raw.select("case_id", "batch_id", plain.alias("text"), strict.alias("strict"))
     ok = tried.filter("strict is not null").select("case_id", "batch_id", F.lit(1).alias("tier"), F.posexplode("strict").alias("n", "x"))
-    rest = tried.filter("strict is null").select("case_id", "batch_id", F.lit(2).alias("tier"), F.posexplode(F.from_json(F.pandas_udf(_repaired, "string")("text"), _PARAGRAPHS)).alias("n", "x"))
+    mended = tried.filter("strict is null").select("case_id", "batch_id", F.pandas_udf(_repaired, "string")("text").alias("found"))
+    rest = mended.select("case_id", "batch_id", F.substring("found", 1, 1).cast("int").alias("tier"), F.posexplode(F.from_json(F.expr("substr(found, 2)"), _PARAGRAPHS)).alias("n", "x"))
     return ok.unionByName(rest).select("case_id", "batch_id", "tier", "n", "x.*")
 
 
+def failed_narrative(raw: DataFrame) -> DataFrame:
+    """The rows of raw(case_id, batch_id, text) that give no paragraph; keys may be null."""
+    found = parse_narrative(raw).select(F.col("case_id").alias("_case"), F.col("batch_id").alias("_batch")).distinct()
+    return raw.join(found, F.col("case_id").eqNullSafe(F.col("_case")) & F.col("batch_id").eqNullSafe(F.col("_batch")), "left_anti")
+
+
 def assemble_narrative(paragraphs: DataFrame) -> DataFrame:
     """paragraphs(case_id, batch_id, n, categoria, contenuto) in the order of batches, numbered anew, with the areas that the case touches."""
     out = numbered(paragraphs, ["case_id"], ["batch_id", "n"], "numero")

@@ -116,11 +116,21 @@ def _(e):
     return found.groupBy("case_id", "batch_id", F.col("card")["tipo"].alias("tipo"), F.col("card")["data_doc"].alias("data_doc")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("s11_parse_narrative", "v_evidence", sql="SELECT case_id, pos AS batch_id, CASE WHEN pos % 2 = 0 THEN 1 ELSE 2 END AS tier, CAST(pos AS INT) AS numero, categoria FROM v_evidence")
-def _(e):
+def _narratives(e: DataFrame) -> DataFrame:
+    """Raw text of a narrative for each document: strict, lenient, with broken objects, and some with none."""
     item = F.to_json(F.struct(F.col("pos").cast("int").alias("numero"), "categoria", F.lit("t").alias("sottotitolo"), F.col("text").alias("contenuto")))
-    text = F.when(F.col("pos") % 2 == 0, F.concat(F.lit("["), item, F.lit("]"))).otherwise(F.concat(F.lit("Ecco: {\"paragrafi\": ["), item, F.lit(",]} fine {")))
-    return E.parse_narrative(e.select("case_id", F.col("pos").alias("batch_id"), text.alias("text"))).select("case_id", "batch_id", "tier", "numero", "categoria")
+    kinds = [F.concat(F.lit("["), item, F.lit("]")), F.concat(F.lit("Ecco: {\"paragrafi\": ["), item, F.lit(",]} fine {")), F.concat(item, F.lit(" poi {rotto: } ")), F.lit("niente")]
+    return e.select("case_id", F.col("pos").alias("batch_id"), F.array(*kinds)[F.col("pos").cast("int") % 4].alias("text"))
+
+
+@query("s11_parse_narrative", "v_evidence", sql="SELECT case_id, pos AS batch_id, CAST(1 + pos % 4 AS INT) AS tier, CAST(pos AS INT) AS numero, categoria, sha256(text) AS contenuto FROM v_evidence WHERE pos % 4 < 3")
+def _(e):
+    return E.parse_narrative(_narratives(e)).select("case_id", "batch_id", "tier", "numero", "categoria", F.sha2("contenuto", 256).alias("contenuto"))
+
+
+@query("s11_failed_narrative", "v_evidence", sql="SELECT case_id, pos AS batch_id, 'niente' AS text FROM v_evidence WHERE pos % 4 = 3")
+def _(e):
+    return E.failed_narrative(_narratives(e))
 
 
 @query("s12_narrative_to_evidence", "v_paragraphs", sql="SELECT case_id, CASE WHEN numero % 3 = 0 THEN '08' ELSE '18' END AS section_id, numero AS pos, 'Paragrafo' AS tipo, contenuto AS text FROM v_paragraphs")
