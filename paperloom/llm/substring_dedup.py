@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from paperloom.llm.common import small, spent, stored
+from paperloom.llm.common import spent, stored
 
 #: Words of short texts that are looked at together.
 WORDS_AT_ONCE = 200_000
@@ -190,8 +190,9 @@ def _windows(docs: DataFrame, asked: DataFrame, window: int) -> DataFrame:
                 base, at, h, done = map(np.concatenate, zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array([k] * len(at), pa.binary()), pa.array(base), pa.array(at.astype(np.int32)), pa.array(h), pa.array(done)], ["id", "base", "at", "h", "settled"])
 
-    # Rows that repeat doc_id and text have one id; their windows are asked for once, as examples count once.
-    once = docs.join(small(asked, each=F.size("asked")), "id")
+    # asked grows with the documents, as gone below does, so neither is broadcast at any size. Rows that repeat doc_id
+    # and text have one id; their windows are asked for once, as examples count once.
+    once = docs.join(asked, "id")
     return once.select("id", "text", "asked").mapInArrow(run, fields).distinct()
 
 
@@ -226,4 +227,4 @@ def without_repeats(docs: DataFrame, window: int = 35, with_text: bool = True) -
                 texts.append(joined.decode() if with_text else None)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], fields.names)
 
-    return named.join(small(gone, each=F.size("gone")), "id", "left").select("doc_id", "text", "gone").mapInArrow(run, fields)
+    return named.join(gone, "id", "left").select("doc_id", "text", "gone").mapInArrow(run, fields)
