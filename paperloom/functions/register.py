@@ -4,6 +4,35 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from paperloom.functions import catalog as C
+from paperloom.functions.text import TRUNCATED
+
+_STRIP = r"(?U)^\s+|\s+$"
+_PRINTS = r"[\p{C}\p{Z}&&[^ \n\r\t]]"
+
+
+def _text(x: str) -> str:
+    """A literal of SQL."""
+    return "'" + x.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def _replaced(x: str, *changes: tuple[str, str]) -> str:
+    for pattern, new in changes:
+        x = f"regexp_replace({x}, {_text(pattern)}, {_text(new)})"
+    return x
+
+
+def _chosen(x: str, names: dict[str, list[str]], default: str) -> str:
+    """The last name whose list holds x."""
+    whens = [f"WHEN {x} IN ({', '.join(map(_text, known))}) THEN {_text(name)}" for name, known in reversed(names.items())]
+    return f"CASE {' '.join(whens)} ELSE {_text(default)} END"
+
+
+_CLEAN = _replaced("coalesce(x, '')", (r"[\x00-\x08\x0B\x0C\x0E-\x1F]", ""), (r"\r\n?", "\n"))
+_EXTENSION = f"lower(regexp_extract(x, {_text(r'[^/.][^/]*\.([^./]*)$')}, 1))"
+_SLUG = _replaced("translate(lower(x), 'àáâãèéêìíîòóôùúû', 'aaaaeeeiiiooouuu')", ("[^a-z0-9]+", "_"))
+_SLASHES = _replaced("x", (r"\\", "/"))
+
 #: name(parameters) type: body.
 FUNCTIONS = {
     "pl_strip(x STRING) RETURNS STRING": r"regexp_replace(x, r'(?U)^\s+|\s+$', '')",
@@ -14,6 +43,22 @@ FUNCTIONS = {
     "pl_name_key(x STRING) RETURNS STRING": "regexp_replace(lower(x), '[^a-z0-9]+', '')",
     "pl_content_hash(x STRING) RETURNS STRING": "sha2(x, 256)",
     "pl_it_date(x STRING) RETURNS DATE": r"CASE WHEN x RLIKE r'^\d{2}/\d{2}/\d{4}$' THEN try_to_date(x, 'dd/MM/yyyy') END",
+    "pl_sanitize(x STRING, most INT) RETURNS STRING": f"CASE WHEN length({_CLEAN}) > most THEN concat(substring({_CLEAN}, 1, most), {_text(TRUNCATED)}) ELSE {_CLEAN} END",
+    "pl_cap_lines(x STRING, most INT) RETURNS STRING": r"array_join(transform(split(x, '\n'), l -> substring(l, 1, most)), '\n')",
+    "pl_xml_safe(x STRING) RETURNS STRING": _replaced("x", (r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\x{FFFE}\x{FFFF}]", "")),
+    "pl_printable_ratio(x STRING) RETURNS DOUBLE": f"CASE WHEN coalesce(x, '') = '' THEN 0.0 ELSE length({_replaced('x', (_PRINTS, ''))}) / length(x) END",
+    "pl_compress_text(x STRING) RETURNS STRING": f"trim({_replaced('x', (r'[ \t]+', ' '), (r' ?\n ?', '\n'), (r'\n{3,}', '\n\n'))})",
+    "pl_area_code(x STRING) RETURNS STRING": r"CASE WHEN try_cast(regexp_extract(x, r'^\s*(\d{1,2})\b', 1) AS INT) BETWEEN 1 AND 18 THEN lpad(CAST(try_cast(regexp_extract(x, r'^\s*(\d{1,2})\b', 1) AS INT) AS STRING), 2, '0') END",
+    "pl_slug(x STRING, n INT) RETURNS STRING": f"CASE WHEN substring(btrim({_SLUG}, '_'), 1, n) = '' THEN 'section' ELSE substring(btrim({_SLUG}, '_'), 1, n) END",
+    "pl_safe_name(x STRING, n INT) RETURNS STRING": "substring(" + _replaced("trim(" + _replaced("x", (r"[^\w\s-]", "")) + ")", (r"\s+", "_")) + ", 1, n)",
+    "pl_redact(x STRING) RETURNS STRING": _replaced("x", *((p, C.PERSONAL_MARK) for p in C.PERSONAL)),
+    "pl_strip_fences(x STRING) RETURNS STRING": _replaced("x", (r"(?m)^```(?:yaml|yml|json)?[ \t]*$\n?", "")),
+    "pl_snippet(x STRING, n INT) RETURNS STRING": _replaced("substring(" + _replaced("coalesce(x, '')", (r"[\p{C}\p{Z}&&[^ \n\t]]", "")) + ", 1, n)", (_STRIP, "")),
+    "pl_extension(x STRING) RETURNS STRING": _EXTENSION,
+    "pl_category(x STRING) RETURNS STRING": f"CASE WHEN {_EXTENSION} IN ({', '.join(map(_text, C.SKIPPED_EXTENSIONS))}) THEN 'skip' ELSE {_chosen(_EXTENSION, C.CATEGORIES, 'other')} END",
+    "pl_safe_path(x STRING) RETURNS BOOLEAN": f"NOT startswith({_SLASHES}, '/') AND NOT {_SLASHES} RLIKE '^[A-Za-z]:' AND NOT array_contains(split({_SLASHES}, '/'), '..')",
+    "pl_valid_case_id(x STRING) RETURNS BOOLEAN": "coalesce(x RLIKE '^[A-Za-z0-9_-]{1,200}$', false)",
+    "pl_whitelist_match(x STRING) RETURNS STRING": "coalesce(" + ", ".join(f"nullif(regexp_extract(coalesce(x, ''), {_text(p)}, 0), '')" for p in C.WHITELIST) + ")",
     "pl_pct(a DOUBLE, b DOUBLE) RETURNS DOUBLE": "CASE WHEN b <> 0 THEN round(100.0 * a / b, 1) ELSE 0.0 END",
 }
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -95,6 +99,33 @@ def scrub(c: Column, drop: list[str]) -> Column:
     return F.transform_values(F.map_filter(c, lambda k, _: ~F.lower(k).isin(drop)), lambda _, v: X.redact(v))
 
 
+def scrub_json(c: Column, drop: list[str]) -> Column:
+    """JSON of any depth without the keys to drop, personal identifiers redacted in all its strings; null if it is no JSON."""
+    keys = {k.lower() for k in drop}
+
+    def clean(x):
+        if isinstance(x, dict):
+            return {k: clean(v) for k, v in x.items() if k.lower() not in keys}
+        if isinstance(x, list):
+            return [clean(v) for v in x]
+        if isinstance(x, str):
+            for p in C.PERSONAL:
+                x = re.sub(p, C.PERSONAL_MARK, x)
+        return x
+
+    def one(text: str | None) -> str | None:
+        try:
+            return None if text is None else json.dumps(clean(json.loads(text)), ensure_ascii=False)
+        except (ValueError, RecursionError):
+            return None
+
+    @F.pandas_udf("string")
+    def scrubbed(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return scrubbed(c)
+
+
 def group_schema(clauses: Column) -> Column:
     """The answer that is expected for a group of clauses, as JSON."""
     return F.to_json(F.map_from_arrays(clauses, F.transform(clauses, lambda _: F.lit("string"))))

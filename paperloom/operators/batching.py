@@ -16,34 +16,40 @@ from paperloom.operators.shared import numbered, stored
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
-def ffd_batches(docs: DataFrame, max_files: int = 4, max_chars: int = 50_000) -> DataFrame:
+#: Most documents of a case that one task packs.
+BLOCK = 10_000
+
+
+def ffd_batches(docs: DataFrame, max_files: int = 4, max_chars: int = 50_000, block: int = BLOCK) -> DataFrame:
     """docs(case_id, path, n_chars) with batch_id: first fit decreasing within each case.
 
     Longest first, of equals by path, each document goes to the first batch that has room for it; one that is longer
-    than a batch gets its own. A case is one person's upload, a few thousand short rows, and cases run in parallel;
-    only keys and lengths are shipped.
+    than a batch gets its own. A case of more than block documents is packed block by block in that order, so that no
+    task holds more than block rows; the batches of a block are numbered from block times its number. Only keys and
+    lengths are shipped. A null length is none.
     """
 
-    def one(case: pd.DataFrame) -> pd.DataFrame:
-        case = case.sort_values(["n_chars", "path"], ascending=[False, True])
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("_n")
         files: list[int] = []
         chars: list[int] = []
         first_open, out = 0, []
-        for n in case["n_chars"]:
+        for n in part["n_chars"]:
             i = next((i for i in range(first_open, len(files)) if files[i] < max_files and chars[i] + n <= max_chars), len(files))
             if i == len(files):
                 files.append(0)
                 chars.append(0)
             files[i] += 1
             chars[i] += n
-            while first_open < len(files) and files[first_open] >= max_files:
+            while first_open < len(files) and (files[first_open] >= max_files or chars[first_open] > max_chars):
                 first_open += 1
             out.append(i)
-        return case.assign(batch_id=out)
+        return part.assign(batch_id=part["_block"] * block + out)[["case_id", "path", "n_chars", "batch_id"]]
 
-    slim = docs.select("case_id", "path", F.col("n_chars").cast("long").alias("n_chars"))
+    slim = docs.select("case_id", "path", F.coalesce(F.col("n_chars").cast("long"), F.lit(0)).alias("n_chars"))
+    placed = numbered(slim, ["case_id"], [F.desc("n_chars"), F.col("path")], "_n", 0)
     fields = f"case_id {docs.schema['case_id'].dataType.simpleString()}, path string, n_chars long, batch_id int"
-    return slim.groupBy("case_id").applyInPandas(one, fields)
+    return placed.withColumn("_block", F.floor(F.col("_n") / block).cast("int")).groupBy("case_id", "_block").applyInPandas(one, fields)
 
 
 def profiles(df: DataFrame) -> DataFrame:

@@ -386,7 +386,7 @@ def _(r):
 # Batches and scorers.
 @query("d02_ffd_batches", "v_files")
 def _(f):
-    return batching.ffd_batches(f.select(F.concat_ws("/", "case_id", (F.col("doc_id") % 16).cast("string")).alias("case_id"), F.concat_ws("#", "path", F.col("doc_id").cast("string")).alias("path"), F.length("text").alias("n_chars")))
+    return batching.ffd_batches(f.select("case_id", F.concat_ws("#", "path", F.col("doc_id").cast("string")).alias("path"), F.length("text").alias("n_chars")))
 
 
 @query("d03_profiles", "v_calls", sql="SELECT DISTINCT p.* FROM (VALUES ('small', 'm-small', 4, 50000, 1.0::DOUBLE, 7), ('large', 'm-large', 10, 100000, 2.5::DOUBLE, 4)) p(provider, model, max_files, max_chars, cap_multiplier, workers) JOIN v_calls c ON regexp_replace(c.model, '^.*/', '') = p.model")

@@ -221,6 +221,44 @@ def test_sql_functions(spark):
     assert (row.n, str(row.d), row.e, row.p, row.f) == (2, "2024-12-31", None, 0.0, "b.c")
 
 
+def test_sql_functions_equal_columns(spark):
+    """A function in SQL gives what the column function of its name gives."""
+    from paperloom.functions.register import register
+
+    register(spark)
+    texts = [None, "", " \t", "07 Qualità  & così", "a\r\nb\x07\x7fc\n\n\n\nd", "```yaml\nx: 1\n```", "CF RSSMRA80A01H501U nata il 1/2/1980, qui", "a/b\\\\..\\\\Visura SOA_12.PDF", "/x/.doc", "C:/y.xlsx", "caso-1_A", "l'anno\u200b \uffff 'x'"]
+    df = spark.createDataFrame([(t,) for t in texts], "x string")
+    pairs = {
+        "pl_sanitize(x, 5)": X.sanitize("x", 5), "pl_cap_lines(x, 3)": X.cap_lines("x", 3), "pl_xml_safe(x)": X.xml_safe("x"), "pl_printable_ratio(x)": X.printable_ratio("x"),
+        "pl_compress_text(x)": X.compress_text("x"), "pl_area_code(x)": X.area_code("x"), "pl_slug(x, 9)": X.slug("x", 9), "pl_safe_name(x, 9)": X.safe_name("x", 9), "pl_redact(x)": X.redact("x"),
+        "pl_strip_fences(x)": X.strip_fences("x"), "pl_snippet(x, 9)": X.snippet("x", 9), "pl_extension(x)": X.extension("x"), "pl_category(x)": X.categorize("x"), "pl_safe_path(x)": X.safe_path("x"),
+        "pl_valid_case_id(x)": X.valid_case_id("x"), "pl_whitelist_match(x)": X.whitelist_match("x"), "pl_strip(x)": X.py_strip("x"), "pl_name_key(x)": X.name_key("x"),
+    }
+    row = df.select("x", *(F.expr(s).alias(f"a{i}") for i, s in enumerate(pairs)), *(c.alias(f"b{i}") for i, c in enumerate(pairs.values()))).collect()
+    for i, name in enumerate(pairs):
+        assert [r[f"a{i}"] for r in row] == [r[f"b{i}"] for r in row], name
+
+
+def test_scrub_of_nested_json(spark):
+    from paperloom.functions import values as V
+
+    text = '{"tipo": "DVR", "Password": "x", "voci": [{"nota": "CF RSSMRA80A01H501U", "password": 1, "n": 2.5}, null, "ok"]}'
+    df = spark.createDataFrame([(text,), ("{broken",), (None,)], "x string")
+    out = [r[0] for r in df.select(V.scrub_json(F.col("x"), ["password"])).collect()]
+    assert out == ['{"tipo": "DVR", "voci": [{"nota": "CF [dato privacy rimosso]", "n": 2.5}, null, "ok"]}', None, None]
+
+
+def test_ffd_of_a_long_case(spark):
+    """A case over the block is packed block by block: all documents once, within the bounds, batches of their own."""
+    sizes = [(i * 7919) % 60000 for i in range(250)]
+    docs = spark.createDataFrame([("c", f"f{i:03}", n) for i, n in enumerate(sizes)], "case_id string, path string, n_chars int")
+    out = batching.ffd_batches(docs, block=100).toPandas()
+    assert sorted(out["n_chars"]) == sorted(sizes) and out["path"].is_unique
+    for _, b in out.groupby("batch_id"):
+        assert len(b) <= 4 and (b["n_chars"].sum() <= 50000 or len(b) == 1)
+    assert set(out["batch_id"] // 100) == {0, 1, 2}
+
+
 def test_numbering_of_a_hot_case(spark):
     """A case of nine tenths of the rows is numbered, summed and filled as a window over all of it would."""
     from pyspark.sql.window import Window
