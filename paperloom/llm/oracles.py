@@ -124,4 +124,59 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(c.n, 0) AS n_hit, c
 FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN items i ON d.doc_id = i.doc_id
 """
 
-ORACLES = {"op1_url_filters": OP1, "op4_secrets": OP4, "op5_substring_dedup": OP5, "op6_quality": OP6, "op10_decontamination": OP10}
+#: DuckDB has no crc32: of each byte's eight steps the first takes in the byte.
+_CRC32 = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({x}, ''), lambda d: [ord(d)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, b: xor(xor(a, b) >> 1, CASE WHEN xor(a, b) & 1 = 1 THEN 3988292384 ELSE 0 END)))"""
+
+
+def _levels(name: str, leaves: str, key: str, levels: int) -> str:
+    """Tables {name}0 to {name}{levels} of nodes(key, i, h, n), n being the nodes of their level.
+
+    A key with one node keeps it on the levels above. Enough for 16 ** levels leaves of a key.
+    """
+    out = [f"{name}0 AS (SELECT *, count(*) OVER (PARTITION BY {key}) AS n FROM ({leaves}))"]
+    for d in range(1, levels + 1):
+        out.append(f"{name}{d} AS (SELECT *, count(*) OVER (PARTITION BY {key}) AS n FROM (SELECT {key}, i // 16 AS i, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY i)) END AS h FROM {name}{d - 1} GROUP BY 1, 2))")
+    return ",\n".join(out)
+
+
+def _way(name: str, key: str, levels: int, start: str) -> tuple[str, str]:
+    """Joins along the path of row start(key, i), and its siblings' digests."""
+    joins, sibs = [], []
+    for d in range(levels):
+        i = f"({start}.i // {16**d})"
+        joins.append(f"LEFT JOIN (SELECT a.{key}, a.i, string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i) AS l, string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i) AS r, any_value(a.n) AS n FROM {name}{d} a JOIN {name}{d} b ON a.{key} = b.{key} AND a.i // 16 = b.i // 16 GROUP BY 1, 2) {name}_{d} ON {name}_{d}.{key} = {start}.{key} AND {name}_{d}.i = {i}")
+        sibs.append(f"coalesce({name}_{d}.l, '') || coalesce({name}_{d}.r, '')")
+    return "\n".join(joins), " || ".join(sibs)
+
+
+def _folds(name: str, levels: int, first: int) -> str:
+    """A table for each level: f is the digest so far, folded with the siblings of that level."""
+    return ",\n".join(f"f{first + d} AS (SELECT * REPLACE (CASE WHEN {name}{d}n > 1 THEN sha256(coalesce({name}{d}l, '') || f || coalesce({name}{d}r, '')) ELSE f END AS f) FROM f{first + d - 1})" for d in range(levels))
+
+
+def _op13(deep: int = 6, wide: int = 3) -> str:
+    piece = lambda x: f"coalesce(octet_length(encode(CAST({x} AS VARCHAR))) || ':' || CAST({x} AS VARCHAR), '-')"
+    leaf = lambda x: "sha256(" + " || ".join([*map(piece, ("doc_id", "source", "lang", "n_chars")), piece(x)]) + ")"
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    s_joins, s_sibs = _way("s", "k", deep, "d")
+    r_joins, r_sibs = _way("r", "z", wide, "q")
+    kept = ", ".join(f"{n}_{d}.{c} AS {n}{d}{c}" for n, m in (("s", deep), ("r", wide)) for d in range(m) for c in "lrn")
+    return f"""
+WITH l AS (SELECT doc_id, coalesce('=' || source, '') AS k, {leaf("text")} AS h, CASE WHEN {_CRC32.format(x="CAST(doc_id AS VARCHAR)")} % 5 = 0 THEN {leaf(lower)} ELSE {leaf("text")} END AS t FROM documents),
+d AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM l),
+{_levels("s", "SELECT k, i, h FROM d", "k", deep)},
+q AS (SELECT 1 AS z, row_number() OVER (ORDER BY k) - 1 AS i, k, h FROM s{deep}),
+{_levels("r", "SELECT z, i, h FROM q", "z", wide)},
+f0 AS (SELECT d.doc_id, d.h AS leaf, q.h AS subroot, (SELECT h FROM r{wide}) AS root, sha256({s_sibs} || {r_sibs}) AS proof_sha256, d.t AS f, {kept}
+  FROM d JOIN q ON d.k = q.k
+{s_joins}
+{r_joins}),
+{_folds("s", deep, 1)},
+{_folds("r", wide, deep + 1)}
+SELECT doc_id, leaf, subroot, root, proof_sha256, f AS folded_root, f = root AS verified FROM f{deep + wide}
+"""
+
+
+OP13 = _op13()
+ORACLES = {"op1_url_filters": OP1, "op4_secrets": OP4, "op5_substring_dedup": OP5, "op6_quality": OP6, "op10_decontamination": OP10, "op13_merkle_manifest": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontamination, language_id, packing, quality, secrets, sharding, simhash, substring_dedup, training_order, url_filters
+from paperloom.llm import decontamination, language_id, merkle, packing, quality, secrets, sharding, simhash, substring_dedup, training_order, url_filters
 from paperloom.llm.oracles import ORACLES
 
 
@@ -64,8 +64,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.proofs(_read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_training_order, op4_secrets, op5_substring_dedup, op6_quality, op7_language_id, op8_packing, op9_sharding, op10_decontamination)}
+    return {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_training_order, op4_secrets, op5_substring_dedup, op6_quality, op7_language_id, op8_packing, op9_sharding, op10_decontamination, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:
