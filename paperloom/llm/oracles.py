@@ -178,5 +178,21 @@ SELECT doc_id, leaf, subroot, root, proof_sha256, f AS folded_root, f = root AS
 """
 
 
+OP12 = f"""
+WITH o AS (SELECT conv_id, length(coalesce(text, '')) AS chars, turn, sha256(octet_length(encode(coalesce(role, ''))) || ':' || coalesce(role, '') || coalesce(text, '')) AS id FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, id, chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, id) - 1 AS pos FROM o),
+c AS (SELECT DISTINCT conv_id, conv_id - conv_id % 100 AS base, {_CRC32.format(x="CAST(conv_id AS VARCHAR)")} % 6 AS h FROM own),
+turns AS (
+  SELECT c.conv_id, 0 AS own, pos, id, chars FROM c JOIN own ON own.conv_id = base AND pos < h
+  UNION ALL SELECT c.conv_id, 1, pos, id, chars FROM c JOIN own ON own.conv_id = c.conv_id AND pos >= h),
+full_turns AS (SELECT c.conv_id, coalesce(ids, []) AS ids, coalesce(chars, []) AS chars FROM c LEFT JOIN (SELECT conv_id, list(id ORDER BY own, pos) AS ids, list(chars ORDER BY own, pos) AS chars FROM turns GROUP BY 1) t ON c.conv_id = t.conv_id),
+p AS (SELECT conv_id, d, len(ids) AS n, array_to_string(ids[1:d], ',') AS k, array_to_string(ids[1:d - 1], ',') AS up, CASE WHEN d > 0 THEN chars[d] ELSE 0 END AS chars FROM (SELECT *, unnest(range(0, len(ids) + 1)) AS d FROM full_turns)),
+nodes AS (SELECT k, d, any_value(up) AS up, min(conv_id) AS conv_id, count(*) AS n, max(n) = d AS leaf, any_value(chars) AS chars, coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '') AS ends FROM p GROUP BY 1, 2),
+sums AS (SELECT p.k, p.d, count(*) FILTER (leaf) AS n_leaves, sum((nodes.n - 1) * nodes.chars) AS saved FROM nodes JOIN p ON nodes.conv_id = p.conv_id AND p.d <= nodes.d GROUP BY 1, 2),
+kids AS (SELECT up, d - 1 AS d, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2)
+SELECT x.conv_id, x.d AS depth, u.conv_id AS parent_conv_id, x.n AS n_convs, coalesce(kids.n, 0) AS n_children, sums.n_leaves, CAST(sums.saved AS BIGINT) AS saved_tokens, sha256(x.ends) AS ends_sha256
+FROM nodes x JOIN sums ON x.k = sums.k AND x.d = sums.d LEFT JOIN kids ON x.k = kids.up AND x.d = kids.d LEFT JOIN nodes u ON x.d > 0 AND u.k = x.up AND u.d = x.d - 1
+"""
+
 OP13 = _op13()
-ORACLES = {"op1_url_filters": OP1, "op4_secrets": OP4, "op5_substring_dedup": OP5, "op6_quality": OP6, "op10_decontamination": OP10, "op13_merkle_manifest": OP13}
+ORACLES = {"op1_url_filters": OP1, "op4_secrets": OP4, "op5_substring_dedup": OP5, "op6_quality": OP6, "op10_decontamination": OP10, "op12_prefix_trie": OP12, "op13_merkle_manifest": OP13}
