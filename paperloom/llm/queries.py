@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.llm import decontamination, language_id, merkle, packing, prefix_trie, quality, secrets, sharding, simhash, substring_dedup, training_order, url_filters
+from paperloom.llm import decontamination, html_extraction, language_id, merkle, packing, prefix_trie, quality, secrets, sharding, simhash, substring_dedup, training_order, url_filters
 from paperloom.llm.oracles import ORACLES
 
 
@@ -64,6 +64,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _read(spark, sf_dir, "pages")
+    return html_extraction.extract(pages, html_extraction.fit(pages))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.trie(_read(spark, sf_dir, "conversations"))
 
@@ -73,7 +78,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_training_order, op4_secrets, op5_substring_dedup, op6_quality, op7_language_id, op8_packing, op9_sharding, op10_decontamination, op12_prefix_trie, op13_merkle_manifest)}
+    return {f.__name__: f for f in (op1_url_filters, op2_simhash, op3_training_order, op4_secrets, op5_substring_dedup, op6_quality, op7_language_id, op8_packing, op9_sharding, op10_decontamination, op11_html_extraction, op12_prefix_trie, op13_merkle_manifest)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -18,4 +18,5 @@ def test_query(spark, con, name):
     if name in queries.oracle_sql():
         assert found == rows_of_duckdb(con, queries.oracle_sql()[name])
     else:
-        assert {r[found[0].index("doc_id")] for r in found[1]} == set(float(r[0]) for r in con.execute("SELECT doc_id FROM documents").fetchall())
+        key, table = ("page_id", "pages") if "page_id" in found[0] else ("doc_id", "documents")
+        assert {r[found[0].index(key)] for r in found[1]} == set(float(r[0]) for r in con.execute(f"SELECT {key} FROM {table}").fetchall())
