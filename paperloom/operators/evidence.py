@@ -12,176 +12,44 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import text as X
 from paperloom.functions.catalog import MARKERS
+from paperloom.operators.cards import parse_chunk
 from paperloom.operators.joins import accept_recovered, clause_coverage
 from paperloom.operators.shared import numbered, stored
 from paperloom.operators.summaries import resolve_company
 from paperloom.operators.windows import round_robin
 
-try:
-    import yaml
-except ImportError:  # then every chunk is read by lines
-    yaml = None
-
-_CARD = "case_id string, batch_id int, chunk int, ok boolean, azienda string, cards array<struct<section: string, card: map<string, string>>>, raw string"
-
-
-def _value(raw: str) -> str:
-    raw = raw.strip()
-    return raw[1:-1] if len(raw) > 1 and raw[0] == raw[-1] and raw[0] in "'\"" else raw
-
-
-def _by_lines(chunk: str) -> tuple[str | None, list[dict]] | None:
-    """Company and cards of a chunk that no repair makes YAML; None if it has neither. Indented key: value lines, lists with hyphens.
-
-    Lines that are neither are skipped, and pipe lines belong to the field above. A card starts at each list item with
-    a tipo or titolo, or is the whole chunk if that has one at its margin.
-    """
-    company, section, cards, at, inside, key = None, "", [], None, "", None
-    for line in chunk.split("\n"):
-        m = re.match(r"(\s*)(-\s+)?([A-Za-zÀ-ú_ ]{1,40}?)\s*:\s*(.*)$", line)
-        if line.strip().startswith("|") and at is not None and key:
-            at[key] = (at[key] + "\n" + line.strip()).strip()
-            continue
-        if not m:
-            continue
-        indent, item, key, value = len(m[1]), m[2], m[3].strip().lower(), _value(m[4])
-        if indent == 0 and not item and key in ("meta", "sezioni"):
-            inside, at = key, None
-        elif key == "azienda" and not value:
-            inside = "azienda"
-        elif inside == "azienda" and key == "nome":
-            company, inside = value or company, "meta"
-        elif key == "nome" and (inside == "sezioni" or item):
-            section, at = value, None
-        elif key in ("tipo", "titolo") and (item or at is None):
-            at = {key: value}
-            cards.append({"section": section, "card": at})
-        elif at is not None and value:
-            at[key] = value
-            if key == "categoria" and not cards[-1]["section"]:
-                cards[-1]["section"] = value
-    return (company, cards) if company or cards else None
-
-
-#: A key that opens a block of lines.
-_BLOCK = re.compile(r"(\s*)(?:-\s+)?[\w \-]+:\s*[|>][-+]?\s*$")
-#: A table line or a value with quotes and colons on the line of its key.
-_INLINE = re.compile(r"(\s*(?:-\s+)?[\w \-]+:\s+)(\|(?![-+]?\s*$).*|[^\s'\"\[{|>&*].*:\s.*)$")
-#: Lines that are left out of a chunk at most before it counts as no YAML.
-BAD_LINES = 5
-
-
-def _indented(text: str) -> str:
-    """Table lines at or left of the key that opens their block, moved into it."""
-    out, margin = [], None
-    for line in text.split("\n"):
-        indent = len(line) - len(line.lstrip(" "))
-        if margin is not None and line.strip() and indent <= margin:
-            if line.lstrip().startswith("|"):
-                line = " " * (margin + 2) + line.lstrip()
-            else:
-                margin = None
-        if m := _BLOCK.match(line):
-            margin = len(m[1])
-        out.append(line)
-    return "\n".join(out)
-
-
-def _quoted(text: str) -> str:
-    """Values on the line of their key that hold a table line or a colon, in quotes."""
-    quote = lambda v: "'" + v.replace("'", "''") + "'"
-    return "\n".join(m[1] + quote(m[2].strip()) if (m := _INLINE.match(x)) else x for x in text.split("\n"))
-
-
-def _without_stray(text: str) -> str:
-    """Without table lines at the margin."""
-    return "\n".join(x for x in text.split("\n") if not x.startswith("|"))
-
-
-def _loaded(text: str):
-    """The chunk as YAML, all scalars as strings, after as few repairs as it takes; None if none helps."""
-    if yaml is None:
-        return None
-    indented = _indented(text)
-    quoted = _quoted(indented)
-    for repaired in dict.fromkeys((text, indented, quoted)):
-        try:
-            return yaml.load(repaired, Loader=yaml.BaseLoader)
-        except yaml.YAMLError:
-            continue
-    lines = _without_stray(quoted).split("\n")
-    for _ in range(BAD_LINES):
-        try:
-            return yaml.load("\n".join(lines), Loader=yaml.BaseLoader)
-        except yaml.MarkedYAMLError as e:
-            at = min(e.problem_mark.line, len(lines) - 1) if e.problem_mark else len(lines) - 1
-            lines = lines[:at] + lines[at + 1 :]
-        except yaml.YAMLError:
-            return None
-        if not "".join(lines).strip():
-            return None
-    return None
-
-
-def _flat(card: dict) -> dict[str, str]:
-    """A card's fields as text: nested maps and lists as JSON, names in lower case."""
-    text = lambda v: v.strip() if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
-    return {str(k).strip().lower(): text(v) for k, v in card.items() if v not in ("", None)}
-
-
-def _walked(node, section: str, out: list[dict]) -> None:
-    """Cards of a tree: maps with a tipo or titolo, under the nearest name of a section."""
-    if isinstance(node, list):
-        for x in node:
-            _walked(x, section, out)
-    elif isinstance(node, dict):
-        low = {str(k).strip().lower(): v for k, v in node.items()}
-        if "tipo" in low or "titolo" in low:
-            card = _flat(node)
-            out.append({"section": section or card.get("categoria", ""), "card": card})
-            return
-        name = low.get("nome")
-        section = name.strip() if isinstance(name, str) and name.strip() else section
-        for k, v in low.items():
-            if k != "meta":
-                _walked(v, section, out)
-
-
-def parse_chunk(chunk: str) -> tuple[str | None, list[dict]] | None:
-    """Company and cards of one chunk, as YAML where repairs make it that, else by lines; None if it has neither."""
-    tree = _loaded(chunk)
-    if not isinstance(tree, (dict, list)):
-        return _by_lines(chunk)
-    cards: list[dict] = []
-    _walked(tree, "", cards)
-    meta = tree.get("meta") if isinstance(tree, dict) else None
-    company = meta.get("azienda") if isinstance(meta, dict) else None
-    company = company.get("nome") if isinstance(company, dict) else company
-    company = company.strip() if isinstance(company, str) and company.strip() else None
-    return (company, cards) if company or cards else _by_lines(chunk)
+_CARD = "case_id string, batch_id int, chunk int, ok boolean, azienda string, cards array<struct<section: string, card: map<string, string>>>, raw string, reason string, dropped array<struct<line: int, reason: string, text: string>>"
 
 
 def parse_evidence(raw: DataFrame) -> DataFrame:
     """raw(case_id, batch_id, text) split at lines of hyphens; each chunk becomes cards, or a failure that stops no other.
 
-    One row for each chunk: ok, azienda, cards, and the text of those that failed.
+    One row for each chunk: ok, azienda, cards, the text and the reason of those that failed, and the lines that were
+    left out or taken otherwise than they stand. Chunks are dealt anew before parsing, as one file may hold them all.
     """
     chunks = raw.select(F.col("case_id").cast("string").alias("case_id"), F.col("batch_id").cast("int").alias("batch_id"), F.posexplode(F.split(X.strip_fences("text"), r"(?m)^---[ \t]*$")).alias("chunk", "text"))
-    chunks = chunks.filter(F.trim("text") != "")
+    chunks = chunks.filter(F.trim("text") != "").repartition("case_id", "batch_id", "chunk")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [parse_chunk(t) for t in b["text"]]
             yield b[["case_id", "batch_id", "chunk"]].assign(
-                ok=[f is not None for f in found],
-                azienda=[f[0] if f else None for f in found],
-                cards=[f[1] if f else [] for f in found],
-                raw=[None if f else t for f, t in zip(found, b["text"], strict=True)],
+                ok=[f[3] is None for f in found],
+                azienda=[f[0] for f in found],
+                cards=[f[1] for f in found],
+                raw=[t if f[3] else None for f, t in zip(found, b["text"], strict=True)],
+                reason=[f[3] for f in found],
+                dropped=[[dict(zip(("line", "reason", "text"), x, strict=True)) for x in f[2]] for f in found],
             )
 
     return chunks.mapInPandas(run, _CARD)
 
 
+def dropped_lines(parsed: DataFrame) -> DataFrame:
+    """The ledger of parse_evidence: case_id, batch_id, chunk, line (from 1), reason and text of every line left out or taken otherwise."""
+    return parsed.select("case_id", "batch_id", "chunk", F.explode("dropped").alias("x")).select("case_id", "batch_id", "chunk", "x.*")
+
+
 def parse_evidence_v1(raw: DataFrame) -> DataFrame:
     """The older form: documents apart by lines of "# ── DOC n ──", or else by lines that start with tipo."""
     text = X.strip_fences("text")
@@ -206,7 +74,7 @@ def assemble(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     named = parsed.filter("azienda is not null").groupBy("case_id", "batch_id").agg(F.min_by("azienda", "chunk").alias("nome"))
     companies = resolve_company(named.join(kinds, ["case_id", "batch_id"], "left").select("case_id", F.col("batch_id").alias("batch_idx"), "nome", "tipo"))
     meta = found.groupBy("case_id").agg(F.count(F.lit(1)).alias("documents"), F.count_distinct("section_key").alias("sections")).join(companies.select("case_id", F.col("nome").alias("company")), "case_id", "left")
-    return evidence, meta, parsed.filter("not ok").select("case_id", "batch_id", "chunk", "raw")
+    return evidence, meta, parsed.filter("not ok").select("case_id", "batch_id", "chunk", "reason", "raw")
 
 
 _PARAGRAPHS = "array<struct<numero: int, categoria: string, sottotitolo: string, contenuto: string>>"

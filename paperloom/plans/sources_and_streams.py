@@ -92,19 +92,30 @@ def _(p):
 
 
 def _raw(e: DataFrame, mark: str = "---") -> DataFrame:
-    """Raw output of a scorer for each document: a company, two cards, and a broken chunk for some."""
-    card = F.concat(F.lit("- tipo: '"), "tipo", F.lit("'\n  titolo: T"), F.col("pos").cast("string"), F.lit("\n  categoria: "), "categoria", F.lit("\n  data_doc: "), "data_doc", F.lit("\n  esito: | a | b |\n  dettagli:\n    ente: INPS\n    note: 'a: b'\n  firmato: yes\n  tabella: |\n| x | y |\n| 1 | 2 |\n  nota: nota: con due punti\n"))
+    """Raw output of a scorer for each document: a company, and chunks of a card with its text; some broken, some lost."""
+    json = lambda c: F.to_json(F.struct(c)).substr(F.lit(len('{"text":') + 1), F.lit(1_000_000_000))
+    quoted = F.regexp_replace(json(F.col("text").alias("text")), r"\}$", "")
+    card = F.concat(F.lit("- tipo: '"), "tipo", F.lit("'\n  titolo: T"), F.col("pos").cast("string"), F.lit("\n  categoria: "), "categoria", F.lit("\n  data_doc: "), "data_doc", F.lit("\n  esito: | a | b |\n  dettagli:\n    ente: INPS\n    note: 'a: b'\n  firmato: yes\n  tabella: |\n| x | y |\n| 1 | 2 |\n  nota: voce: con due punti\n"))
+    text = F.concat(F.lit("  testo: "), quoted, F.lit("\n"))
     head = F.concat(F.lit("```yaml\nmeta:\n  azienda:\n    nome: '"), "azienda", F.lit("'\nsezioni:\n"))
+    # An open bracket in the first card, and a line that is nothing before the second.
+    torn = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("  rotto: [1, 2\n%%%\n- tipo: '"), "tipo", F.lit("'\n  titolo: U\n"))).otherwise(F.lit(""))
     broken = F.when(F.col("pos") % 5 == 0, F.lit(f"{mark}\n{{{{garbage\n")).otherwise(F.lit(""))
-    return e.select("case_id", F.col("pos").alias("batch_id"), F.concat(head, card, F.lit(f"{mark}\n"), card, broken).alias("text"))
+    return e.select("case_id", F.col("pos").alias("batch_id"), F.concat(head, card, text, torn, F.lit(f"{mark}\n"), card, broken).alias("text"))
 
 
-@query("s09_parse_evidence", "v_evidence", sql="SELECT case_id, CAST(pos AS INT) AS batch_id, CAST(CASE WHEN pos % 5 = 0 THEN 3 ELSE 2 END AS BIGINT) AS chunks, CAST(2 AS BIGINT) AS cards, CAST(CASE WHEN pos % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS failures, azienda, 2 AS nested FROM v_evidence")
+@query("s09_parse_evidence", "v_evidence", sql="SELECT case_id, CAST(pos AS INT) AS batch_id, CAST(CASE WHEN pos % 5 = 0 THEN 3 ELSE 2 END AS BIGINT) AS chunks, CAST(CASE WHEN pos % 3 = 0 THEN 3 ELSE 2 END AS BIGINT) AS cards, CAST(CASE WHEN pos % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS failures, azienda, 2 AS nested, sha256(trim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(28) || chr(29) || chr(30) || chr(31))) AS testo FROM v_evidence")
 def _(e):
     p = E.parse_evidence(_raw(e))
     field = lambda x, name: F.try_element_at(x["card"], F.lit(name))
-    whole = lambda x: (field(x, "dettagli") == '{"ente": "INPS", "note": "a: b"}') & (field(x, "tabella") == "| x | y |\n| 1 | 2 |") & (field(x, "esito") == "| a | b |") & (field(x, "firmato") == "yes") & (field(x, "nota") == "nota: con due punti")
-    return p.groupBy("case_id", "batch_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size("cards")).alias("cards"), F.count_if(~F.col("ok")).alias("failures"), F.max("azienda").alias("azienda"), F.sum(F.size(F.filter("cards", whole))).cast("int").alias("nested"))
+    whole = lambda x: (field(x, "dettagli") == '{"ente": "INPS", "note": "a: b"}') & (field(x, "tabella") == "| x | y |\n| 1 | 2 |") & (field(x, "esito") == "| a | b |") & (field(x, "firmato") == "yes") & (field(x, "nota") == '{"voce": "con due punti"}')
+    text = F.max(F.sha2(F.get(F.transform(F.filter("cards", lambda x: x["card"].isNotNull()), lambda x: F.coalesce(field(x, "testo"), F.lit(""))), F.lit(0)), 256)).alias("testo")
+    return p.groupBy("case_id", "batch_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size("cards")).alias("cards"), F.count_if(~F.col("ok")).alias("failures"), F.max("azienda").alias("azienda"), F.sum(F.size(F.filter("cards", whole))).cast("int").alias("nested"), text)
+
+
+@query("h22_dropped_lines", "v_evidence", sql="SELECT case_id, CAST(pos AS INT) AS batch_id, x.chunk, x.reason, x.text FROM v_evidence, (SELECT unnest([{'m': 3, 'chunk': 0, 'reason': 'no closing ]: kept as text', 'text': 'rotto: [1, 2'}, {'m': 3, 'chunk': 0, 'reason': 'neither key, item nor table', 'text': '%%%'}, {'m': 5, 'chunk': 2, 'reason': 'no closing }: kept as text', 'text': '{{garbage'}]) AS x) WHERE pos % x.m = 0")
+def _(e):
+    return E.dropped_lines(E.parse_evidence(_raw(e))).select("case_id", "batch_id", "chunk", "reason", "text")
 
 
 @query("s10_parse_evidence_v1", "v_evidence", sql="SELECT case_id, CAST(pos AS INT) AS batch_id, tipo, data_doc, CAST(2 AS BIGINT) AS n FROM v_evidence")
@@ -201,7 +212,7 @@ def _(d):
     return T.pending(d, d.filter("doc_id % 3 = 0").select(X.content_hash("text").alias("hash"))).select("doc_id")
 
 
-@query("d08_assemble", "v_evidence", sql="SELECT case_id, CAST(2 * count(*) AS BIGINT) AS documents, count(DISTINCT upper(categoria)) AS sections FROM v_evidence GROUP BY 1")
+@query("d08_assemble", "v_evidence", sql="SELECT case_id, CAST(sum(CASE WHEN pos % 3 = 0 THEN 3 ELSE 2 END) AS BIGINT) AS documents, count(DISTINCT upper(categoria)) + (count_if(pos % 3 = 0) > 0)::INT AS sections FROM v_evidence GROUP BY 1")
 def _(e):
     return E.assemble(_raw(e))[1].select("case_id", "documents", "sections")
 

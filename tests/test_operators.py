@@ -329,14 +329,3 @@ def test_corrupt_members_and_long_texts(spark):
 def test_sanitize(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(X.sanitize(F.lit("a\r\nb\rc\x00\x7f\td"))) == "a\nb\nc\x7f\td" and one(X.sanitize(F.lit(None).cast("string"))) == ""
-
-
-def test_yaml_repairs():
-    """Nested maps, blocks, quotes and strings stay; tables outside their block, colons and bad lines are mended; the rest fails."""
-    company, cards = evidence.parse_chunk("meta:\n  azienda: {nome: 'ALFA'}\nsezioni:\n- nome: 08\n  documenti:\n  - {tipo: A, titolo: \"x: y\", valido: yes, data: 2024-01-01}\n  - tipo: B\n    testo: |\n    | a | b |\n      riga\n    figli: [1, {k: v}]\n")
-    assert company == "ALFA" and [c["section"] for c in cards] == ["08", "08"]
-    assert cards[0]["card"] == {"tipo": "A", "titolo": "x: y", "valido": "yes", "data": "2024-01-01"}
-    assert cards[1]["card"]["testo"].startswith("| a | b |") and cards[1]["card"]["figli"] == '["1", {"k": "v"}]'
-    _, cards = evidence.parse_chunk("- tipo: C\n  nota: uno: due\n| stray | row |\n  titolo: T\n%%% }}\n- tipo: D\n")
-    assert [c["card"]["tipo"] for c in cards] == ["C", "D"] and cards[0]["card"]["nota"] == "uno: due"
-    assert evidence.parse_chunk("{{garbage") is None and evidence.parse_chunk("") is None and evidence.parse_chunk("solo testo") is None
