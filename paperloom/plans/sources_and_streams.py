@@ -109,7 +109,7 @@ def _(e):
     p = E.parse_evidence(_raw(e))
     field = lambda x, name: F.try_element_at(x["card"], F.lit(name))
     whole = lambda x: (field(x, "dettagli") == '{"ente": "INPS", "note": "a: b"}') & (field(x, "tabella") == "| x | y |\n| 1 | 2 |") & (field(x, "esito") == "| a | b |") & (field(x, "firmato") == "yes") & (field(x, "nota") == '{"voce": "con due punti"}')
-    text = F.max(F.sha2(F.get(F.transform(F.filter("cards", lambda x: x["card"].isNotNull()), lambda x: F.coalesce(field(x, "testo"), F.lit(""))), F.lit(0)), 256)).alias("testo")
+    text = F.min_by(F.sha2(F.get(F.transform(F.filter("cards", lambda x: x["card"].isNotNull()), lambda x: F.coalesce(field(x, "testo"), F.lit(""))), F.lit(0)), 256), "chunk").alias("testo")
     return p.groupBy("case_id", "batch_id").agg(F.count(F.lit(1)).alias("chunks"), F.sum(F.size("cards")).alias("cards"), F.count_if(~F.col("ok")).alias("failures"), F.max("azienda").alias("azienda"), F.sum(F.size(F.filter("cards", whole))).cast("int").alias("nested"), text)
 
 
