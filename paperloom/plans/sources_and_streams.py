@@ -18,6 +18,7 @@ from paperloom.plans.files_and_joins import AS_OF_ERRORS, category
 from paperloom.plans.views import query
 from paperloom.sources import archives as A
 from paperloom.sources import tables as T
+from paperloom.sources.envelopes import DATA
 from paperloom.streaming import events as S
 
 
@@ -50,10 +51,64 @@ def _(d):
     return m.groupBy(F.col("case_id").cast("long").alias("doc_id")).agg(outer.alias("outer_hash"), digest("inner.zip/in.txt").alias("inner_hash"), F.count(F.lit(1)).cast("int").alias("members"), F.count("problem").cast("int").alias("problems"))
 
 
-@query("s03_extract_text", "documents", sql="SELECT doc_id, 'text' AS category, text, CASE WHEN trim(text) = '' THEN 'empty' ELSE 'ok' END AS method FROM documents")
+def _tlv(tag: int, body: bytes) -> bytes:
+    n = len(body)
+    size = bytes([n]) if n < 128 else bytes([0x84]) + n.to_bytes(4, "big")
+    return bytes([tag]) + size + body
+
+
+def _signed(document: bytes) -> bytes:
+    """A signed envelope of open length around a document in chunks of 100 bytes."""
+    chunks = b"".join(_tlv(0x04, document[i : i + 100]) for i in range(0, len(document), 100))
+    content = b"\x30\x80" + DATA + b"\xa0\x80\x24\x80" + chunks + b"\x00\x00" * 3
+    return b"\x30\x80" + bytes.fromhex("06092a864886f70d010702") + b"\xa0\x80\x30\x80" + _tlv(0x02, b"\x01") + _tlv(0x31, b"") + content + b"\x00\x00" * 3
+
+
+def _as_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A file of each document: in ten formats, signed or not."""
+    from xml.sax.saxutils import escape
+
+    def zipped(name: str, data: str) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w") as z:
+            z.writestr(name, data)
+        return out.getvalue()
+
+    def made(k: int, text: str) -> tuple[str, bytes]:
+        kind = k % 9
+        # A carriage return is a line end in XML and in mail; white space at the ends is left out by several readers.
+        x = escape(text)
+        if kind == 0:
+            return "x.docx", zipped("word/document.xml", f'<d xmlns="w"><p><t>{x}</t></p></d>')
+        if kind == 1:
+            return "x.pptx", zipped("ppt/slides/slide1.xml", f'<d xmlns="a"><p><t>{x}</t></p></d>')
+        if kind == 2:
+            return "x.odt", zipped("content.xml", f'<d xmlns="o"><p>{x}</p></d>')
+        if kind == 3:
+            return "x.xml", f"<d>{x}</d>".encode()
+        if kind == 4:
+            return "x.xlsx", zipped("xl/worksheets/sheet1.xml", f'<w xmlns="x"><row><c><v>{x}</v></c></row></w>')
+        if kind == 5:
+            return "x.html", f"<p>{x}</p><script>no</script>".encode()
+        if kind == 6:
+            return "x.txt.p7m", _signed(text.encode())
+        if kind == 7:
+            return "x.docx.p7m", _signed(zipped("word/document.xml", f'<d xmlns="w"><p><t>{x}</t></p></d>'))
+        return "x.txt", text.encode()
+
+    for b in batches:
+        files = [made(k, t) for k, t in zip(b["doc_id"], b["text"].fillna(""), strict=True)]
+        yield pd.DataFrame({"case_id": b["doc_id"].astype(str), "path": [f[0] for f in files], "content": [f[1] for f in files]})
+
+
+_FORMATS = "(VALUES (0, 'word', 'x.docx'), (1, 'pptx', 'x.pptx'), (2, 'odt', 'x.odt'), (3, 'xml', 'x.xml'), (4, 'excel', 'x.xlsx'), (5, 'html', 'x.html'), (6, 'text', 'x.txt.p7m/x.txt'), (7, 'word', 'x.docx.p7m/x.docx'), (8, 'text', 'x.txt')) f(kind, category, path)"
+
+
+@query("s03_extract_text", "documents", sql=f"SELECT doc_id, path, category, 'ok' AS method, sha256(array_to_string(list_filter(regexp_split_to_array(text, '[\\s]+'), lambda w: w <> ''), ' ')) AS words FROM documents JOIN {_FORMATS} ON doc_id % 9 = kind")
 def _(d):
-    files = d.select(F.col("doc_id").cast("string").alias("case_id"), F.lit("x.txt").alias("path"), F.encode("text", "UTF-8").alias("content"))
-    return A.extract_text(files).select(F.col("case_id").cast("long").alias("doc_id"), "category", "text", "method")
+    files = d.select("doc_id", "text").mapInPandas(_as_files, "case_id string, path string, content binary")
+    words = F.array_join(F.filter(F.split("text", r"\s+"), lambda w: w != ""), " ")
+    return A.extract_text(files).select(F.col("case_id").cast("long").alias("doc_id"), "path", "category", "method", F.sha2(words, 256).alias("words"))
 
 
 @query("s04_html_to_text", "pages")
@@ -68,10 +123,21 @@ def _(d):
     return d.select("doc_id", A.decode_text(F.encode("text", "UTF-8")).alias("text"), good.alias("latin"))
 
 
-@query("s06_carve_embedded", "documents", sql="SELECT doc_id, sha256(concat('%PDF-1.4 ', text, '%%EOF')) AS value FROM documents")
+def _enveloped(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A signed envelope of each document; of every third one in another, of every seventh a PDF's marks without one."""
+    for b in batches:
+        made = []
+        for k, text in zip(b["doc_id"], b["text"].fillna(""), strict=True):
+            data = f"%PDF-1.4 {text}%%EOF".encode()
+            made.append(b"wrapper " + data + b" tail" if k % 7 == 0 else _signed(_signed(data)) if k % 3 == 0 else _signed(data))
+        names = ["x.pdf.p7m" if k % 7 == 0 or k % 3 else "x.pdf.p7m.p7m" for k in b["doc_id"]]
+        yield pd.DataFrame({"case_id": b["doc_id"].astype(str), "path": names, "content": made})
+
+
+@query("s06_carve_embedded", "documents", sql="SELECT doc_id, CASE WHEN doc_id % 7 = 0 OR doc_id % 3 > 0 THEN 'x.pdf.p7m/x.pdf' ELSE 'x.pdf.p7m.p7m/x.pdf.p7m/x.pdf' END AS path, sha256(concat('%PDF-1.4 ', text, '%%EOF')) AS value FROM documents")
 def _(d):
-    files = d.select(F.col("doc_id").cast("string").alias("case_id"), F.lit("x.p7m").alias("path"), F.encode(F.concat(F.lit("wrapper %PDF-1.4 "), "text", F.lit("%%EOF tail")), "UTF-8").alias("content"))
-    return A.carve_embedded(files).select(F.col("case_id").cast("long").alias("doc_id"), F.sha2("content", 256).alias("value"))
+    files = d.select("doc_id", "text").mapInPandas(_enveloped, "case_id string, path string, content binary")
+    return A.carve_embedded(files).select(F.col("case_id").cast("long").alias("doc_id"), "path", F.sha2("content", 256).alias("value"))
 
 
 @query("s07_binary_strings", "documents")

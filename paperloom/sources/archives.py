@@ -8,6 +8,7 @@ import re
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from html import unescape
 from html.parser import HTMLParser
 from xml.etree import ElementTree
@@ -19,61 +20,196 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as X
 from paperloom.operators.ordering import reading_rank
 from paperloom.operators.shared import numbered
+from paperloom.sources.envelopes import documents
 
 _FILES = "case_id string, path string, filename string, size long, content binary, problem string"
 
 
-def expand(case_id: str, content: bytes, max_depth: int = 10, max_files: int = 5000, max_bytes: int = 2**31) -> Iterator[dict]:
-    """Members of an archive and of archives in it, one at a time; a problem takes the place of what can't be read."""
-    files, total = 0, 0
+@dataclass
+class _Limits:
+    max_depth: int = 10
+    max_files: int = 5000
+    max_bytes: int = 2**31
 
-    def walk(data: bytes, prefix: str, depth: int) -> Iterator[dict]:
-        nonlocal files, total
-        try:
-            archive = zipfile.ZipFile(io.BytesIO(data))
-        except zipfile.BadZipFile:
-            yield _row(case_id, prefix.rstrip("/") or case_id, None, "bad_archive")
+
+def expand(case_id: str, content: bytes, **limits) -> Iterator[dict]:
+    """Members of an archive and of archives in it, one at a time; a problem takes the place of what can't be read.
+
+    Limits (max_depth, max_files, max_bytes) hold for the members of each archive.
+    """
+    yield from _inside(case_id, content, "", 1, _Limits(**limits))
+
+
+def _inside(case_id: str, content: bytes, prefix: str, depth: int, limits: _Limits) -> Iterator[dict]:
+    try:
+        archive = zipfile.ZipFile(io.BytesIO(content))
+    except zipfile.BadZipFile:
+        yield _row(case_id, prefix.rstrip("/") or case_id, None, "bad_archive")
+        return
+    with archive:
+        yield from _walk(case_id, archive, prefix, depth, limits, range(len(archive.infolist())))
+
+
+def _walk(case_id: str, archive: zipfile.ZipFile, prefix: str, depth: int, limits: _Limits, wanted: range) -> Iterator[dict]:
+    """The wanted members of an open archive; those before them count towards its limits."""
+    files, total = 0, 0
+    for i, member in enumerate(archive.infolist()):
+        if i >= wanted.stop:
             return
-        for member in archive.infolist():
-            path = prefix + member.filename.replace("\\", "/")
-            parts = member.filename.replace("\\", "/").split("/")
-            if member.is_dir() or "__MACOSX" in parts or parts[-1].startswith("."):
-                continue
-            if ".." in parts or parts[0] == "" or re.match("[A-Za-z]:", parts[0]):
+        path = prefix + member.filename.replace("\\", "/")
+        parts = member.filename.replace("\\", "/").split("/")
+        if member.is_dir() or "__MACOSX" in parts or parts[-1].startswith("."):
+            continue
+        if ".." in parts or parts[0] == "" or re.match("[A-Za-z]:", parts[0]):
+            if i in wanted:
                 yield _row(case_id, path, None, "unsafe_path")
-                continue
-            files, total = files + 1, total + member.file_size
-            if files > max_files or total > max_bytes:
+            continue
+        before = files > limits.max_files or total > limits.max_bytes
+        files, total = files + 1, total + member.file_size
+        if files > limits.max_files or total > limits.max_bytes:
+            if i in wanted and not before:
                 yield _row(case_id, path, None, "limit")
+            if before:
                 return
-            try:
-                found = archive.read(member)
-            except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, RuntimeError, NotImplementedError, EOFError, OSError, ValueError):
-                yield _row(case_id, path, None, "unreadable_member")
-                continue
-            if path.lower().endswith(".zip"):
-                if depth < max_depth:
-                    yield from walk(found, path + "/", depth + 1)
-                else:
-                    yield _row(case_id, path, None, "too_deep")
-            else:
-                yield _row(case_id, path, found, None)
-
-    yield from walk(content, "", 1)
+            continue
+        if i not in wanted:
+            continue
+        try:
+            found = archive.read(member)
+        except (zipfile.BadZipFile, zlib.error, lzma.LZMAError, RuntimeError, NotImplementedError, EOFError, OSError, ValueError):
+            yield _row(case_id, path, None, "unreadable_member")
+            continue
+        if not path.lower().endswith(".zip"):
+            yield _row(case_id, path, found, None)
+        elif depth < limits.max_depth:
+            yield from _inside(case_id, found, path + "/", depth + 1, limits)
+        else:
+            yield _row(case_id, path, None, "too_deep")
 
 
 def _row(case_id: str, path: str, content: bytes | None, problem: str | None) -> dict:
     return {"case_id": case_id, "path": path, "filename": path.rsplit("/", 1)[-1], "size": len(content) if content is not None else 0, "content": content, "problem": problem}
 
 
-def read_archives(spark: SparkSession, glob: str, **limits) -> DataFrame:
+def _in_parts(rows: Iterator[dict], most: int = 16_000_000) -> Iterator[pd.DataFrame]:
+    """Rows in frames of about that many bytes."""
+    part, size = [], 0
+    for row in rows:
+        part.append(row)
+        size += row["size"]
+        if size > most:
+            yield pd.DataFrame(part)
+            part, size = [], 0
+    if part:
+        yield pd.DataFrame(part)
+
+
+#: Stores whose files can be read by ranges.
+RANGED = re.compile(r"(?:file:/|hdfs://|s3a?://|gs://|/)")
+#: Compressed bytes of members that one task takes from an archive, if it has more.
+RUN_BYTES = 16_000_000
+
+_RUNS = "case_id string, location string, run long, first int, last int, problem string"
+
+
+class _Ranged(io.RawIOBase):
+    """A file of a shared store, read by ranges."""
+
+    def __init__(self, location: str) -> None:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(re.sub(r"^s3a:", "s3:", location))
+        self._file, self._at = store.open_input_file(path), 0
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def tell(self) -> int:
+        return self._at
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        at = offset + (0, self._at, self._file.size())[whence]
+        if at < 0:
+            raise OSError("before the start of the file")
+        self._at = at
+        return at
+
+    def readinto(self, into) -> int:
+        found = self._file.read_at(len(into), self._at)
+        into[: len(found)] = found
+        self._at += len(found)
+        return len(found)
+
+    def close(self) -> None:
+        self._file.close()
+        super().close()
+
+
+def _opened(location: str) -> io.BufferedReader:
+    return io.BufferedReader(_Ranged(location), 1 << 17)
+
+
+def _index(location: str, run_bytes: int) -> Iterator[tuple[int, int, int, str | None]]:
+    """Runs of neighbouring members of an archive by compressed size, from its end record and central directory alone."""
+    try:
+        with _opened(location) as f, zipfile.ZipFile(f) as z:
+            sizes = [m.compress_size for m in z.infolist()]
+    except zipfile.BadZipFile:
+        yield 0, 0, 0, "bad_archive"
+        return
+    run, first, size = 0, 0, 0
+    for i, n in enumerate(sizes):
+        if size and size + n > run_bytes:
+            yield run, first, i, None
+            run, first, size = run + 1, i, 0
+        size += n
+    if sizes:
+        yield run, first, len(sizes), None
+
+
+def read_archives(spark: SparkSession, glob: str, run_bytes: int = RUN_BYTES, **limits) -> DataFrame:
     """The members of all archives that glob names, with the archive's name as case_id.
 
-    One task reads an archive and hands its members on one by one. Unsafe paths, bad archives, members and limits
-    become rows with a problem and no content.
+    An archive's index is read by ranges of the file; its members are dealt to tasks in runs by compressed size, and
+    each task reads its run alone, so that one large archive keeps many tasks busy and no row or task holds it whole.
+    Unsafe paths, bad archives, members and limits become rows with a problem and no content. Limits hold for the
+    members of each archive; an archive inside counts as one member, and the limits hold for its own members anew. A
+    store whose files can only be read whole gives them to expand_archives.
     """
-    found = spark.read.format("binaryFile").load(glob).select(F.regexp_replace(X.file_name("path"), r"\.[^.]*$", "").alias("case_id"), "content")
-    return expand_archives(found, **limits)
+    files = spark.read.format("binaryFile").load(glob)
+    name = F.regexp_replace(X.file_name("path"), r"\.[^.]*$", "").alias("case_id")
+    n, total, one = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0)), F.min("path")).first()
+    if not RANGED.match(one or "/"):
+        return expand_archives(files.select(name, "content"), **limits)
+    # Told, since Spark would join parts that look small: their rows only name what is to be read.
+    cores = spark.sparkContext.defaultParallelism
+    parts = min(max(n, -(-total // run_bytes)), 100 * cores)
+
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = [(c, p, *x) for c, p in zip(b["case_id"], b["path"], strict=True) for x in _index(p, run_bytes)]
+            yield pd.DataFrame(rows, columns=["case_id", "location", "run", "first", "last", "problem"])
+
+    def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for r in b.itertuples():
+                yield from _in_parts(_members(r, limits))
+
+    # binaryFile does not read content that is not asked for.
+    runs = files.select(name, "path").repartition(max(1, min(n, 100 * cores))).mapInPandas(index, _RUNS)
+    return runs.repartition(max(1, parts)).mapInPandas(members, _FILES)
+
+
+def _members(run, limits: dict) -> Iterator[dict]:
+    """The rows of one run of an archive's members."""
+    if run.problem:
+        yield _row(run.case_id, run.case_id, None, run.problem)
+        return
+    with _opened(run.location) as f, zipfile.ZipFile(f) as z:
+        yield from _walk(run.case_id, z, "", 1, _Limits(**limits), range(run.first, run.last))
 
 
 def expand_archives(archives: DataFrame, **limits) -> DataFrame:
@@ -82,15 +218,7 @@ def expand_archives(archives: DataFrame, **limits) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for case_id, content in zip(b["case_id"], b["content"], strict=True):
-                rows, size = [], 0
-                for row in expand(case_id, content, **limits):
-                    rows.append(row)
-                    size += row["size"]
-                    if size > 16_000_000:
-                        yield pd.DataFrame(rows)
-                        rows, size = [], 0
-                if rows:
-                    yield pd.DataFrame(rows)
+                yield from _in_parts(expand(case_id, content, **limits))
 
     return archives.select("case_id", "content").mapInPandas(run, _FILES)
 
@@ -156,25 +284,25 @@ def decode_text(content) -> Column:
     return F.when(F.is_valid_utf8(c.cast("string")), c.cast("string")).otherwise(F.decode(c, "ISO-8859-1"))
 
 
-def carve(content: bytes) -> list[bytes]:
-    """A PDF or an archive inside a signed wrapper."""
-    start = content.find(b"%PDF-")
-    if start >= 0:
-        end = content.rfind(b"%%EOF")
-        return [content[start : end + 5 if end > start else None]]
-    start = content.find(b"PK\x03\x04")
-    return [content[start:]] if start >= 0 else []
+def carve_embedded(files: DataFrame, **limits) -> DataFrame:
+    """files(case_id, path, content) of signed envelopes → the documents inside, under the envelope's path; of an archive its members.
 
+    Envelopes in envelopes are opened too. One that holds nothing, or lies too deep, is a row with a problem. The
+    document is found by its tags and lengths; only where there is no envelope, by the marks of a PDF or an archive.
+    """
 
-def carve_embedded(files: DataFrame) -> DataFrame:
-    """files(case_id, path, content) found inside wrappers, named after them."""
+    def one(case_id: str, path: str, data: bytes | None) -> Iterator[dict]:
+        for name, content, problem in documents(path, data or b"", limits.get("max_depth", 10)):
+            if content is not None and name.lower().endswith(".zip"):
+                yield from (x | {"path": f"{name}/{x['path']}"} for x in expand(case_id, content, **limits))
+            else:
+                yield _row(case_id, name, content, problem)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(c, f"{p}#{i}.{'pdf' if x.startswith(b'%PDF-') else 'zip'}", x) for c, p, data in zip(b["case_id"], b["path"], b["content"], strict=True) for i, x in enumerate(carve(data or b""))]
-            yield pd.DataFrame(rows, columns=["case_id", "path", "content"])
+            yield from _in_parts(x for c, p, data in zip(b["case_id"], b["path"], b["content"], strict=True) for x in one(c, p, data))
 
-    return files.select("case_id", "path", "content").mapInPandas(run, "case_id string, path string, content binary")
+    return files.select("case_id", "path", "content").mapInPandas(run, _FILES)
 
 
 def _strings(content: pd.Series) -> pd.Series:
@@ -277,9 +405,13 @@ HANDLERS: dict[str, Callable[[bytes], str]] = {
 def extract_text(files: DataFrame, handlers: dict[str, Callable[[bytes], str]] = HANDLERS, cap: int | None = None) -> DataFrame:
     """files(case_id, path, content) with text and method; a file that fails has no text and says so, its task goes on.
 
-    A text of more than cap characters, where there is one, is cut, and its method is truncated.
+    A text of more than cap characters, where there is one, is cut, and its method is truncated. A signed envelope has a
+    row for each document in it, under the document's path, category and method; one that holds none says why.
     """
-    keyed = files.select("case_id", "path", X.categorize("path").alias("category"), "content")
+    plain = files.select("case_id", "path", "content", X.categorize("path").alias("category"), F.lit(None).cast("string").alias("problem"))
+    signed = carve_embedded(plain.filter("category = 'p7m' and content is not null"))
+    inner = signed.select("case_id", "path", "content", X.categorize("path").alias("category"), "problem")
+    keyed = plain.filter("category <> 'p7m' or content is null").unionByName(inner)
 
     def one(category: str, content: bytes | None) -> tuple[str | None, str]:
         if content is None:
@@ -296,7 +428,7 @@ def extract_text(files: DataFrame, handlers: dict[str, Callable[[bytes], str]] =
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            found = [one(c, x) for c, x in zip(b["category"], b["content"], strict=True)]
+            found = [(None, p) if p else one(c, x) for c, x, p in zip(b["category"], b["content"], b["problem"], strict=True)]
             yield b[["case_id", "path", "category"]].assign(text=[t for t, _ in found], method=[m for _, m in found])
 
     return keyed.mapInPandas(run, "case_id string, path string, category string, text string, method string")

@@ -91,7 +91,7 @@ def test_archives(spark):
     assert out["c1", "bad.zip"].problem == "bad_archive" and out["c2", "c2"].problem == "bad_archive"
     assert not [p for _, p in out if "MACOSX" in p or "hidden" in p]
     limited = archives.expand_archives(df.filter("case_id = 'c1'"), max_files=1).collect()
-    assert [r.problem for r in limited if r.problem == "limit"]
+    assert [r.path for r in limited if r.problem == "limit"] == ["in.zip"]
     flat = archives.expand_archives(df.filter("case_id = 'c1'"), max_depth=1).collect()
     assert [r for r in flat if r.problem == "too_deep"]
 
