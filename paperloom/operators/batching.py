@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,40 +17,75 @@ from paperloom.operators.shared import numbered, stored
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 
 
-#: Most documents of a case that one task packs.
-BLOCK = 10_000
+def first_fit_runs(lengths: list[int], counts: list[int], max_files: int, max_chars: int) -> list[tuple[int, int, int, int, int]]:
+    """First fit of documents of falling lengths: (length, first, last + 1, batch, each).
 
-
-def ffd_batches(docs: DataFrame, max_files: int = 4, max_chars: int = 50_000, block: int = BLOCK) -> DataFrame:
+    The documents of a length from the first to the last go to batches from batch on, each of them a batch. Batches in
+    one state lie in runs, so that the work grows with the distinct lengths and not with the documents: those of a
+    length fill run after run that has room for one, batch by batch, and then open batches of their own.
+    """
+    start, size = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    files, room = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    out, opened = [], 0
+    for length, count in zip(lengths, counts, strict=True):
+        placed = 0
+        cuts = []
+        for i in np.flatnonzero((files < max_files) & (room >= length)):
+            if placed == count:
+                break
+            each = int(max_files - files[i]) if length == 0 else min(int(max_files - files[i]), int(room[i]) // length)
+            n = min(count - placed, each * int(size[i]))
+            out.append((length, placed, placed + n, int(start[i]), each))
+            placed += n
+            full, part = divmod(n, each)
+            if full < size[i]:
+                # The run's batches that are full, the one that is partly so, and those left as they were.
+                cuts.append((i, full, part, each))
+            else:
+                files[i] += each
+                room[i] -= each * length
+        for i, full, part, each in cuts:
+            pieces = [(n, f, r) for n, f, r in ((full, files[i] + each, room[i] - each * length), (int(part > 0), files[i] + part, room[i] - part * length), (size[i] - full - (part > 0), files[i], room[i])) if n > 0]
+            starts = start[i] + np.cumsum([0, *(n for n, _, _ in pieces[:-1])])
+            replaced = [np.array([p[k] for p in pieces], np.int64) for k in range(3)]
+            start, size, files, room = (np.concatenate((x[:i], y, x[i + 1 :])) for x, y in ((start, starts), (size, replaced[0]), (files, replaced[1]), (room, replaced[2])))
+        left = count - placed
+        if left:
+            each = max_files if length == 0 else max(1, min(max_files, max_chars // length))
+            out.append((length, placed, count, opened, each))
+            full, part = divmod(left, each)
+            for n, f in ((full, each), (int(part > 0), part)):
+                if n:
+                    start, size = np.append(start, opened), np.append(size, n)
+                    files, room = np.append(files, f), np.append(room, max_chars - f * length)
+                    opened += n
+    return out
+
+
+def ffd_batches(docs: DataFrame, max_files: int = 4, max_chars: int = 50_000) -> DataFrame:
     """docs(case_id, path, n_chars) with batch_id: first fit decreasing within each case.
 
     Longest first, of equals by path, each document goes to the first batch that has room for it; one that is longer
-    than a batch gets its own. A case of more than block documents is packed block by block in that order, so that no
-    task holds more than block rows; the batches of a block are numbered from block times its number. Only keys and
-    lengths are shipped. A null length is none.
+    than a batch gets its own. A case is packed from how many documents of each length it has, at most max_chars + 2
+    lengths, since those longer than a batch count as one; its documents, numbered by length over ranges, then look up
+    their batch. So a case of any size is packed exactly, and no task holds its documents. A null length is none.
     """
+    too_long = max_chars + 1
+    slim = docs.select("case_id", "path", F.coalesce(F.col("n_chars").cast("long"), F.lit(0)).alias("n_chars"))
+    slim = slim.withColumn("_length", F.least(F.col("n_chars"), F.lit(too_long)))
+    ranked = stored(numbered(slim, ["case_id", "_length"], [F.desc("n_chars"), F.col("path")], "_n", 0), "ranked")
+    kind = docs.schema["case_id"].dataType.simpleString()
 
-    def one(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("_n")
-        files: list[int] = []
-        chars: list[int] = []
-        first_open, out = 0, []
-        for n in part["n_chars"]:
-            i = next((i for i in range(first_open, len(files)) if files[i] < max_files and chars[i] + n <= max_chars), len(files))
-            if i == len(files):
-                files.append(0)
-                chars.append(0)
-            files[i] += 1
-            chars[i] += n
-            while first_open < len(files) and (files[first_open] >= max_files or chars[first_open] > max_chars):
-                first_open += 1
-            out.append(i)
-        return part.assign(batch_id=part["_block"] * block + out)[["case_id", "path", "n_chars", "batch_id"]]
+    def pack(case: pd.DataFrame) -> pd.DataFrame:
+        case = case.sort_values("_length", ascending=False)
+        runs = first_fit_runs(case["_length"].tolist(), case["_count"].tolist(), max_files, max_chars)
+        return pd.DataFrame(runs, columns=["_of", "_first", "_last", "_batch", "_each"]).assign(_case=case["case_id"].iloc[0])[["_case", "_of", "_first", "_last", "_batch", "_each"]]
 
-    slim = docs.select("case_id", "path", F.coalesce(F.col("n_chars").cast("long"), F.lit(0)).alias("n_chars"))
-    placed = numbered(slim, ["case_id"], [F.desc("n_chars"), F.col("path")], "_n", 0)
-    fields = f"case_id {docs.schema['case_id'].dataType.simpleString()}, path string, n_chars long, batch_id int"
-    return placed.withColumn("_block", F.floor(F.col("_n") / block).cast("int")).groupBy("case_id", "_block").applyInPandas(one, fields)
+    counts = ranked.groupBy("case_id", "_length").agg(F.count(F.lit(1)).alias("_count"))
+    runs = stored(counts.groupBy("case_id").applyInPandas(pack, f"_case {kind}, _of long, _first long, _last long, _batch long, _each long"), "batches")
+    same = F.col("case_id").eqNullSafe(F.col("_case")) & (F.col("_length") == F.col("_of")) & (F.col("_n") >= F.col("_first")) & (F.col("_n") < F.col("_last"))
+    batch = (F.col("_batch") + F.floor((F.col("_n") - F.col("_first")) / F.col("_each"))).cast("int")
+    return ranked.join(runs, same).select("case_id", "path", "n_chars", batch.alias("batch_id"))
 
 
 def profiles(df: DataFrame) -> DataFrame:
@@ -61,7 +97,7 @@ def keyword_scorer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """A deterministic scorer of (case_id, path, filename, text): the first class whose name is in the file's name or text."""
     names = [c for c, *_ in C.CLASSES if c != "ALTRO"]
     for b in batches:
-        low = (b["filename"].fillna("") + " " + b["text"].fillna("").str[:1500]).str.upper()
+        low = (b["filename"].fillna("") + " " + b["text"].fillna("")).str.upper()
         classe = pd.Series("ALTRO", index=b.index)
         confidence = pd.Series(0.5, index=b.index)
         for name in reversed(names):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from paperloom.functions import text as X
+from paperloom.operators.shared import checked, numbered, stored
 
 
 def whitelist(df: DataFrame, match: Column | None = None) -> DataFrame:
@@ -41,17 +42,19 @@ def confidence_threshold(df: DataFrame, least: float = 0.9) -> DataFrame:
 def volume_cap(df: DataFrame, frac: float = 0.15, min_files: int = 10) -> DataFrame:
     """At most that share of a case's files is NOISE, those of highest confidence, then by name; the others are SUPPORT.
 
-    Cases of few files are left as they are. Only the noise of a case is ranked; its size is a count with partial
-    aggregation that joins back.
+    Cases of few files are left as they are. Only keys of the noise are ranked, over ranges of them, and only the last
+    one within each case's share joins back, so that no task holds a case. (case_id, path) tells files apart.
     """
-    sizes = df.groupBy("case_id").agg(F.count(F.lit(1)).alias("_files"))
-    # Rows that are no noise each have a key of their own: nobody needs their rank, and they meet in no task.
-    noise = F.coalesce(F.col("role") == "NOISE", F.lit(False))
-    keyed = df.withColumn("_key", F.when(noise, "").otherwise(F.concat(F.lit("/"), "path")))
-    w = Window.partitionBy("case_id", "_key").orderBy(F.desc(F.coalesce(F.round("role_conf", 6), F.lit(0.0))), "filename", "path")
-    out = keyed.withColumn("_rank", F.row_number().over(w)).join(sizes, "case_id")
-    over = (F.col("_key") == "") & (F.col("_files") >= min_files) & (F.col("_rank") > F.floor(F.col("_files") * frac))
-    return out.withColumn("over_cap", over).withColumn("role", F.when(over, "SUPPORT").otherwise(F.col("role"))).drop("_key", "_rank", "_files")
+    sizes = df.groupBy("case_id").agg(F.count(F.lit(1)).alias("_files")).filter(F.col("_files") >= min_files)
+    sizes = sizes.select(F.col("case_id").alias("_case"), F.floor(F.col("_files") * frac).alias("_most"))
+    key = F.struct((-F.coalesce(F.round("role_conf", 6), F.lit(0.0))).alias("c"), F.col("filename").alias("f"), F.col("path").alias("p"))
+    noise = F.col("role") == "NOISE"
+    ranked = numbered(df.filter(noise).select("case_id", key.alias("_key")), ["case_id"], ["_key"], "_rank")
+    last = ranked.join(sizes, F.col("case_id").eqNullSafe(F.col("_case")) & (F.col("_rank") == F.col("_most"))).select(F.col("case_id").alias("_of"), F.col("_key").alias("_last"))
+    cuts = sizes.join(last, F.col("_case").eqNullSafe(F.col("_of")), "left").filter("_last is not null or _most = 0").select("_case", "_last", F.lit(True).alias("_cut"))
+    out = df.join(checked(stored(cuts, "cuts")), F.col("case_id").eqNullSafe(F.col("_case")), "left")
+    over = F.coalesce(noise & F.col("_cut") & (F.col("_last").isNull() | (key > F.col("_last"))), F.lit(False))
+    return out.withColumn("over_cap", over).withColumn("role", F.when(over, "SUPPORT").otherwise(F.col("role"))).drop("_case", "_last", "_cut")
 
 
 def safety_net(classified: DataFrame, match: Column | None = None) -> DataFrame:

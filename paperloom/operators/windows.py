@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from paperloom.operators.shared import carried, numbered, placed, with_runs
+from paperloom.operators.shared import carried, numbered, placed, stored, with_runs
 
 _BEFORE = (Window.unboundedPreceding, -1)
 
@@ -68,25 +68,53 @@ def rotate(df: DataFrame, i: str, labels: list[str], out: str = "label") -> Data
 
 
 def progress_pct(events: DataFrame) -> DataFrame:
-    """events(session_id, ts, event_id, type, pct) with shown: the highest percentage so far, at most 99 before done, 100 from then on."""
-    w = Window.partitionBy("session_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
-    done = F.max((F.col("type") == "done").cast("int")).over(w) == 1
-    return events.withColumn("shown", F.when(done, 100.0).otherwise(F.least(F.lit(99.0), F.max(F.coalesce("pct", F.lit(0.0))).over(w))))
+    """events(session_id, ts, event_id, type, pct) with shown: the highest percentage so far, at most 99 before done, 100 from then on.
+
+    A session may span any number of ranges; each takes over the highest percentage and the end of those before.
+    """
+    by = ["session_id"]
+    rows = placed(events, by, ["ts", "event_id"])
+    pct, done = F.coalesce("pct", F.lit(0.0)), (F.col("type") == "done").cast("int")
+    so_far = lambda x, w: F.struct(F.coalesce(F.max(f"{x}.high").over(w), F.lit(0.0)).alias("high"), F.coalesce(F.max(f"{x}.done").over(w), F.lit(0)).alias("done"))
+    runs = carried(rows, by, F.struct(F.max(pct).alias("high"), F.max(done).alias("done")), so_far)
+    inside = Window.partitionBy("_part", *by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    high, ended = F.greatest(F.max(pct).over(inside), "_of_part.high"), F.greatest(F.max(done).over(inside), "_of_part.done")
+    shown = F.when(ended == 1, 100.0).otherwise(F.least(F.lit(99.0), high))
+    return with_runs(rows, runs, by).withColumn("shown", shown).drop("_at", "_part", "_first", "_of_part")
+
+
+def with_silence(events: DataFrame, ts: str = "ts", order: str = "event_id") -> DataFrame:
+    """events of sessions placed in ranges, with _silence: microseconds since the session's event before, null for its first."""
+    by = ["session_id"]
+    rows = placed(events, by, [ts, order])
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    runs = carried(rows, by, F.max(micros), lambda x, w: F.max(x).over(w))
+    inside = Window.partitionBy("_part", *by).orderBy("_at")
+    before = F.coalesce(F.lag(micros).over(inside), "_of_part")
+    return with_runs(rows, runs, by).withColumn("_silence", micros - before).drop("_first", "_of_part")
 
 
 def gaps(events: DataFrame, seconds: int, ts: str = "ts", order: str = "event_id") -> DataFrame:
     """Events that come more than seconds after the one before, with the silence in seconds."""
-    w = Window.partitionBy("session_id").orderBy(ts, order)
-    silence = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.lag(ts).over(w).cast("timestamp"))
-    return events.withColumn("silence", F.round(silence / 1e6, 3)).filter(F.col("silence") > seconds)
+    found = with_silence(events, ts, order).withColumn("silence", F.round(F.col("_silence") / 1e6, 3))
+    return found.filter(F.col("silence") > seconds).drop("_at", "_part", "_silence")
+
+
+def stretches(events: DataFrame, micros: int, ts: str = "ts", order: str = "event_id", out: str = "stretch") -> DataFrame:
+    """events with the number of their stretch in the session, from 1: a silence of more than micros begins a new one."""
+    by = ["session_id"]
+    rows = stored(with_silence(events, ts, order).withColumn("_new", (F.coalesce("_silence", F.lit(micros + 1)) > micros).cast("long")), "silences")
+    runs = carried(rows, by, F.sum("_new"), lambda x, w: F.coalesce(F.sum(x).over(w), F.lit(0)))
+    inside = Window.partitionBy("_part", *by).orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    return with_runs(rows, runs, by).withColumn(out, F.col("_of_part") + F.sum("_new").over(inside)).drop("_at", "_part", "_first", "_of_part", "_silence", "_new")
 
 
 def cap_stream(chunks: DataFrame, cap: int = 400_000) -> DataFrame:
     """chunks(session_id, seq, text) up to cap characters of a session; the last is cut and flagged."""
-    w = Window.partitionBy("session_id").orderBy("seq").rowsBetween(*_BEFORE)
-    out = chunks.withColumn("before", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0))).filter(F.col("before") < cap)
-    left = F.lit(cap) - F.col("before")
-    return out.withColumn("truncated", F.length("text") > left).withColumn("text", F.substring(F.col("text"), F.lit(1), left.cast("int"))).drop("before")
+    rows = chunks.withColumn("_length", F.coalesce(F.length("text"), F.lit(0)))
+    out = running_offset(rows, "_length", ["seq"], ["session_id"], 0, "_before").filter(F.col("_before") < cap)
+    left = F.lit(cap) - F.col("_before")
+    return out.withColumn("truncated", F.length("text") > left).withColumn("text", F.substring(F.col("text"), F.lit(1), left.cast("int"))).drop("_before", "_length")
 
 
 def first_match(files: DataFrame, word: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperloom.functions import catalog as C
-from paperloom.operators.windows import cap_stream
+from paperloom.operators.windows import cap_stream, stretches
 from paperloom.sources.tables import EVENT_FIELDS
 
 
@@ -46,16 +46,26 @@ _LIMITED = "session_id string, event_id long, ts timestamp, type string, passed
 
 
 def rate_limit_batch(events: DataFrame, n: int = 5, seconds: float = 1.0) -> DataFrame:
-    """events(session_id, event_id, ts, type) with passed, in the order of time within each session."""
+    """events(session_id, event_id, ts, type) with passed, in the order of time within each session.
+
+    After a silence longer than the window nothing that passed counts any more, so that a session is cut there and its
+    stretches are dealt to tasks on their own. A task reads its stretches in order and keeps the times of one that
+    passed lately, n and those of protected events; only a stretch without such a silence stays in one task.
+    """
     window = int(seconds * 1_000_000)
 
-    def one(session: pd.DataFrame) -> pd.DataFrame:
-        session = session.sort_values(["ts", "event_id"])
-        passed, _ = _limited(session["type"].tolist(), _micros(session["ts"]), [], n, window)
-        return session.assign(passed=passed)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, recent = None, []
+        for b in batches:
+            passed = []
+            for k, part in b.groupby(["session_id", "stretch"], sort=False, dropna=False):
+                found, recent = _limited(part["type"].tolist(), _micros(part["ts"]), recent if k == key else [], n, window)
+                key = k
+                passed += found
+            yield b[["session_id", "event_id", "ts", "type"]].assign(passed=passed)
 
     slim = events.select(F.col("session_id").cast("string").alias("session_id"), "event_id", F.col("ts").cast("timestamp").alias("ts"), "type")
-    return slim.groupBy("session_id").applyInPandas(one, _LIMITED)
+    return stretches(slim, window).repartition("session_id", "stretch").sortWithinPartitions("session_id", "stretch", "ts", "event_id").mapInPandas(run, _LIMITED)
 
 
 def rate_limit(stream: DataFrame, n: int = 5, seconds: float = 1.0) -> DataFrame:
@@ -132,12 +142,13 @@ _PARTS = "session_id string, text string, chars long, truncated boolean, status
 
 def reassemble_batch(chunks: DataFrame, cap: int = 400_000) -> DataFrame:
     """chunks(session_id, seq, text, status) as one text for each session, up to cap characters; status is the last one."""
-    cut = cap_stream(chunks, cap)
+    # Empty chunks add nothing, so that a session's chunks are no more than its characters.
+    cut = cap_stream(chunks, cap).filter("text <> ''")
     parts = F.sort_array(F.collect_list(F.struct("seq", "text")))
     text = F.array_join(F.transform(parts, lambda x: x["text"]), "")
     whole = cut.groupBy("session_id").agg(text.alias("text"))
     last = chunks.groupBy("session_id").agg(F.max_by("status", "seq").alias("status"), F.sum(F.length("text")).alias("total"))
-    return whole.join(last, "session_id").select(F.col("session_id").cast("string").alias("session_id"), "text", F.length("text").cast("long").alias("chars"), (F.col("total") > cap).alias("truncated"), "status")
+    return last.join(whole, "session_id", "left").withColumn("text", F.coalesce("text", F.lit(""))).select(F.col("session_id").cast("string").alias("session_id"), "text", F.length("text").cast("long").alias("chars"), (F.coalesce("total", F.lit(0)) > cap).alias("truncated"), "status")
 
 
 def reassemble(stream: DataFrame, cap: int = 400_000) -> DataFrame:

@@ -248,15 +248,70 @@ def test_scrub_of_nested_json(spark):
     assert out == ['{"tipo": "DVR", "voci": [{"nota": "CF [dato privacy rimosso]", "n": 2.5}, null, "ok"]}', None, None]
 
 
+def _first_fit(lengths, max_files=4, max_chars=50_000):
+    """Batch of each length in turn: the first with room, found in a tree over the most room of its batches."""
+    size = 1 << max(1, len(lengths)).bit_length()
+    room, files, out = [max_chars] * (2 * size), [0] * size, []
+    for n in lengths:
+        i = 1
+        if n > max_chars:
+            i = size + next(k for k in range(len(out) + 1) if files[k] == 0)
+        else:
+            while i < size:
+                i = 2 * i if room[2 * i] >= n else 2 * i + 1
+        k = i - size
+        files[k] += 1
+        room[i] = -1 if files[k] == max_files or n > max_chars else room[i] - n
+        while i > 1:
+            i //= 2
+            room[i] = max(room[2 * i], room[2 * i + 1])
+        out.append(k)
+    return out
+
+
 def test_ffd_of_a_long_case(spark):
-    """A case over the block is packed block by block: all documents once, within the bounds, batches of their own."""
-    sizes = [(i * 7919) % 60000 for i in range(250)]
-    docs = spark.createDataFrame([("c", f"f{i:03}", n) for i, n in enumerate(sizes)], "case_id string, path string, n_chars int")
-    out = batching.ffd_batches(docs, block=100).toPandas()
-    assert sorted(out["n_chars"]) == sorted(sizes) and out["path"].is_unique
-    for _, b in out.groupby("batch_id"):
-        assert len(b) <= 4 and (b["n_chars"].sum() <= 50000 or len(b) == 1)
-    assert set(out["batch_id"] // 100) == {0, 1, 2}
+    """A case of 100,000 documents, and others, get the batches that first fit gives document by document."""
+    import random
+
+    r = random.Random(4)
+    rows = [("hot", f"f{i:06}", r.choice([0, 1, 100, r.randint(0, 50_000), r.randint(0, 3000), 12_500, 25_000, None]) if i > 20 else 50_000 + i % 3) for i in range(100_000)]
+    rows += [(None, f"n{i:03}", r.randint(0, 60_000)) for i in range(300)] + [("twice", "same", 20_000)] * 7 + [("long", f"l{i}", 60_000) for i in range(5)]
+    docs = spark.createDataFrame(rows, "case_id string, path string, n_chars int")
+    found = batching.ffd_batches(docs).toPandas()
+    assert len(found) == len(rows)
+    for case, own in found.groupby("case_id", dropna=False):
+        want = sorted(((x[2] or 0, x[1]) for x in rows if x[0] == (None if case != case else case)), key=lambda x: (-x[0], x[1]))
+        own = own.sort_values(["n_chars", "path", "batch_id"], ascending=[False, True, True])
+        assert own["batch_id"].tolist() == _first_fit([n for n, _ in want])
+
+
+def test_scans_of_a_hot_session(spark):
+    """A session of nine tenths of the rows: percentages, silences and caps as windows over all of it give, in no hot task."""
+    from pyspark.sql.window import Window
+
+    from paperloom.operators import windows
+
+    e = spark.range(20_000).select(F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 50)).alias("session_id"), F.timestamp_micros(F.abs(F.xxhash64("id")) % 10_000_000_000).alias("ts"), F.col("id").alias("event_id"), F.when(F.xxhash64("id") % 4000 == 0, "done").otherwise("x").alias("type"), F.when(F.col("id") % 3 > 0, (F.abs(F.xxhash64("id", "id")) % 10000) / 100).alias("pct"))
+    whole = Window.partitionBy("session_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    shown = e.withColumn("shown", F.when(F.max((F.col("type") == "done").cast("int")).over(whole) == 1, 100.0).otherwise(F.least(F.lit(99.0), F.max(F.coalesce("pct", F.lit(0.0))).over(whole))))
+    found = windows.progress_pct(e)
+    assert sorted(map(tuple, found.select("event_id", "shown").collect())) == sorted(map(tuple, shown.select("event_id", "shown").collect()))
+    w = Window.partitionBy("session_id").orderBy("ts", "event_id")
+    micros = F.unix_micros("ts")
+    silent = e.withColumn("silence", F.round((micros - F.lag(micros).over(w)) / 1e6, 3)).filter("silence > 1")
+    assert sorted(map(tuple, windows.gaps(e, 1).select("event_id", "silence").collect())) == sorted(map(tuple, silent.select("event_id", "silence").collect()))
+    new = F.coalesce((micros - F.lag(micros).over(w) > 500_000).cast("int"), F.lit(1))
+    cut = e.withColumn("_n", new).withColumn("stretch", F.sum("_n").over(whole))
+    assert sorted(map(tuple, windows.stretches(e, 500_000).select("event_id", "stretch").collect())) == sorted(map(tuple, cut.select("event_id", "stretch").collect()))
+    chunks = e.select("session_id", F.col("event_id").alias("seq"), F.when(F.col("event_id") % 5 > 0, F.repeat(F.lit("é"), (F.col("event_id") % 7).cast("int"))).alias("text"))
+    kept = {(r.session_id, r.seq): (r.text, r.truncated) for r in windows.cap_stream(chunks, 1001).collect()}
+    by = {}
+    for r in chunks.orderBy("seq").collect():
+        before = by.get(r.session_id, 0)
+        if before < 1001:
+            assert kept.pop((r.session_id, r.seq)) == (r.text[: 1001 - before] if r.text is not None else None, len(r.text) > 1001 - before if r.text is not None else None)
+        by[r.session_id] = before + len(r.text or "")
+    assert not kept
 
 
 def test_numbering_of_a_hot_case(spark):

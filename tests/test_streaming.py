@@ -5,6 +5,7 @@ import os
 
 from pyspark.sql import functions as F
 
+from paperloom.functions import catalog as C
 from paperloom.operators.windows import progress_pct
 from paperloom.streaming import events as S
 
@@ -89,3 +90,23 @@ def test_replay_and_completion(spark):
     assert [r.type for r in S.replay(df, "s").collect()] == ["error", "done", "replay.end"]
     totals = spark.createDataFrame([("c", 4)], "case_id string, total int")
     assert S.completion(spark.createDataFrame([("c",)], "case_id string"), totals).first().pct == 25.0
+
+
+def test_limiter_of_a_hot_session(spark):
+    """A session of 100,000 events, and small ones, pass as the limiter event by event says; its stretches are many tasks'."""
+    import random
+
+    r = random.Random(9)
+    rows, t = [], 0
+    for i in range(100_000):
+        t += r.choice([0, 1, 200_000, 400_000, 1_000_000, 1_000_001, 3_000_000])
+        rows.append(("hot" if i % 100 else f"s{i % 7}", i, t, r.choice(["phase.tick", "file.done", "error", "done"])))
+    df = spark.createDataFrame(rows, "session_id string, event_id long, t long, type string").select("session_id", "event_id", F.timestamp_micros("t").alias("ts"), "type")
+    found = {x.event_id: x.passed for x in S.rate_limit_batch(df, 2, 1.0).collect()}
+    recent, want = {}, {}
+    for s, i, t, kind in sorted(rows, key=lambda x: (x[2], x[1])):
+        recent[s] = [x for x in recent.get(s, []) if x >= t - 1_000_000]
+        want[i] = kind in C.PROTECTED_EVENTS or len(recent[s]) < 2
+        if want[i]:
+            recent[s].append(t)
+    assert found == want
