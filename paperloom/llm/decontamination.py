@@ -79,8 +79,13 @@ def places(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
         if n in wanted:
             found[n] = (at, at + len(w))
         at += len(w)
-    point = lambda byte: len(raw[:byte].decode())
-    return [(point(found[s][0]), point(found[e - 1][1])) for s, e in spans]
+    # Spans ascend, so that only what lies between neighbouring places is decoded.
+    out, byte, point = [], 0, 0
+    for s, e in spans:
+        for to in (found[s][0], found[e - 1][1]):
+            point, byte = point + len(raw[byte:to].decode()), to
+            out.append(point)
+    return list(zip(out[::2], out[1::2], strict=True))
 
 
 #: The automaton that this worker built last, by the name of its items.
@@ -94,18 +99,19 @@ def _automaton(name: str, items: list[tuple[str, str | None]], window: int) -> W
     return _BUILT[name]
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, chars: int = AUTOMATON_CHARS) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, chars: int = AUTOMATON_CHARS, with_places: bool = True) -> DataFrame:
     """One row per row of docs(doc_id, text): doc_id, n_words, n_hit, item_ids, n_items, items_sha256, contaminated, places.
 
     Words are runs of digits, ASCII letters (as lower case) and other characters outside ASCII. A word is hit if it
     lies in a run of words that is a window of an item of benchmark(item_id, text), all of the item where it is
-    shorter. places are the hit runs as (start, end) in code points of the text. A text is contaminated if it has hit
+    shorter. places are the hit runs as (start, end) in code points of the text, null without with_places. A text is contaminated if it has hit
     words, and those are a twentieth of its words or more. Null, empty and wordless texts and items hit nothing; a
     null item_id counts as an empty one; items with the same id count once. Repeated rows stay; an empty benchmark
     hits nothing; an empty table gives no rows.
 
     The benchmark goes to the driver and by broadcast to the tasks in parts of about chars characters, usually one. Of
-    several, each costs one more pass that stores the texts with hits alone.
+    several, each costs one more pass that stores the texts with hits alone; a part leaves the driver and the tasks
+    before the next one comes.
     """
     spark, kind = docs.sparkSession, docs.schema["doc_id"].dataType
     spans = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
@@ -118,7 +124,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, chars: int
         """The items of a part in this worker, as an automaton."""
         part = items if parts == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == p)
         shared, name = spark.sparkContext.broadcast([tuple(r) for r in part.collect()]), uuid.uuid4().hex
-        return lambda: _automaton(name, shared.value, window)
+        return shared, lambda: _automaton(name, shared.value, window)
 
     def judged(b: pa.RecordBatch, found) -> pa.RecordBatch:
         rows = []
@@ -126,13 +132,13 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, chars: int
             text = text.as_py()
             words = normal_words(text)
             hit, ids = found(i, words)
-            where = [{"start": s, "end": e} for s, e in places(text, hit)]
+            where = [{"start": s, "end": e} for s, e in places(text, hit)] if with_places else None
             rows.append((len(words), sum(e - s for s, e in hit), ids, sha256(",".join(ids).encode()).hexdigest(), where))
         types = [pa.int64(), pa.int64(), arrow_ids, pa.string(), arrow_spans]
         return pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, t) for x, t in zip(zip(*rows, strict=True) if rows else [[]] * 5, types, strict=True))], out.names)
 
     if parts == 1:
-        only = loaded(0)
+        _, only = loaded(0)
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             automaton = only()
@@ -147,7 +153,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 13, chars: int
         done = docs.select("doc_id", "text").mapInArrow(scan, out)
     else:
         digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest")
-        hits = [_hits(docs.select(digest, "text"), loaded(p), p) for p in range(parts)]
+        hits = []
+        for p in range(parts):
+            shared, automaton = loaded(p)
+            hits.append(_hits(docs.select(digest, "text"), automaton, p))
+            shared.destroy()
         every = hits[0]
         for more in hits[1:]:
             every = every.unionByName(more)
@@ -190,5 +200,5 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13
     digest = F.sha2(F.coalesce("text", F.lit("")), 256)
     keyed = docs.select(digest.alias("doc_id"), "text")
     own = unused("digest", docs)
-    gone = stored(matches(keyed, benchmark, window).filter("contaminated").select(F.col("doc_id").alias(own)).distinct(), "contaminated")
+    gone = stored(matches(keyed, benchmark, window, with_places=False).filter("contaminated").select(F.col("doc_id").alias(own)).distinct(), "contaminated")
     return docs.withColumn(own, digest).join(small(gone), own, "left_anti").select(*columns(docs))

@@ -60,7 +60,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontamination.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=13)
+    found = decontamination.matches(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"), window=13, with_places=False)
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
