@@ -156,13 +156,36 @@ def write_shards(rows: DataFrame, path: str) -> None:
     """Write records as files of fixed stride, a folder shard=k with one file for each shard, by Spark's own committer.
 
     The stride is 4 * window + 1: the ids and a trailing byte. Slot s starts at stride * (s % per_shard) of its shard.
+    Rows are sorted by shard and slot once more right before the writer, which would else sort by shard alone and might
+    mix a shard's slots when that sort spills. A second run into the same path fails before it writes anything, as
+    Spark's writer does; an empty table writes no shard.
     """
-    rows.select("shard", F.col("record").cast("string").alias("value")).write.partitionBy("shard").option("lineSep", TRAILER).text(path)
+    # The writer takes an order that begins with the partition column as it is; slot goes along as a second one would.
+    ordered = rows.select("shard", "slot", F.col("record").cast("string").alias("value")).sortWithinPartitions("shard", "slot")
+    ordered.select("shard", "value").write.partitionBy("shard").option("lineSep", TRAILER).text(path)
 
 
-def read_shard(spark, path: str, shard: int, window: int, start: int = 0) -> Iterator[np.ndarray]:
-    """The records of a shard from place start on, one array of window ids each."""
-    data = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{path}/shard={shard}").select("content").first()[0]
-    stride = 4 * window + 1
-    for at in range(start * stride, len(data), stride):
-        yield np.frombuffer(data, "<u4", window, at)
+def read_shard(spark, path: str, shard: int, window: int, start: int = 0, stop: int | None = None, step: int = 1024) -> Iterator[np.ndarray]:
+    """The records of a shard from place start on, up to stop if told, one array of window ids each.
+
+    The file is opened in its store and sought, and step records are read at a time, so that resuming reads nothing of
+    what lies before. A shard that was not written raises FileNotFoundError at the first record asked for.
+    """
+    jvm, stride = spark._jvm, 4 * window + 1
+    folder = jvm.org.apache.hadoop.fs.Path(f"{path}/shard={shard}")
+    store = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = [f for f in (store.listStatus(folder) if store.exists(folder) else []) if f.getPath().getName().startswith("part-")]
+    if not files:
+        raise FileNotFoundError(f"{path}/shard={shard}")
+    last = files[0].getLen() // stride
+    last = last if stop is None else min(stop, last)
+    file = store.open(files[0].getPath())
+    try:
+        for at in range(start, last, step):
+            n = min(step, last - at)
+            file.seek(at * stride)
+            data = jvm.org.apache.commons.io.IOUtils.toByteArray(file, n * stride)
+            for i in range(n):
+                yield np.frombuffer(data, "<u4", window, i * stride)
+    finally:
+        file.close()
