@@ -23,10 +23,12 @@ BROADCAST_BYTES = 64_000_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session.
 
-    Where that is unset, a folder in the warehouse, which they share as well.
+    Where that is unset and all runs on one machine, a folder in the warehouse; a cluster has to name one.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
@@ -58,14 +60,19 @@ def spent(*tables: DataFrame) -> None:
 
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
-    """Delete what stored() writes inside, at the end, but for the tables that are put into the list."""
+    """Delete what stored() writes inside, at the end, but for the tables that are put into the list; all of it after a failure."""
     first, keep = len(_WRITTEN), []
-    yield keep
-    kept = [_PATHS[t] for t in keep]
-    for path in _WRITTEN[first:]:
-        if path not in kept:
-            _delete(spark, path)
-    _WRITTEN[first:] = kept
+    try:
+        yield keep
+    except BaseException:
+        keep.clear()
+        raise
+    finally:
+        kept = [_PATHS[t] for t in keep]
+        for path in _WRITTEN[first:]:
+            if path not in kept:
+                _delete(spark, path)
+        _WRITTEN[first:] = kept
 
 
 def _delete(spark: SparkSession, path: str) -> None:
