@@ -6,15 +6,19 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-#: Rows up to which a side counts as small enough for a broadcast.
-SMALL_ROWS = 100_000
+#: Bytes up to which a side counts as small enough for a broadcast.
+BROADCAST_BYTES = 32_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; where that is unset, a folder in the warehouse."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    """The session's spark.checkpoint.dir; where that is unset and all runs on one machine, a folder in the warehouse."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return found or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -24,9 +28,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def checked(df: DataFrame, rows: int = SMALL_ROWS) -> DataFrame:
-    """Hint a broadcast of df, a stored or cheap table, if it has no more than that many rows; else Spark picks the join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def checked(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of df, a stored or cheap table, if its rows take no more than that many bytes; else Spark picks the join.
+
+    A string counts as its bytes and eight more, a number as 16, a struct or list as 256, a row as 16 more.
+    """
+    nested = sum(isinstance(f.dataType, (T.StructType, T.ArrayType, T.MapType)) for f in df.schema)
+    strings = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    fixed = 16 + 16 * (len(df.columns) - len(strings)) + 8 * len(strings) + 240 * nested
+    each = sum((F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in strings), F.lit(fixed)).cast("long")
+    return F.broadcast(df) if (df.agg(F.sum(each)).first()[0] or 0) <= most else df
 
 
 def placed(df: DataFrame, by: list[str], order: list) -> DataFrame:
