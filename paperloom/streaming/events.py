@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from paperloom.functions import catalog as C
@@ -119,22 +120,118 @@ def events_per_window(events: DataFrame, width: str = "1 minute") -> DataFrame:
 _PROGRESS = "session_id string, event_id long, shown double"
 
 
-def progress_stream(stream: DataFrame) -> DataFrame:
-    """events(session_id, event_id, ts, type, pct) with the percentage to show: never less than before, at most 99 before done."""
+class _ByKey(StatefulProcessor):
+    """A value for each key, which a step maps with the key's new rows to the next value (None: no more) and rows out.
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        high, done = state.get if state.exists else (0.0, False)
+    The value goes when the step says so, or idle after the key's last event: by a timer of event time where the rows
+    have ts, by its time to live where they have not.
+    """
+
+    def __init__(self, step: Callable, fields: str, idle_ms: int, order: list[str]) -> None:
+        self._step, self._fields, self._idle, self._order = step, fields, idle_ms, order
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle, self._timed = handle, self._order[0] == "ts"
+        self._value = handle.getValueState("value", self._fields, **({} if self._timed else {"ttlDurationMs": self._idle}))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows)).sort_values(self._order)
+        value, out = self._step(key, new, self._value.get() if self._value.exists() else None)
+        if self._timed:
+            for t in list(self._handle.listTimers()):
+                self._handle.deleteTimer(t)
+        if value is None:
+            self._value.clear()
+        else:
+            self._value.update(value)
+            if self._timed:
+                last = max(_micros(new["ts"])) // 1000
+                self._handle.registerTimer(max(last, timerValues.getCurrentWatermarkInMs()) + self._idle)
+        if len(out):
+            yield out
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self._value.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def _rocksdb(df: DataFrame) -> None:
+    """The state of these operators needs Spark's RocksDB store, which spills to disk; queries start with what is set then."""
+    df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def progress_stream(stream: DataFrame, idle: float = 3600.0) -> DataFrame:
+    """events(session_id, event_id, ts, type, pct) with the percentage to show: never less than before, at most 99 before done.
+
+    The stream needs a watermark; a session's state goes idle seconds of event time after its last event.
+    """
+
+    def step(key: tuple, rows: pd.DataFrame, value: tuple | None) -> tuple[tuple, pd.DataFrame]:
+        high, done = value or (0.0, False)
         shown = []
         for kind, pct in zip(rows["type"], rows["pct"], strict=True):
             done = done or kind == "done"
             high = max(high, pct if pct == pct else 0.0)
             shown.append(100.0 if done else min(99.0, high))
-        state.update((float(high), bool(done)))
-        yield rows.assign(shown=shown)[["session_id", "event_id", "shown"]]
+        return (float(high), bool(done)), rows.assign(shown=shown)[["session_id", "event_id", "shown"]]
 
+    _rocksdb(stream)
     slim = stream.select(F.col("session_id").cast("string").alias("session_id"), "event_id", "ts", "type", "pct")
-    return slim.groupBy("session_id").applyInPandasWithState(step, _PROGRESS, "high double, done boolean", "append", GroupStateTimeout.NoTimeout)
+    return slim.groupBy("session_id").transformWithStateInPandas(_ByKey(step, "high double, done boolean", int(idle * 1000), ["ts", "event_id"]), _PROGRESS, "Append", "EventTime")
+
+
+_LIVENESS = "session_id string, status string, events long, last_ts timestamp"
+
+
+class _Watch(StatefulProcessor):
+    """Counts a session's events, and says that it is stale when none has come for a while of the clock."""
+
+    def __init__(self, silence_ms: int) -> None:
+        self._silence = silence_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._handle = handle
+        self._seen = handle.getValueState("seen", "events long, last_ts timestamp")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        new = pd.concat(list(rows)).sort_values("ts")
+        events, last = self._seen.get() if self._seen.exists() else (0, None)
+        back = events > 0 and not list(self._handle.listTimers())
+        for t in list(self._handle.listTimers()):
+            self._handle.deleteTimer(t)
+        newest = new["ts"].iloc[-1].to_pydatetime()
+        last = newest if last is None else max(last.replace(tzinfo=newest.tzinfo), newest)
+        events += len(new)
+        if (new["type"] == "done").any():
+            self._seen.clear()
+            yield pd.DataFrame([(key[0], "done", events, last)], columns=["session_id", "status", "events", "last_ts"])
+            return
+        self._seen.update((events, last))
+        self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self._silence)
+        if events == len(new) or back:
+            yield pd.DataFrame([(key[0], "alive", events, last)], columns=["session_id", "status", "events", "last_ts"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        events, last = self._seen.get()
+        self._seen.clear()
+        yield pd.DataFrame([(key[0], "stale", events, last)], columns=["session_id", "status", "events", "last_ts"])
+
+    def close(self) -> None:
+        pass
+
+
+def liveness(stream: DataFrame, silence: float = 60.0) -> DataFrame:
+    """T06 by the clock: events(session_id, ts, type) → alive with a session's first event, stale when none came for silence seconds, done at its end.
+
+    Unlike sessions_by_gap it speaks while no event comes at all, since a timer of processing time wakes it. A session
+    that is stale or done has no state; it counts anew, and is alive again, with its next event.
+    """
+    _rocksdb(stream)
+    slim = stream.select(F.col("session_id").cast("string").alias("session_id"), "ts", "type")
+    return slim.groupBy("session_id").transformWithStateInPandas(_Watch(int(silence * 1000)), _LIVENESS, "Append", "ProcessingTime")
 
 
 _PARTS = "session_id string, text string, chars long, truncated boolean, status string"
@@ -151,25 +248,23 @@ def reassemble_batch(chunks: DataFrame, cap: int = 400_000) -> DataFrame:
     return last.join(whole, "session_id", "left").withColumn("text", F.coalesce("text", F.lit(""))).select(F.col("session_id").cast("string").alias("session_id"), "text", F.length("text").cast("long").alias("chars"), (F.coalesce("total", F.lit(0)) > cap).alias("truncated"), "status")
 
 
-def reassemble(stream: DataFrame, cap: int = 400_000) -> DataFrame:
-    """T09 over a stream: a session's text comes out when a chunk of status end or abort arrives."""
+def reassemble(stream: DataFrame, cap: int = 400_000, idle: float = 3600.0) -> DataFrame:
+    """T09 over a stream: a session's text comes out when a chunk of status end or abort arrives, and its state goes; idle seconds without one end it too."""
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq")
-        text, total = state.get if state.exists else ("", 0)
+    def step(key: tuple, rows: pd.DataFrame, value: tuple | None) -> tuple[tuple | None, pd.DataFrame]:
+        text, total = value or ("", 0)
+        out = []
         for part, status in zip(rows["text"].fillna(""), rows["status"], strict=True):
             total += len(part)
-            text = (text + part)[:cap]
+            text += part[: cap - len(text)]
             if status in ("end", "abort"):
-                yield pd.DataFrame([(key[0], text, len(text), total > cap, status)], columns=["session_id", "text", "chars", "truncated", "status"])
+                out.append((key[0], text, len(text), total > cap, status))
                 text, total = "", 0
-        if total:
-            state.update((text, total))
-        elif state.exists:
-            state.remove()
+        return (text, total) if total else None, pd.DataFrame(out, columns=["session_id", "text", "chars", "truncated", "status"])
 
+    _rocksdb(stream)
     slim = stream.select(F.col("session_id").cast("string").alias("session_id"), "seq", "text", "status")
-    return slim.groupBy("session_id").applyInPandasWithState(step, _PARTS, "text string, total long", "append", GroupStateTimeout.NoTimeout)
+    return slim.groupBy("session_id").transformWithStateInPandas(_ByKey(step, "text string, total long", int(idle * 1000), ["seq"]), _PARTS, "Append", "ProcessingTime")
 
 
 _MARKERS = "session_id string, kind string, value string, at long"
@@ -198,28 +293,27 @@ def markers_batch(texts: DataFrame) -> DataFrame:
     return texts.select(F.col("session_id").cast("string").alias("session_id"), "text").mapInPandas(run, _MARKERS)
 
 
-def markers(stream: DataFrame) -> DataFrame:
+def markers(stream: DataFrame, idle: float = 3600.0) -> DataFrame:
     """T10 over a stream of chunks(session_id, seq, text, status): each marker once, as soon as its line is complete.
 
-    What has come is looked at up to the last whole line before the characters held back; the rest is the state.
+    What has come is looked at up to the last whole line before the characters held back; the rest is the state, which
+    goes with the end of the session, or idle seconds after its last chunk.
     """
 
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values("seq")
-        tail, offset = state.get if state.exists else ("", 0)
-        out = []
+    def step(key: tuple, rows: pd.DataFrame, value: tuple | None) -> tuple[tuple | None, pd.DataFrame]:
+        tail, offset = value or ("", 0)
+        out, last = [], False
         for part, status in zip(rows["text"].fillna(""), rows["status"], strict=True):
             tail += part
             last = status in ("end", "abort")
             end = len(tail) if last else tail.rfind("\n", 0, max(0, len(tail) - HELD_BACK)) + 1
-            out += [(key[0], kind, value, offset + at) for kind, value, at in find_markers(tail[:end], 0, end)]
-            tail, offset = tail[end:], offset + end
-        state.update((tail, offset))
-        if out:
-            yield pd.DataFrame(out, columns=["session_id", "kind", "value", "at"])
+            out += [(key[0], kind, found, offset + at) for kind, found, at in find_markers(tail[:end], 0, end)]
+            tail, offset = ("", 0) if last else (tail[end:], offset + end)
+        return None if last else (tail, offset), pd.DataFrame(out, columns=["session_id", "kind", "value", "at"])
 
+    _rocksdb(stream)
     slim = stream.select(F.col("session_id").cast("string").alias("session_id"), "seq", "text", "status")
-    return slim.groupBy("session_id").applyInPandasWithState(step, _MARKERS, "tail string, skipped long", "append", GroupStateTimeout.NoTimeout)
+    return slim.groupBy("session_id").transformWithStateInPandas(_ByKey(step, "tail string, skipped long", int(idle * 1000), ["seq"]), _MARKERS, "Append", "ProcessingTime")
 
 
 def completion(done: DataFrame, totals: DataFrame) -> DataFrame:

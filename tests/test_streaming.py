@@ -2,6 +2,7 @@
 
 import json
 import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -18,6 +19,21 @@ def _run(stream, name, mode="append"):
     return stream.sparkSession.table(name)
 
 
+def _run_by_clock(stream, name):
+    """For state with a time to live or timers of the clock, where a query that runs what is available never ends."""
+    q = stream.writeStream.format("memory").queryName(name).outputMode("append").start()
+    try:
+        for _ in range(240):
+            time.sleep(0.5)
+            p = q.lastProgress
+            if q.exception() or p and p["numInputRows"] == 0 and p["batchId"] > 2:
+                break
+        assert not q.exception()
+        return stream.sparkSession.table(name), q.lastProgress
+    finally:
+        q.stop()
+
+
 def _write(tmp_path, rows, files=3):
     for i in range(files):
         part = rows[i * len(rows) // files : (i + 1) * len(rows) // files]
@@ -79,9 +95,13 @@ def test_reassembly_and_markers(spark, tmp_path):
     stream = spark.readStream.schema(fields).option("maxFilesPerTrigger", 1).json(str(tmp_path)).filter("seq is not null")
     batch = spark.read.schema(fields).json(str(tmp_path)).filter("seq is not null")
     whole = S.reassemble_batch(batch, 700)
-    assert _same(_run(S.reassemble(stream, 700), "whole"), whole) and whole.filter("truncated").count() == 2
+    streamed, progress = _run_by_clock(S.reassemble(stream, 700), "whole")
+    assert _same(streamed, whole) and whole.filter("truncated").count() == 2
+    assert progress["stateOperators"][0]["numRowsTotal"] == 0
     found = S.markers_batch(S.reassemble_batch(batch))
-    assert _same(_run(S.markers(stream), "markers"), found)
+    streamed, progress = _run_by_clock(S.markers(stream), "markers")
+    assert _same(streamed, found)
+    assert progress["stateOperators"][0]["numRowsTotal"] == 0
     assert {r.kind for r in found.collect()} == {"meta_azienda", "meta_indice", "category", "document", "doc_titolo", "doc_tipo"}
 
 
@@ -110,3 +130,34 @@ def test_limiter_of_a_hot_session(spark):
         if want[i]:
             recent[s].append(t)
     assert found == want
+
+
+def test_progress_state_ends(spark, tmp_path):
+    """A session's state is gone once the watermark has passed its idle time."""
+    rows = [{"session_id": f"s{i % 3}", "event_id": i, "ts": f"2024-01-01T00:00:{i:02d}.000Z", "type": "phase.tick", "pct": 50.0} for i in range(30)]
+    rows += [{"session_id": "late", "event_id": 100 + i, "ts": f"2024-01-01T0{3 + i}:00:00.000Z", "type": "phase.tick", "pct": 10.0} for i in range(3)]
+    _write(tmp_path, rows, files=11)
+    stream = S.progress_stream(S.event_stream(spark, str(tmp_path), per_batch=1), idle=60)
+    q = stream.writeStream.format("memory").queryName("ending").outputMode("append").trigger(availableNow=True).start()
+    done = q.awaitTermination(120)
+    state = [p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress if p["stateOperators"]]
+    q.stop()
+    assert done and max(state) >= 3 and state[-1] < max(state) and state[-1] <= 2
+    assert spark.table("ending").count() == 33
+
+
+def test_liveness_by_the_clock(spark, tmp_path):
+    """A session that falls silent is stale although no event of any session comes; one that ended says so and no more."""
+    rows = [{"session_id": s, "event_id": i, "ts": f"2024-01-01T00:00:0{i}.000Z", "type": "done" if s == "b" and i == 3 else "phase.tick"} for i in range(4) for s in ("a", "b")]
+    _write(tmp_path, rows, files=2)
+    q = S.liveness(S.event_stream(spark, str(tmp_path)), silence=4).writeStream.format("memory").queryName("alive").outputMode("append").start()
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            found = {(r.session_id, r.status): r.events for r in spark.table("alive").collect()}
+            if q.exception() or ("a", "stale") in found:
+                break
+        assert not q.exception()
+    finally:
+        q.stop()
+    assert found == {("a", "alive"): 4, ("a", "stale"): 4, ("b", "done"): 4}
