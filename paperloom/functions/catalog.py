@@ -50,8 +50,6 @@ CLASSES = [
     ("ALTRO", "ALTRO", 12000, "SUPPORT"),
 ]
 ROLES = ["CORE", "AGGREGABLE", "SUPPORT", "NOISE"]
-SUBJECTS = ["AZIENDA", "PERSONA_FISICA", "MISTO", "NON_DETERMINATO"]
-LANGUAGES = ["ITALIANO", "INGLESE", "BILINGUE", "ALTRA"]
 
 # Names of files that are always core evidence, first match wins; a mark or the end of the name bounds them.
 _EDGE, _END = r"(?:^|[\W_])", r"(?:[\W_]|$)"
@@ -217,10 +215,9 @@ STANDARDS = [
     "ISO 50001:2018", "ISO 50001 ESQ", "ISO 50001 CERTIS",
 ]
 
-# Types of progress events; those that are never dropped; phases; kinds of model calls.
+# Types of progress events; those that are never dropped; kinds of model calls.
 EVENT_TYPES = "session.start phase.start phase.tick phase.end file.start file.warn file.degrade file.done llm.token error heartbeat done".split()
 PROTECTED_EVENTS = "session.start phase.start phase.end error heartbeat done file.warn file.degrade".split()
-PHASES = "ingestion triage classify ocr analyze docx_build cleanup".split()
 CALL_KINDS = "classify analyze ocr embedding other".split()
 USD_TO_EUR = 0.93
 
@@ -235,7 +232,7 @@ PERSONAL = [
 ]
 PERSONAL_MARK = "[dato privacy rimosso]"
 
-# Markers of partial output, as (kind, pattern of a line).
+# Markers of partial output, as (kind, pattern of a line): blanks and tabs only, so that none runs over a line's end.
 MARKERS = [
     ("meta_azienda", r"(?m)^[ \t]*azienda[ \t]*:[ \t]*$"),
     ("meta_indice", r"(?m)^[ \t]*indice[ \t]*:[ \t]*$"),

@@ -187,6 +187,21 @@ def name_from_registry(text) -> Column:
     return F.coalesce(*found)
 
 
+# The patterns, in order, that find a company in a paragraph.
+NAMED_IN_TEXT = [
+    r"VISURA\s+(?:ORDINARIA|CAMERALE)[^:]*(?:relativa?\s+a|ente|di)\s+([A-Z][A-Z0-9\s\.'\-&]+?" + _FORMS + ")",
+    r"denominata?\s+anche\s+([A-Z][A-Z0-9\.\s]+(?:S\.?P\.?A\.?|S\.?R\.?L\.?))",
+    r"(CONSORZIO\s+[A-Z][A-Z0-9\s\.'\-&]+)",
+]
+
+
+def names_in_text(title, text, head: int = 800) -> Column:
+    """Companies that a paragraph's title and the first characters of its text name, at most one for each pattern, in order."""
+    both = F.concat(F.coalesce(_col(title), F.lit("")), F.lit(" "), F.substring(F.coalesce(_col(text), F.lit("")), 1, head))
+    found = [F.regexp_replace(F.upper(F.trim(F.regexp_extract(both, f"(?i){p}", 1))), r"\s+", " ") for p in NAMED_IN_TEXT]
+    return F.filter(F.array(*(F.trim(x) for x in found)), lambda x: F.length(x) > 3)
+
+
 def model_name(c) -> Column:
     """What follows the last slash."""
     return F.trim(F.substring_index(F.coalesce(_col(c), F.lit("")), "/", -1))
@@ -224,10 +239,36 @@ def dedup_runs(words: Column) -> Column:
     return F.aggregate(words, F.array().cast("array<string>"), lambda a, w: F.when((F.size(a) > 0) & (F.element_at(F.concat(F.array(F.lit("")), a), -1) == w), a).otherwise(F.concat(a, F.array(w))))
 
 
+def _rows(text: Column) -> Column:
+    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x).rlike(r"^\|.*\|$") & ~F.trim(x).rlike(r"^\|[\s:|-]+\|$"))
+    return F.transform(lines, lambda x: F.transform(F.split(F.btrim(F.trim(x), F.lit("|")), r"\|"), lambda y: F.trim(y)))
+
+
 def md_tables(c) -> Column:
     """Rows of the pipe tables of a text, as arrays of cells; rules between head and body are dropped."""
-    lines = F.filter(F.split(F.coalesce(_col(c), F.lit("")), "\n"), lambda x: F.trim(x).rlike(r"^\|.*\|$") & ~F.trim(x).rlike(r"^\|[\s:|-]+\|$"))
-    return F.transform(lines, lambda x: F.transform(F.split(F.btrim(F.trim(x), F.lit("|")), r"\|"), lambda y: F.trim(y)))
+    return _rows(F.coalesce(_col(c), F.lit("")))
+
+
+def md_records(c) -> Column:
+    """The records of the pipe tables of a text, maps of cell by header; a table ends at the first line that is none of its own.
+
+    A row short of cells has empty ones, cells beyond the header are left out, of equal headers the last one counts. A
+    table of one row has no records; a row of blanks alone reads as a rule.
+    """
+    lines = F.split(F.coalesce(_col(c), F.lit("")), "\n")
+    marked = F.transform(lines, lambda x: F.when(F.trim(x).rlike(r"^\|.*\|$"), x).otherwise(F.lit("\x00")))
+    blocks = F.filter(F.split(F.array_join(marked, "\n"), "\x00"), lambda x: x.contains("|"))
+
+    def last(head: Column) -> Column:
+        places = F.transform(head, lambda h, i: F.struct(h.alias("h"), i.alias("i")))
+        return F.filter(places, lambda e: e["i"] == F.size(head) - F.array_position(F.reverse(head), e["h"]))
+
+    # A step each, so that rows and header are made once for a table, not once for a row.
+    tables = F.transform(F.transform(blocks, _rows), lambda r: F.struct(r.alias("rows"), last(F.get(r, F.lit(0))).alias("head")))
+    cell = lambda row, e: F.struct(e["h"], F.coalesce(F.get(row, e["i"].cast("int")), F.lit("")))
+    record = lambda row, head: F.map_from_entries(F.transform(head, lambda e: cell(row, e)))
+    body = lambda t: F.slice(t["rows"], F.lit(2), F.greatest(F.size(t["rows"]) - 1, F.lit(0)))
+    return F.flatten(F.transform(tables, lambda t: F.transform(body(t), lambda row: record(row, t["head"]))))
 
 
 def file_name(path) -> Column:

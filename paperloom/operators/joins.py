@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from paperloom.functions import catalog as C
 from paperloom.functions import text as X
 from paperloom.functions import values as V
+from paperloom.operators.dictionary import matches
 from paperloom.operators.shared import checked, stored
 
 def merge_ocr(files: DataFrame, ocr: DataFrame) -> DataFrame:
@@ -72,15 +73,15 @@ def with_cost(calls: DataFrame, pricing: DataFrame) -> DataFrame:
 def detect_standard(df: DataFrame, standards: DataFrame, norm: str = "norma") -> DataFrame:
     """Rows with standard: the key that equals the norm, whatever its case, else the longest key in it with a number of its own there.
 
-    The theta join runs over the distinct norms only, against the few keys of standards(key).
+    Each distinct norm is scanned once for all keys of standards(key).
     """
-    names = df.select(norm).distinct()
-    keys = standards.select("key", F.upper("key").alias("_up"))
+    names = df.select(norm, F.upper(norm).alias("_upper")).distinct()
+    keys = standards.select("key", F.upper("key").alias("_up")).distinct()
     numbers = lambda c: F.regexp_extract_all(F.col(c), F.lit(r"(\d+)"), F.lit(1))
-    up = F.upper(norm)
-    fits = (up == F.col("_up")) | (up.contains(F.col("_up")) & ((F.size(numbers("key")) == 0) | (F.size(numbers(norm)) == 0) | F.arrays_overlap(numbers("key"), numbers(norm))))
-    found = names.join(checked(keys), fits)
-    best = found.groupBy(norm).agg(F.max(F.struct((up == F.col("_up")).alias("same"), F.length("key").alias("n"), "key")).alias("best"))
+    found = matches(names, "_upper", keys, "_up").join(names, "_upper").join(checked(keys), "_up")
+    same = F.col("_upper") == F.col("_up")
+    found = found.filter(same | (F.size(numbers("key")) == 0) | (F.size(numbers(norm)) == 0) | F.arrays_overlap(numbers("key"), numbers(norm)))
+    best = found.groupBy(norm).agg(F.max(F.struct(same.alias("same"), F.length("key").alias("n"), "key")).alias("best"))
     return df.join(checked(stored(best.select(norm, F.col("best.key").alias("standard")), "standards")), norm, "left")
 
 
@@ -89,25 +90,32 @@ def areas(df: DataFrame) -> DataFrame:
 
 
 def route_area(evidence: DataFrame, table: DataFrame | None = None, name: str = "categoria") -> DataFrame:
-    """Evidence with its area: by number where the name starts with one, else by either name being part of the other."""
+    """Evidence with its area: by number where the name starts with one, else by either name being part of the other.
+
+    Each distinct name is scanned once for all areas, in both directions.
+    """
     table = checked(areas(evidence) if table is None else table)
     names = evidence.select(name).distinct().withColumn("code", X.area_code(name))
     by_code = names.filter("code is not null").join(table, "code").select(name, "area")
-    up, area = F.upper(name), F.upper("area")
-    by_name = names.filter("code is null").drop("code").join(table, up.contains(area) | area.contains(up))
-    by_name = by_name.groupBy(name).agg(F.min_by("area", "area_no").alias("area"))
+    others = names.filter("code is null").select(name, F.upper(name).alias("_name"))
+    places = table.select("area", "area_no", F.upper("area").alias("_area"))
+    found = matches(others, "_name", places, "_area", around=True).join(others, "_name").join(places, "_area")
+    by_name = found.groupBy(name).agg(F.min_by("area", "area_no").alias("area"))
     return evidence.join(by_code.unionByName(by_name), name, "left")
 
 
 def area_priority(df: DataFrame, order: list[str] = C.REPORT_AREAS, name: str = "categoria") -> DataFrame:
-    """Rows with priority: that of the area of the same name, else of the first one that the name contains, else 999."""
-    up = F.upper(F.trim(F.coalesce(F.col(name), F.lit("ALTRO"))))
-    out = F.lit(999)
-    for i, area in reversed(list(enumerate(order))):
-        out = F.when(up.contains(area), i).otherwise(out)
-    for i, area in enumerate(order):
-        out = F.when(up == area, i).otherwise(out)
-    return df.withColumn("priority", out)
+    """Rows with priority: that of the area of the same name, else of the first one that the name contains, else 999.
+
+    Each distinct name is scanned once for all areas.
+    """
+    clean = F.upper(F.trim(F.coalesce(F.col(name), F.lit("ALTRO"))))
+    ranks = df.sparkSession.createDataFrame(list(enumerate(order)), "_rank int, _area string")
+    keyed = df.withColumn("_clean", clean)
+    found = matches(keyed, "_clean", ranks, "_area").join(F.broadcast(ranks), "_area")
+    best = found.groupBy("_clean").agg(F.min(F.struct((F.col("_clean") != F.col("_area")).alias("other"), "_rank")).alias("_best"))
+    out = keyed.join(checked(stored(best, "priorities")), "_clean", "left")
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), F.coalesce("_best._rank", F.lit(999)).alias("priority"))
 
 
 def matrix(cases: DataFrame, providers: DataFrame) -> DataFrame:
@@ -197,16 +205,34 @@ def compare_runs(runs: DataFrame, a: str, b: str, metrics: list[str]) -> DataFra
     return both.select("case_id", "metric", F.round("a", 3).alias("a"), F.round("b", 3).alias("b"), V.pct_delta(F.col("a"), F.col("b")).alias("delta_pct"))
 
 
-def resolve_case_name(cases: DataFrame) -> DataFrame:
+def text_names(paragraphs: DataFrame) -> DataFrame:
+    """Of paragraphs(case_id, numero, sottotitolo, contenuto), the company that those of a case name most often; of equals the one named first."""
+    each = paragraphs.select("case_id", "numero", F.posexplode(X.names_in_text("sottotitolo", "contenuto")).alias("at", "name"))
+    counts = each.groupBy("case_id", "name").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("numero", "at")).alias("first"))
+    best = counts.groupBy("case_id").agg(F.min(F.struct((-F.col("n")).alias("n"), "first", "name")).alias("best"))
+    return best.select("case_id", F.col("best.name").alias("by_text"))
+
+
+def resolve_case_name(cases: DataFrame, paragraphs: DataFrame | None = None) -> DataFrame:
     """cases(case_id, archive, registry_text, voted) with name and how it was found.
 
-    The registry's name wins, checked against the archive's; else the archive's, the voted one, or none.
+    The registry's name wins where the archive's has none of its own or shares a word of more than three letters with it;
+    else the archive's, unless it is shorter than five characters; then the voted one, the one that the case's paragraphs
+    name most often, or none. A case without a row in paragraphs has no name from texts.
     """
+    if paragraphs is None:
+        cases = cases.withColumn("by_text", F.lit(None).cast("string"))
+    else:
+        cases = cases.join(text_names(paragraphs), "case_id", "left")
     found = cases.select("*", X.name_from_registry("registry_text").alias("registry"), X.name_from_archive("archive").alias("by_archive"))
-    agree = F.size(F.array_intersect(name_words(F.coalesce("registry", F.lit(""))), name_words(F.coalesce("by_archive", F.lit(""))))) > 0
+    registry, archive = F.col("registry"), F.col("by_archive")
+    bare = lambda c: F.split(F.regexp_replace(F.upper(F.coalesce(c, F.lit(""))), r"[^\w\s]", ""), r"\s+")
+    agree = F.size(F.filter(F.array_intersect(bare(registry), bare(archive)), lambda w: F.length(w) > 3)) > 0
     voted = F.nullif(X.valid_company("voted"), F.lit(""))
-    how = F.when(F.col("registry").isNotNull() & agree, "registry_and_archive").when(F.col("registry").isNotNull(), "registry").when(F.col("by_archive").isNotNull(), "archive").when(voted.isNotNull(), "vote").otherwise("none")
-    return found.select("case_id", F.coalesce("registry", "by_archive", voted, F.lit("Azienda non identificata")).alias("name"), how.alias("how"))
+    trusted = registry.isNotNull() & (agree | archive.isNull() | (F.length(archive) < 5))
+    how = F.when(registry.isNotNull() & agree, "registry_and_archive").when(trusted, "registry").when(archive.isNotNull(), "archive").when(voted.isNotNull(), "vote").when(F.col("by_text").isNotNull(), "text").otherwise("none")
+    name = F.coalesce(F.when(trusted, registry), archive, voted, F.col("by_text"), F.lit("Azienda non identificata"))
+    return found.select("case_id", name.alias("name"), how.alias("how"))
 
 
 def latest_ranked(df: DataFrame, by: list[str], order: list) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -13,11 +14,13 @@ from pyspark.sql import functions as F
 from paperloom.functions import catalog as C
 from paperloom.functions import text as X
 from paperloom.operators import evidence as E
+from paperloom.operators.shared import shared_dir
 from paperloom.operators.windows import progress_pct
 from paperloom.plans.files_and_joins import AS_OF_ERRORS, category
 from paperloom.plans.views import query
 from paperloom.sources import archives as A
 from paperloom.sources import tables as T
+from paperloom.sources import versions as V
 from paperloom.sources.envelopes import DATA
 from paperloom.streaming import events as S
 
@@ -153,8 +156,9 @@ def _event() -> Column:
 @query("s08_read_events", "v_progress", sql="SELECT type, CAST(session_id AS VARCHAR) AS session_id, count(*) AS n FROM v_progress WHERE session_id % 10 <> 0 GROUP BY 1, 2")
 def _(p):
     line = F.when(F.col("session_id") % 10 == 0, F.lit("{garbage not json")).otherwise(_event())
-    parsed = p.select(F.from_json(line, T.EVENT_FIELDS, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}).alias("e")).select("e.*")
-    return parsed.filter("_corrupt is null and type is not null").groupBy("type", "session_id").agg(F.count(F.lit(1)).alias("n"))
+    path = f"{shared_dir(p.sparkSession)}/events-{uuid.uuid4().hex}"
+    p.select(F.concat(line, F.lit("\n")).alias("value")).write.text(path)
+    return T.read_events(p.sparkSession, path).groupBy("type", "session_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _raw(e: DataFrame, mark: str = "---") -> DataFrame:
@@ -239,10 +243,35 @@ def _(f):
     return A.manifest_list(f)
 
 
+def _table(name: str, spark) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @query("s16_append_case", "v_cases", sql="SELECT tipo, count(*) + 5 AS n FROM v_cases GROUP BY 1")
 def _(c):
-    new = c.groupBy("tipo").agg(F.min("id").alias("id")).select("tipo", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("id"))
-    return c.select("tipo", "id").unionByName(new).groupBy("tipo").agg(F.count(F.lit(1)).alias("n"))
+    new = c.groupBy("tipo").agg(F.min("id").alias("id")).select("tipo", F.explode(F.expr("sequence(1L, 5L)")).alias("id"))
+    path = _table("cases", c.sparkSession)
+    V.append(c.select("tipo", F.col("id").cast("long").alias("id")), path)
+    V.append(new, path)
+    return V.read_version(c.sparkSession, path).groupBy("tipo").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("s17_resolve_errors_in", "v_errors", sql="SELECT v AS version, id, CASE WHEN v = 1 THEN resolved ELSE resolved OR id % 4 = 0 END AS resolved, CASE WHEN v = 2 AND id % 4 = 0 AND NOT resolved THEN 'admin' END AS resolved_by FROM v_errors, (SELECT unnest([1, 2]) AS v)")
+def _(e):
+    spark, path = e.sparkSession, _table("errors", e.sparkSession)
+    marks = [F.lit(None).cast("string").alias(c) for c in ("resolved_by", "resolved_at")]
+    V.append(e.select("*", *marks), path)
+    V.resolve_errors_in(spark, path, e.filter("id % 4 = 0").select("id"), "admin", AS_OF_ERRORS)
+    each = [V.read_version(spark, path, v).select(F.lit(v).alias("version"), "id", "resolved", "resolved_by") for v in (1, 2)]
+    return each[0].unionByName(each[1])
+
+
+@query("s18_delete_cases_in", "v_cases", sql="SELECT id FROM v_cases WHERE NOT (id % 3 = 0 AND user_id = 7)")
+def _(c):
+    spark, path = c.sparkSession, _table("cases", c.sparkSession)
+    V.append(c.select("id", "user_id"), path)
+    V.delete_cases_in(spark, path, c.filter("id % 3 = 0").select("id"), 7)
+    return V.read_version(spark, path).select("id")
 
 
 @query("s17_resolve_errors", "v_errors", sql="SELECT id, resolved OR id % 4 = 0 AS resolved, CASE WHEN id % 4 = 0 AND NOT resolved THEN 'admin' END AS resolved_by FROM v_errors")
@@ -366,4 +395,4 @@ def _(f):
 
 @query("t12_unique_events", "v_phases", sql="SELECT DISTINCT session_id, ts, type FROM v_phases")
 def _(e):
-    return e.unionByName(e).dropDuplicates(["session_id", "ts", "type"]).select("session_id", "ts", "type")
+    return S.unique_events(e.unionByName(e)).select("session_id", "ts", "type")

@@ -347,6 +347,13 @@ _text("h32_backoff", "least(60.0, 2.0 * pow(2, n_truncated))", lambda: V.backoff
 _text("h33_md_tables", "len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(trim(x), '^\\|.*\\|$') AND NOT regexp_matches(trim(x), '^\\|[\\s:|-]+\\|$')))::INT + 2", lambda: F.size(X.md_tables(F.concat(F.lit("| a | b |\n|---|:--|\n| 1 | 2 |\n"), "text"))))
 
 
+@query("h33_md_records", "v_evidence", sql="SELECT pos, tipo, data_doc, k.n AS n, CASE WHEN k.n = 0 THEN azienda ELSE '' END AS ente FROM v_evidence, (SELECT unnest([0, 1]) AS n) k")
+def _(e):
+    table = F.concat(F.lit("| tipo | data | ente |\n|---|---|---|\n| "), "tipo", F.lit(" | "), "data_doc", F.lit(" | "), "azienda", F.lit(" | x |\n| "), "tipo", F.lit(" | "), "data_doc", F.lit(" |\n"))
+    rows = e.select("pos", F.posexplode(X.md_records(F.concat(F.regexp_replace("text", r"\|", "/"), F.lit("\n"), table))).alias("n", "r"))
+    return rows.select("pos", F.col("r")["tipo"].alias("tipo"), F.col("r")["data"].alias("data_doc"), "n", F.col("r")["ente"].alias("ente"))
+
+
 @query("h37_dedup_runs", "documents", sql="SELECT doc_id, array_to_string(list_filter(l, lambda x, i: i = 1 OR x <> l[i - 1]), ' ') AS value FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents)")
 def _(d):
     return d.select("doc_id", F.array_join(X.dedup_runs(F.split("text", " ")), " ").alias("value"))
@@ -359,6 +366,14 @@ def _(c):
     return joins.resolve_case_name(c.select(F.col("batch_idx").alias("case_id"), archive.alias("archive"), registry.alias("registry_text"), F.col("nome").alias("voted")))
 
 
+@query("h19_names_in_text", "v_evidence", sql="SELECT case_id, concat('CONSORZIO ', chr(65 + CAST(pos % 3 AS INT)), 'LFA ', tipo_up) AS name, 'text' AS how FROM (SELECT case_id, pos, tipo_up, row_number() OVER (PARTITION BY case_id ORDER BY n DESC, first, pos % 3) AS r FROM (SELECT case_id, upper(tipo) AS tipo_up, any_value(pos % 3) AS pos, count(*) AS n, min(pos) AS first FROM v_evidence GROUP BY case_id, upper(tipo), pos % 3)) WHERE r = 1")
+def _(e):
+    named = F.concat(F.lit("consorzio "), F.char(F.col("pos") % 3 + 65), F.lit("lfa  "), F.col("tipo"), F.lit("; "), F.col("text"))
+    texts = e.select("case_id", F.col("pos").alias("numero"), F.lit("").alias("sottotitolo"), named.alias("contenuto"))
+    cases = e.select("case_id").distinct().select("case_id", *(F.lit(None).cast("string").alias(c) for c in ("archive", "registry_text", "voted")))
+    return joins.resolve_case_name(cases, texts)
+
+
 @query("h23_value_to_text", "v_evidence", sql="SELECT pos, CASE WHEN pos % 5 = 0 THEN 'n.d.' ELSE concat('data: ', data_doc, ' | tipo: ', tipo) END AS value FROM v_evidence")
 def _(e):
     m = F.when(F.col("pos") % 5 != 0, F.create_map(F.lit("tipo"), F.col("tipo"), F.lit("data"), F.col("data_doc")))

@@ -59,11 +59,14 @@ def append_rows(df: DataFrame, path: str, by: list[str] | None = None) -> None:
 
 
 def resolve_errors(errors: DataFrame, ids: DataFrame, by: str, at: str) -> DataFrame:
-    """Errors with those of ids(id) marked as resolved; to be written as a new version."""
+    """Errors with those of ids(id) marked as resolved; earlier marks stay. versions.resolve_errors_in writes it as a new version."""
     hit = ids.select("id").distinct().withColumn("_hit", F.lit(True))
     out = errors.join(hit, "id", "left")
     now = F.col("_hit").isNotNull() & ~F.col("resolved")
-    return out.select(*(c for c in errors.columns if c != "resolved"), (F.col("resolved") | F.col("_hit").isNotNull()).alias("resolved"), F.when(now, F.lit(by)).alias("resolved_by"), F.when(now, F.lit(at)).alias("resolved_at"))
+    marks = {"resolved_by": by, "resolved_at": at}
+    old = lambda c: F.col(c) if c in errors.columns else F.lit(None)
+    rest = [c for c in errors.columns if c not in ("resolved", *marks)]
+    return out.select(*(F.col(f"`{c}`") for c in rest), (F.col("resolved") | F.col("_hit").isNotNull()).alias("resolved"), *(F.when(now, F.lit(v)).otherwise(old(c)).alias(c) for c, v in marks.items()))
 
 
 def delete_cases(cases: DataFrame, ids: DataFrame, owner=None) -> DataFrame:
@@ -106,6 +109,20 @@ def retention_summary(plan: DataFrame, size: Column) -> DataFrame:
     return plan.groupBy("action", "yyyy_mm").agg(F.count(F.lit(1)).alias("rows"), F.sum(size).alias("bytes"))
 
 
+def archive_by_month(plan: DataFrame, path: str, as_of: str) -> None:
+    """The rows of a retention plan to archive as gzip JSON, in a folder for each run and month; a run done again replaces its own.
+
+    Rows to archive are written whole before `live_rows` is published, so that a failure between the two loses none.
+    """
+    rows = plan.filter(F.col("action") == "archive").drop("action")
+    rows.write.mode("overwrite").partitionBy("yyyy_mm").option("compression", "gzip").json(f"{path}/run={as_of}")
+
+
+def live_rows(plan: DataFrame) -> DataFrame:
+    """The rows of a retention plan that stay, with their own columns."""
+    return plan.filter(F.col("action") == "live").drop("action", "yyyy_mm")
+
+
 def pending(files: DataFrame, manifest: DataFrame) -> DataFrame:
     """Files whose content no row of manifest(hash) has."""
     return files.withColumn("hash", X.content_hash("text")).join(manifest.select("hash").distinct(), "hash", "left_anti")

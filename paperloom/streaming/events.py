@@ -23,8 +23,9 @@ def event_stream(spark: SparkSession, path: str, watermark: str = "10 minutes",
 
 
 def unique_events(stream: DataFrame) -> DataFrame:
-    """Events once each; late ones beyond the watermark are dropped."""
-    return stream.dropDuplicatesWithinWatermark(["session_id", "ts", "type"])
+    """Events once each; of a stream, late ones beyond the watermark are dropped, of a table none is late."""
+    key = ["session_id", "ts", "type"]
+    return stream.dropDuplicatesWithinWatermark(key) if stream.isStreaming else stream.dropDuplicates(key)
 
 
 def _micros(ts: pd.Series) -> list[int]:
