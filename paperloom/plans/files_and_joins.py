@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from paperloom.functions import catalog as C
 from paperloom.functions import text as X
 from paperloom.functions import values as V
-from paperloom.operators import batching, files, joins, ordering, safety_net, summaries, windows
+from paperloom.operators import accounting, batching, files, joins, ordering, safety_net, summaries, windows
+from paperloom.operators.shared import shared_dir
 from paperloom.plans.views import query
 
 AS_OF_ERRORS, AS_OF_CASES = "2024-01-31", "2001-08-02"
@@ -378,6 +381,14 @@ def _(c):
     return joins.unprocessed(rows, rows.filter("role in ('CORE', 'AGGREGABLE')"), rows.filter("role = 'NOISE'"), why)
 
 
+@query("d13_ledger", "v_classified", sql="SELECT case_id, concat(path, '#', CAST(doc_id AS VARCHAR)) AS path, CASE WHEN role IN ('CORE', 'AGGREGABLE') THEN 'kept' WHEN role = 'NOISE' THEN 'skipped' ELSE 'unprocessed' END AS status, CASE WHEN role IN ('CORE', 'AGGREGABLE', 'NOISE') THEN NULL WHEN doc_id % 2 = 0 THEN 'ocr' ELSE 'unknown' END AS phase, CASE WHEN role IN ('CORE', 'AGGREGABLE', 'NOISE') THEN NULL WHEN doc_id % 2 = 0 THEN 'no text' ELSE 'unknown' END AS reason FROM v_classified")
+def _(c):
+    rows = c.select("case_id", F.concat("path", F.lit("#"), F.col("doc_id").cast("string")).alias("path"), "doc_id", "role")
+    why = rows.filter("doc_id % 2 = 0").select("case_id", "path", F.lit("ocr").alias("phase"), F.lit("no text").alias("reason"))
+    path = f"{shared_dir(c.sparkSession)}/ledger-{uuid.uuid4().hex}"
+    return accounting.ledger(rows, rows.filter("role in ('CORE', 'AGGREGABLE')"), rows.filter("role = 'NOISE'"), why, path)
+
+
 @query("d14_compare_runs", "v_runs", sql="WITH m AS (SELECT case_id, provider, avg(duration_seconds) AS duration_seconds, avg(cost_eur) AS cost_eur FROM v_runs WHERE provider IN ('1-URGENT', '5-LOW') GROUP BY 1, 2), t AS (SELECT case_id, provider, 'duration_seconds' AS metric, duration_seconds AS v FROM m UNION ALL SELECT case_id, provider, 'cost_eur', cost_eur FROM m), b AS (SELECT case_id, metric, max(v) FILTER (provider = '1-URGENT') AS a, max(v) FILTER (provider = '5-LOW') AS b FROM t GROUP BY 1, 2) SELECT case_id, metric, round(a, 3) AS a, round(b, 3) AS b, CASE WHEN b <> 0 THEN round(100.0 * (a - b) / b, 1) END AS delta_pct FROM b")
 def _(r):
     return joins.compare_runs(r, "1-URGENT", "5-LOW", ["duration_seconds", "cost_eur"])
