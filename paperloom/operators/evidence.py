@@ -14,7 +14,7 @@ from paperloom.functions import text as X
 from paperloom.functions.catalog import MARKERS
 from paperloom.operators.cards import parse_chunk
 from paperloom.operators.joins import accept_recovered, clause_coverage
-from paperloom.operators.shared import numbered, stored
+from paperloom.operators.shared import checked, numbered, stored
 from paperloom.operators.summaries import resolve_company
 from paperloom.operators.windows import round_robin
 
@@ -154,22 +154,25 @@ def assemble_narrative(paragraphs: DataFrame) -> DataFrame:
 
 
 def build_checklist(report: DataFrame, norm_clauses: DataFrame, scorer, groups: int = 6, least: int = 50) -> DataFrame:
-    """report(case_id, norm, text) → clauses with status, of a scorer that gets a group of clauses at a time.
+    """report(case_id, norm, text) → clauses with status, of a scorer that is asked for a group of clauses at a time.
 
-    The scorer maps (case_id, norm, group_no, keys array, text) to (case_id, norm, clause_key, text); clauses it leaves
-    out or short are asked for once more, one at a time.
+    The scorer maps (case_id, norm, groups, report), where groups is an array of arrays of keys, to (case_id, norm,
+    clause_key, text), and goes over a report's groups itself: so a report travels once a round, however many clauses are
+    asked of it. Clauses that it leaves out, or answers in too few words, are asked for once more, each as its own group;
+    a report without any answer is asked for all. A report of a norm without clauses gives no rows.
     """
     dealt = round_robin(norm_clauses, ["pos"], ["norm"], groups)
     asked = dealt.groupBy("norm", "group_no").agg(F.sort_array(F.collect_list("clause_key")).alias("keys"))
+    asked = stored(asked.groupBy("norm").agg(F.transform(F.sort_array(F.collect_list(F.struct("group_no", "keys"))), lambda x: x["keys"]).alias("groups")), "asked")
     fields = "case_id string, norm string, clause_key string, text string"
     named = report.select(F.col("case_id").cast("string").alias("case_id"), "norm", F.col("text").alias("report"))
-    first = stored(named.join(asked, "norm").mapInPandas(scorer, fields), "answers")
-    missing = clause_coverage(first, norm_clauses).filter(F.col("status").isin("missing", "empty", "short"))
-    single = missing.join(named, ["case_id", "norm"]).select("case_id", "norm", F.lit(-1).alias("group_no"), F.array("clause_key").alias("keys"), "report")
-    again = stored(single.mapInPandas(scorer, fields), "answers")
-    merged = accept_recovered(first, again, least)
-    norms = norm_clauses.select("clause_key", "norm").distinct()
-    return clause_coverage(merged.join(norms, "clause_key"), norm_clauses)
+    columns = ["case_id", "norm", "groups", "report"]
+    first = stored(named.join(checked(asked), "norm").select(*columns).mapInPandas(scorer, fields), "answers")
+    cases = named.select("case_id", "norm").distinct()
+    missing = clause_coverage(first, norm_clauses, cases=cases).filter(F.col("status").isin("missing", "empty", "short"))
+    alone = missing.groupBy("case_id", "norm").agg(F.transform(F.sort_array(F.collect_list("clause_key")), lambda k: F.array(k)).alias("groups"))
+    again = stored(named.join(alone, ["case_id", "norm"]).select(*columns).mapInPandas(scorer, fields), "answers")
+    return clause_coverage(accept_recovered(first, again, least, ["case_id", "norm", "clause_key"]), norm_clauses, cases=cases)
 
 
 def markers_of(text: Column) -> Column:

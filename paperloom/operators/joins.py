@@ -42,10 +42,14 @@ def thresholds(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(C.CLAUSE_WORDS, "norm string, min_words int, warning_words int")
 
 
-def clause_coverage(clauses: DataFrame, norm_clauses: DataFrame, limits: DataFrame | None = None) -> DataFrame:
-    """Every expected clause of the norms of a case, and its status: missing, empty, short, warning or complete."""
+def clause_coverage(clauses: DataFrame, norm_clauses: DataFrame, limits: DataFrame | None = None, cases: DataFrame | None = None) -> DataFrame:
+    """Every expected clause of the norms of a case, and its status: missing, empty, short, warning or complete.
+
+    cases(case_id, norm) tells the cases and their norms, each once; without it they are those that have a clause.
+    """
     limits = thresholds(clauses) if limits is None else limits
-    wanted = clauses.select("case_id", "norm").distinct().join(checked(norm_clauses), "norm")
+    cases = clauses.select("case_id", "norm").distinct() if cases is None else cases
+    wanted = cases.join(checked(norm_clauses), "norm")
     out = wanted.join(clauses.select("case_id", "norm", "clause_key", "text"), ["case_id", "norm", "clause_key"], "left").join(checked(limits), "norm", "left")
     least, warn = F.coalesce("min_words", F.lit(C.CLAUSE_WORDS_DEFAULT[0])), F.coalesce("warning_words", F.lit(C.CLAUSE_WORDS_DEFAULT[1]))
     words = X.word_count("text")
@@ -176,12 +180,12 @@ def match_requirements(rows: DataFrame, items: DataFrame) -> DataFrame:
     return each.groupBy("row_id").agg(F.min(F.struct((-F.length("requirement")).alias("n"), "requirement")).alias("best")).select("row_id", "best.requirement")
 
 
-def accept_recovered(old: DataFrame, new: DataFrame, least: int = 50) -> DataFrame:
+def accept_recovered(old: DataFrame, new: DataFrame, least: int = 50, key: list[str] = ["case_id", "clause_key"]) -> DataFrame:  # noqa: B006
     """Clauses with the new text where it has enough words; still_missing tells those that stay empty or absent."""
-    out = old.join(new.select("case_id", "clause_key", F.col("text").alias("_new")), ["case_id", "clause_key"], "full")
+    out = old.join(new.select(*key, F.col("text").alias("_new")), key, "full")
     good = X.word_count("_new") >= least
     text = F.when(good, F.col("_new")).otherwise(F.col("text"))
-    return out.select("case_id", "clause_key", text.alias("text"), F.coalesce(good, F.lit(False)).alias("accepted"), (F.trim(F.coalesce(text, F.lit(""))) == "").alias("still_missing"))
+    return out.select(*key, text.alias("text"), F.coalesce(good, F.lit(False)).alias("accepted"), (F.trim(F.coalesce(text, F.lit(""))) == "").alias("still_missing"))
 
 
 def placeholders(lost: DataFrame) -> DataFrame:

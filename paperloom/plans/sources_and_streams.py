@@ -16,7 +16,7 @@ from paperloom.functions import text as X
 from paperloom.operators import evidence as E
 from paperloom.operators.shared import shared_dir
 from paperloom.operators.windows import progress_pct
-from paperloom.plans.files_and_joins import AS_OF_ERRORS, category
+from paperloom.plans.files_and_joins import AS_OF_ERRORS, category, words
 from paperloom.plans.views import query
 from paperloom.sources import archives as A
 from paperloom.sources import tables as T
@@ -319,16 +319,24 @@ def _(p):
 
 
 def _answers(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """A scorer for the checklist: every first, second or third word of the report by the clause; some clauses only when asked alone."""
+    """A scorer for the checklist: every second, third or fourth word of the report by the clause, all of them when it is asked alone; it leaves out some of a group."""
     for b in batches:
-        rows = [(c, n, k, " ".join((t or "").split()[:: 1 + i % 3])) for c, n, keys, t in zip(b["case_id"], b["norm"], b["keys"], b["report"], strict=True) for i, k in enumerate(keys) if len(keys) == 1 or i % 4]
+        rows = []
+        for case, norm, groups, report in zip(b["case_id"], b["norm"], b["groups"], b["report"], strict=True):
+            said = (report or "").split()
+            rows += [(case, norm, k, " ".join(said[:: 1 if len(keys) == 1 else 2 + i % 3])) for keys in groups for i, k in enumerate(keys) if len(keys) == 1 or i % 4]
         yield pd.DataFrame(rows, columns=["case_id", "norm", "clause_key", "text"])
 
 
-@query("d10_build_checklist", "v_clauses", "v_norm_clauses")
-def _(c, n):
-    report = c.groupBy("case_id", "norm").agg(F.max("text").alias("text"))
-    return E.build_checklist(report, n, _answers)
+_ASKED = f"""WITH k AS (SELECT norm, clause_key, row_number() OVER (PARTITION BY norm, pos % 6 ORDER BY clause_key) - 1 AS i, count(*) OVER (PARTITION BY norm, pos % 6) AS n FROM v_norm_topics),
+r AS (SELECT doc_id, lang AS norm, coalesce({words("text")}, 0) AS w FROM documents),
+f AS (SELECT doc_id, norm, clause_key, w, CASE WHEN n = 1 THEN w WHEN i % 4 > 0 THEN (w + 1 + i % 3) // (2 + i % 3) END AS one FROM r JOIN k USING (norm)),
+g AS (SELECT *, CASE WHEN coalesce(one, 0) < {C.CLAUSE_WORDS_DEFAULT[0]} AND w >= 50 THEN w ELSE one END AS got FROM f)"""
+
+
+@query("d10_build_checklist", "documents", "v_norm_topics", sql=f"{_ASKED} SELECT CAST(doc_id AS VARCHAR) AS case_id, norm, clause_key, CAST(coalesce(got, 0) AS INT) AS words, CASE WHEN one IS NULL AND w < 50 AND got IS NULL THEN 'missing' WHEN got = 0 THEN 'empty' WHEN got < {C.CLAUSE_WORDS_DEFAULT[0]} THEN 'short' WHEN got < {C.CLAUSE_WORDS_DEFAULT[1]} THEN 'warning' ELSE 'complete' END AS status FROM g")
+def _(d, n):
+    return E.build_checklist(d.select(F.col("doc_id").alias("case_id"), F.col("lang").alias("norm"), "text"), n, _answers)
 
 
 @query("d15_ingest", "documents", sql="SELECT doc_id, count(*) AS files, sha256(max(regexp_replace(text, chr(13), chr(10), 'g'))) AS hash FROM documents, (SELECT unnest([1, 2])) GROUP BY doc_id")
@@ -343,12 +351,17 @@ def _numbered(e: DataFrame) -> DataFrame:
     return e.select(F.col("user_id").alias("session_id"), F.col("event_id").cast("long").alias("event_id"), "ts", F.coalesce(kinds[F.col("event_type")], F.lit("phase.tick")).alias("type"), "value")
 
 
-@query("t02_rate_limit", "events")
+_PASSED = f"""WITH RECURSIVE e AS (SELECT user_id AS session_id, event_id, ts, CASE event_type WHEN 'signup' THEN 'session.start' WHEN 'click' THEN 'file.done' WHEN 'error' THEN 'error' WHEN 'purchase' THEN 'done' ELSE 'phase.tick' END AS type, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT session_id, event_id, ts, type, i, true AS passed, [ts] AS recent FROM e WHERE i = 1
+UNION ALL SELECT session_id, event_id, ts, type, i, passed, CASE WHEN passed THEN list_append(recent, ts) ELSE recent END FROM (SELECT *, type IN ({", ".join(repr(x) for x in sorted(C.PROTECTED_EVENTS))}) OR len(recent) < 5 AS passed FROM (SELECT e.*, list_filter(s.recent, lambda x: x >= e.ts - INTERVAL 7 DAY) AS recent FROM s JOIN e ON e.session_id = s.session_id AND e.i = s.i + 1)))"""
+
+
+@query("t02_rate_limit", "events", sql=f"{_PASSED} SELECT CAST(session_id AS VARCHAR) AS session_id, event_id, ts, type, passed FROM s")
 def _(e):
     return S.rate_limit_batch(_numbered(e), 5, 3600 * 24 * 7)
 
 
-@query("t03_drop_stats", "events")
+@query("t03_drop_stats", "events", sql=f"{_PASSED} SELECT type, count(*) FILTER (passed) AS passed, count(*) FILTER (NOT passed) AS dropped FROM s GROUP BY 1")
 def _(e):
     return S.drop_stats(S.rate_limit_batch(_numbered(e), 5, 3600 * 24 * 7))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from paperloom.functions import catalog as C
 from paperloom.functions import text as X
 from paperloom.functions import values as V
+from paperloom.functions.register import register
 from paperloom.operators import joins, summaries, windows
 from paperloom.plans.files_and_joins import _CALLS, _CLASS_OF, AS_OF_CASES, AS_OF_ERRORS, PRICES, words
 from paperloom.plans.views import query
@@ -406,3 +407,9 @@ def _(f):
 @query("h39_group_schema", "v_norm_clauses", sql="SELECT norm, concat('{', string_agg(concat('\"', clause_key, '\":\"string\"'), ',' ORDER BY clause_key), '}') AS value FROM v_norm_clauses GROUP BY 1")
 def _(n):
     return n.groupBy("norm").agg(F.sort_array(F.collect_list("clause_key")).alias("keys")).select("norm", V.group_schema(F.col("keys")).alias("value"))
+
+
+@query("x06_sql_functions", "v_candidates", sql=r"SELECT case_id, batch_idx, regexp_replace(nome, '\s+S\.?(R\.?L|P\.?A)\.?\s*$', '', 'i') AS azienda, lower(regexp_replace(nome, '\s+S\.?(R\.?L|P\.?A)\.?\s*$', '', 'i')) AS chiave, CASE tipo WHEN 'visura camerale' THEN 100 WHEN 'statuto' THEN 80 WHEN 'fattura' THEN 30 WHEN 'dvr' THEN -50 ELSE 0 END::INT AS punti FROM v_candidates")
+def _(c):
+    register(c.sparkSession)
+    return c.sparkSession.sql("SELECT case_id, batch_idx, pl_clean_company(nome) AS azienda, pl_company_key(nome) AS chiave, pl_source_score(tipo) AS punti FROM {c}", c=c)

@@ -17,6 +17,7 @@ VIEWS = {
     "v_progress": "SELECT user_id AS session_id, ts, CASE event_type WHEN 'signup' THEN 'session.start' WHEN 'view' THEN 'phase.tick' WHEN 'click' THEN 'file.done' WHEN 'error' THEN 'error' ELSE 'done' END AS type, value FROM events",
     "v_clauses": "SELECT source AS case_id, lang AS norm, concat(lang, '_', CAST(doc_id AS VARCHAR(20))) AS clause_key, CASE WHEN doc_id % 17 = 0 THEN ' ' ELSE text END AS text, doc_id FROM documents",
     "v_norm_clauses": "SELECT d.lang AS norm, concat(d.lang, '_', CAST(b.item_id AS VARCHAR(20))) AS clause_key, b.item_id AS pos FROM (SELECT DISTINCT lang FROM documents) d CROSS JOIN benchmark b",
+    "v_norm_topics": "SELECT d.lang AS norm, concat(d.lang, '_', n.n_name) AS clause_key, n.n_nationkey AS pos FROM (SELECT DISTINCT lang FROM documents) d CROSS JOIN nation n",
     "v_runs": "SELECT o_custkey % 40 AS case_id, o_orderpriority AS provider, o_orderdate AS finished_at, o_orderkey AS run_id, o_totalprice / 100 AS duration_seconds, o_totalprice / 100000 AS cost_eur, o_orderkey % 7 AS n_truncated, o_orderstatus <> 'P' AS success FROM orders",
     "v_candidates": "SELECT o_custkey % 60 AS case_id, o_orderkey AS batch_idx, concat('AZIENDA ', CAST(o_custkey % 9 AS VARCHAR(20)), CASE o_orderkey % 4 WHEN 0 THEN ' S.R.L.' WHEN 1 THEN ' SRL' WHEN 2 THEN ' S.p.A.' ELSE ' s.r.l' END) AS nome, CASE o_orderpriority WHEN '1-URGENT' THEN 'visura camerale' WHEN '2-HIGH' THEN 'fattura' WHEN '3-MEDIUM' THEN 'dvr' WHEN '5-LOW' THEN 'statuto' ELSE 'attestato' END AS tipo FROM orders",
     "v_paragraphs": "SELECT conv_id AS case_id, turn AS numero, role AS categoria, text AS contenuto FROM conversations",

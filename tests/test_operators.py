@@ -3,6 +3,7 @@
 import io
 import zipfile
 
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -239,6 +240,49 @@ def test_sql_functions_equal_columns(spark):
         assert [r[f"a{i}"] for r in row] == [r[f"b{i}"] for r in row], name
 
 
+def test_sql_functions_of_names_maps_and_tables(spark):
+    """The same for functions on names of companies, maps, lists, tables and calls."""
+    from paperloom.functions import values as V
+    from paperloom.functions.register import register
+
+    register(spark)
+    cards = [None, {}, {"tipo": "DVR", "nota": "CF RSSMRA80A01H501U", "Password": "x"}, {"titolo": " ", "sezioni": "a"}, {"titolo": "T", "meta": None}]
+    texts = [None, "", "ROSSI S.R.L.", "Società Édile s.p.a.", "la rossi s.r.l. e Rossi S.r.l.; [Rossi]", " [nome] ", "visura camerale, statuto; dvr", "p/Audit_ROSSI_20240101.zip", "up\\\\upload_1.zip",
+        "Denominazione: EDIL ROSSI S.R.L. via", "VISURA CAMERALE di ALFA SPA denominata anche BETA S.R.L.", "a\n| k | v | k |\n|---|---|---|\n| 1 | 2 |\n|3|4|5|6|\nx\n|---|\n| only |\n"]
+    rows = [(t, f"Bilancio_{i}" if i % 2 else None, cards[i % 5], None if i == 0 else ["a", "a", None, "b"][: i % 5], i % 4 - 1, float(i % 3)) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "x string, name string, m map<string, string>, l array<string>, n long, d double").withColumn("ts", F.to_timestamp(F.lit("2024-02-28 10:00:00")))
+    mapping = [("ROSSI", "ALFA"), ("ALFA", "BETA")]
+    pairs = {
+        "pl_one_line(x)": X.optimize_text("x"), "pl_clean_company(x)": X.clean_company("x"), "pl_clean_in_text(x, 'Rossi S.r.l.')": X.clean_in_text("x", F.lit("Rossi S.r.l.")), "pl_clean_in_text(x, name)": X.clean_in_text("x", "name"),
+        "pl_company_key(x)": X.company_key("x"), "pl_valid_company(x)": X.valid_company("x"), "pl_source_score(x)": X.source_score("x"), "pl_char_cap(name, x, 1.5D)": X.char_cap("name", "x", 1.5),
+        "pl_anonymise(x, array(struct('ROSSI' AS old, 'ALFA' AS new), struct('ALFA' AS old, 'BETA' AS new)))": X.anonymise("x", mapping), "pl_name_from_archive(x)": X.name_from_archive("x"),
+        "pl_name_from_registry(x)": X.name_from_registry("x"), "pl_names_in_text(name, x)": X.names_in_text("name", "x"), "pl_value_to_text(m, 9)": V.value_to_text(F.col("m"), 9), "pl_list_to_text(l, 4)": V.list_to_text(F.col("l"), 4),
+        "pl_age_days(ts, DATE '2024-03-02')": V.age_days("ts", "2024-03-02"), "pl_yyyy_mm(ts)": V.yyyy_mm("ts"), "pl_pct_delta(d, n)": V.pct_delta(F.col("d"), F.col("n").cast("double")), "pl_backoff(CAST(n AS INT), 2D, 3D)": V.backoff(F.col("n").cast("int"), 2.0, 3.0),
+        "pl_md_tables(x)": X.md_tables("x"), "pl_md_records(x)": X.md_records("x"), "pl_scrub(m, array('password'))": V.scrub(F.col("m"), ["password"]), "pl_card_head(m)": V.split_card(F.col("m"))[0], "pl_card_clusters(m)": V.split_card(F.col("m"))[1],
+        "pl_flat_doc(m)": V.flat_doc(F.col("m")), "pl_dedup_runs(l)": X.dedup_runs(F.col("l")), "pl_is_artifact(x)": X.is_artifact("x"),
+    }
+    row = df.select(*(F.expr(s).alias(f"a{i}") for i, s in enumerate(pairs)), *(c.alias(f"b{i}") for i, c in enumerate(pairs.values()))).collect()
+    for i, name in enumerate(pairs):
+        assert [r[f"a{i}"] for r in row] == [r[f"b{i}"] for r in row], name
+    assert row[-1]["a19"] == [{"k": "", "v": "2"}, {"k": "5", "v": "4"}]
+
+
+def test_sql_functions_of_calls_and_batches(spark):
+    from paperloom.functions import values as V
+    from paperloom.functions.register import register
+
+    register(spark)
+    calls = spark.createDataFrame([("m/x", "ocr", 10, 20, -1, -2.0, None, "e" * 300, 2.0, 3.0, 0.5), ("y", "zip", None, 5, 7, 1.23456, 2, "", 1.0, None, None)], "model string, kind string, input_tokens long, cached_tokens long, output_tokens long, duration_seconds double, retry_count long, error string, input double, output double, cached_input double")
+    said = calls.selectExpr("pl_model_name(model) AS model", "pl_call_kind(kind) AS kind", "pl_call_count(input_tokens) AS input_tokens", "pl_cached_tokens(cached_tokens, input_tokens) AS cached_tokens", "pl_call_count(output_tokens) AS output_tokens", "pl_call_seconds(duration_seconds) AS duration_seconds", "pl_call_count(retry_count) AS retry_count", "pl_call_error(error) AS error", "input", "output", "cached_input")
+    assert said.collect() == V.clean_call(calls).select(*said.columns).collect()
+    costs = said.select(F.expr("pl_call_cost(input_tokens, cached_tokens, output_tokens, input, cached_input, output)").alias("a"), V.call_cost().alias("b")).collect()
+    assert [r.a for r in costs] == [r.b for r in costs]
+    docs = spark.createDataFrame([("c", 1, 2, "b", "xyz"), ("c", 1, 1, "a", "uvw")], "case_id string, batch_id int, pos long, filename string, text string")
+    payload = docs.groupBy("case_id", "batch_id").agg(F.expr("pl_payload(collect_list(struct(pos, filename, text)), 2)").alias("payload"))
+    assert payload.first().payload == V.batch_payload(docs, F.lit(2)).first().payload == "### FILE: a\nuv\n\n### FILE: b\nxy"
+    assert spark.sql("SELECT pl_group_schema(array('k1', 'k2'))").first()[0] == '{"k1":"string","k2":"string"}'
+
+
 def test_scrub_of_nested_json(spark):
     from paperloom.functions import values as V
 
@@ -384,3 +428,29 @@ def test_corrupt_members_and_long_texts(spark):
 def test_sanitize(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first().x
     assert one(X.sanitize(F.lit("a\r\nb\rc\x00\x7f\td"))) == "a\nb\nc\x7f\td" and one(X.sanitize(F.lit(None).cast("string"))) == ""
+
+
+def test_checklist_asks_again_and_loses_no_report(spark):
+    """A report comes to the scorer once a round; what it leaves out is asked for alone, and a report that it passes over too."""
+    from paperloom.operators.evidence import build_checklist
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def scorer(batches):
+        for b in batches:
+            seen.add(len(b))
+            rows = []
+            for case, norm, groups, report in zip(b["case_id"], b["norm"], b["groups"], b["report"], strict=True):
+                single = all(len(g) == 1 for g in groups)
+                for g in groups:
+                    rows += [(case, norm, k, report) for k in g if single or (case != "shy" and k != "k1")]
+            yield pd.DataFrame(rows, columns=["case_id", "norm", "clause_key", "text"])
+
+    long, short = "word " * 200, "word " * 60
+    report = spark.createDataFrame([("a", "N", long), ("shy", "N", long), ("b", "N", short), ("c", "M", long), ("d", "none", long)], "case_id string, norm string, text string")
+    clauses = spark.createDataFrame([(n, f"k{i}", i) for n in "NM" for i in range(3)], "norm string, clause_key string, pos int")
+    got = sorted(map(tuple, build_checklist(report, clauses, scorer, groups=2).collect()))
+    want = [(c, n, f"k{i}", w, s) for c, n, w, s in (("a", "N", 200, "complete"), ("b", "N", 60, "short"), ("c", "M", 200, "complete"), ("shy", "N", 200, "complete")) for i in range(3)]
+    # Keys of clauses repeat over norms; each report is sent once, and once more if something is missing or short.
+    assert got == want and seen.value == 4 + 4
+    assert build_checklist(report.limit(0), clauses, scorer).count() == 0
