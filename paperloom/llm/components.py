@@ -7,18 +7,23 @@ from pyspark.sql import functions as F
 
 from paperloom.llm.common import cut
 
+#: A node is a hub if it has more than one in so many of all ends of edges; so there are never as many hubs.
+SHARES = 100
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+
+def components(edges: DataFrame, max_rounds: int = 60, least_hub: int = 1000) -> DataFrame:
     """(node, component) of every node in edges(a, b); component is the smallest node that can be reached.
 
     Nodes are of any ordered type. A node with very many neighbours is never gathered: its smallest neighbour is a
-    minimum with partial aggregation, and the join back is one that Spark can split. Edges with a null end and loops
-    are left out; no edges give no rows.
+    minimum with partial aggregation, and where it is a hub, of at least least_hub neighbours and more than one in
+    SHARES of all, that minimum is broadcast to its edges where they lie, so that no shuffle brings them together. Edges
+    with a null end and loops are left out; no edges give no rows.
     """
     e = cut(_edges(edges.select("a", "b")))
     seen = None
     for _ in range(max_rounds):
-        e = cut(_small_star(_large_star(e)))
+        hubs = _hubs(e, seen[0] if seen else e.count(), least_hub)
+        e = cut(_small_star(_large_star(e, hubs), hubs))
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
@@ -33,15 +38,37 @@ def _edges(e: DataFrame) -> DataFrame:
     return e.filter("a is not null and b is not null and a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
-def _large_star(e: DataFrame) -> DataFrame:
+def _hubs(e: DataFrame, n: int, least: int) -> list:
+    """The hubs of n edges, fewer than SHARES nodes.
+
+    They serve both stars of a round: the large star gives no node more smaller neighbours than it has neighbours.
+    """
+    most = max(least, 2 * n // SHARES)
+    if n <= most:
+        return []
+    ends = F.explode(F.array("a", "b")).alias("a")
+    return [r.a for r in e.select(ends).groupBy("a").count().filter(F.col("count") > most).select("a").collect()]
+
+
+def _with_low(rows: DataFrame, by: DataFrame, hubs: list) -> DataFrame:
+    """rows(a, b) with low, the smallest b of their a in by; the rows of hubs stay where they are."""
+
+    def low(part: DataFrame) -> DataFrame:
+        return part.groupBy("a").agg(F.min("b").alias("low"))
+
+    if not hubs:
+        return rows.join(low(by), "a")
+    hub = F.col("a").isin(hubs)
+    return rows.filter(~hub).join(low(by.filter(~hub)), "a").unionByName(rows.filter(hub).join(F.broadcast(low(by.filter(hub))), "a"))
+
+
+def _large_star(e: DataFrame, hubs: list) -> DataFrame:
     """Larger neighbours of a node move to the node's smallest neighbour."""
     both = e.union(e.select("b", "a"))
-    low = both.groupBy("a").agg(F.min("b").alias("low"))
-    return _edges(both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.least("a", "low").alias("b")))
+    return _edges(_with_low(both.filter("b > a"), both, hubs).select(F.col("b").alias("a"), F.least("a", "low").alias("b")))
 
 
-def _small_star(e: DataFrame) -> DataFrame:
+def _small_star(e: DataFrame, hubs: list) -> DataFrame:
     """Smaller neighbours of a node, and the node, move to the smallest of them."""
-    low = e.groupBy("a").agg(F.min("b").alias("low"))
-    moved = e.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
-    return _edges(moved.union(low))
+    moved = _with_low(e, e, hubs).select("a", "b", "low")
+    return _edges(moved.select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("low").alias("b")), F.struct("a", F.col("low").alias("b")))).alias("x")).select("x.a", "x.b"))
