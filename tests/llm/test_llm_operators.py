@@ -45,20 +45,6 @@ def test_components(spark, edges):
     assert found == _groups([e for e in edges if e[0] != e[1]], nodes)
 
 
-@pytest.mark.parametrize("kind", ["long", "string", "binary"])
-def test_components_with_hubs(spark, kind):
-    """Nodes of very many neighbours, as smallest and as largest of them, with chains between: the same components, and no shuffle of a hub's edges."""
-    node = {"long": int, "string": "{:05d}".format, "binary": lambda n: n.to_bytes(4)}[kind]
-    pairs = [(0, n) for n in range(1, 300)] + [(9000, n) for n in range(1000, 1300)] + [(n, n + 1) for n in range(2000, 2012)] + [(5, 5)]
-    pairs += [(12, 1100), (3000, 3001)]
-    frame = spark.createDataFrame([(node(a), node(b)) for a, b in pairs], f"a {kind}, b {kind}")
-    found = {r.node: r.component for r in components.components(frame, least_hub=20).collect()}
-    want = _groups([x for x in pairs if x[0] != x[1]], {x for p in pairs for x in p})
-    assert {bytes(k) if kind == "binary" else k: bytes(v) if kind == "binary" else v for k, v in found.items()} == {node(k): node(v) for k, v in want.items()}
-    e = components._edges(frame)
-    assert sorted(components._hubs(e, e.count(), 20)) == [node(0), node(9000)] and components._hubs(e, e.count(), 1000) == []
-
-
 def test_url_filter(spark):
     pages = [
         (1, "http://a.org/x", '<link href="https://b.net/es/q" rel="canonical">', 0),
