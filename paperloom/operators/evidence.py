@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from paperloom.functions import text as X
 from paperloom.functions.catalog import MARKERS
 from paperloom.operators.cards import parse_chunk
-from paperloom.operators.joins import accept_recovered, clause_coverage
-from paperloom.operators.shared import checked, numbered, stored
+from paperloom.operators.joins import counted_coverage
+from paperloom.operators.shared import bounded_batches, checked, numbered, stored
 from paperloom.operators.summaries import resolve_company
 from paperloom.operators.windows import round_robin
 
@@ -164,15 +164,23 @@ def build_checklist(report: DataFrame, norm_clauses: DataFrame, scorer, groups:
     dealt = round_robin(norm_clauses, ["pos"], ["norm"], groups)
     asked = dealt.groupBy("norm", "group_no").agg(F.sort_array(F.collect_list("clause_key")).alias("keys"))
     asked = stored(asked.groupBy("norm").agg(F.transform(F.sort_array(F.collect_list(F.struct("group_no", "keys"))), lambda x: x["keys"]).alias("groups")), "asked")
-    fields = "case_id string, norm string, clause_key string, text string"
-    named = report.select(F.col("case_id").cast("string").alias("case_id"), "norm", F.col("text").alias("report"))
-    columns = ["case_id", "norm", "groups", "report"]
-    first = stored(named.join(checked(asked), "norm").select(*columns).mapInPandas(scorer, fields), "answers")
+    key, columns = ["case_id", "norm", "clause_key"], ["case_id", "norm", "groups", "report"]
+
+    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in scorer(batches):
+            yield b[key].assign(words=pd.array([None if t is None or t is pd.NA or t != t else X.count_words(t) for t in b["text"]], "Int32"))
+
+    # Answers are many times the reports: their words are counted where they are given, and no answer is stored or shuffled.
+    answers = lambda asked: stored(asked.select(*columns).mapInPandas(counted, "case_id string, norm string, clause_key string, words int"), "answers")
+    named = bounded_batches(report).select(F.col("case_id").cast("string").alias("case_id"), "norm", F.col("text").alias("report"))
+    first = answers(named.join(checked(asked), "norm"))
     cases = named.select("case_id", "norm").distinct()
-    missing = clause_coverage(first, norm_clauses, cases=cases).filter(F.col("status").isin("missing", "empty", "short"))
+    missing = counted_coverage(first, norm_clauses, cases=cases).filter(F.col("status").isin("missing", "empty", "short"))
     alone = missing.groupBy("case_id", "norm").agg(F.transform(F.sort_array(F.collect_list("clause_key")), lambda k: F.array(k)).alias("groups"))
-    again = stored(named.join(alone, ["case_id", "norm"]).select(*columns).mapInPandas(scorer, fields), "answers")
-    return clause_coverage(accept_recovered(first, again, least, ["case_id", "norm", "clause_key"]), norm_clauses, cases=cases)
+    again = answers(named.join(alone, ["case_id", "norm"])).withColumnRenamed("words", "_new")
+    # As accept_recovered (D11) does with texts.
+    words = F.when(F.coalesce("_new", F.lit(0)) >= least, F.col("_new")).otherwise(F.col("words"))
+    return counted_coverage(first.join(again, key, "full").select(*key, words.alias("words")), norm_clauses, cases=cases)
 
 
 def markers_of(text: Column) -> Column:

@@ -47,13 +47,19 @@ def clause_coverage(clauses: DataFrame, norm_clauses: DataFrame, limits: DataFra
 
     cases(case_id, norm) tells the cases and their norms, each once; without it they are those that have a clause.
     """
+    counted = clauses.select("case_id", "norm", "clause_key", F.when(F.col("text").isNotNull(), X.word_count("text")).alias("words"))
+    return counted_coverage(counted, norm_clauses, limits, cases)
+
+
+def counted_coverage(clauses: DataFrame, norm_clauses: DataFrame, limits: DataFrame | None = None, cases: DataFrame | None = None) -> DataFrame:
+    """J06 of clauses(case_id, norm, clause_key, words), whose texts are counted already; words is null where there is no text."""
     limits = thresholds(clauses) if limits is None else limits
     cases = clauses.select("case_id", "norm").distinct() if cases is None else cases
     wanted = cases.join(checked(norm_clauses), "norm")
-    out = wanted.join(clauses.select("case_id", "norm", "clause_key", "text"), ["case_id", "norm", "clause_key"], "left").join(checked(limits), "norm", "left")
+    out = wanted.join(clauses.select("case_id", "norm", "clause_key", "words"), ["case_id", "norm", "clause_key"], "left").join(checked(limits), "norm", "left")
     least, warn = F.coalesce("min_words", F.lit(C.CLAUSE_WORDS_DEFAULT[0])), F.coalesce("warning_words", F.lit(C.CLAUSE_WORDS_DEFAULT[1]))
-    words = X.word_count("text")
-    status = F.when(F.col("text").isNull(), "missing").when(words == 0, "empty").when(words < least, "short").when(words < warn, "warning").otherwise("complete")
+    words = F.coalesce("words", F.lit(0))
+    status = F.when(F.col("words").isNull(), "missing").when(words == 0, "empty").when(words < least, "short").when(words < warn, "warning").otherwise("complete")
     return out.select("case_id", "norm", "clause_key", words.alias("words"), status.alias("status"))
 
 

@@ -40,6 +40,22 @@ def checked(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
     return F.broadcast(df) if (df.agg(F.sum(each)).first()[0] or 0) <= most else df
 
 
+#: Bytes of one batch of rows that a Python worker gets.
+BATCH_BYTES = 4_000_000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that gives Python batches of BATCH_BYTES at most, unless it has a bound of its own.
+
+    Rows that hold files or whole texts have any size, so that Spark's 10,000 rows or 64 MB are much for a worker that makes
+    several copies, of which a task may have three at once.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in conf.getAll:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def placed(df: DataFrame, by: list[str], order: list) -> DataFrame:
     """df dealt to ranges of (by, order) and stored, with _part, its range, and _at, which rises in that order.
 
