@@ -247,7 +247,9 @@ def it_date(c) -> Column:
 
 def dedup_runs(words: Column) -> Column:
     """An array without elements equal to the one before."""
-    return F.aggregate(words, F.array().cast("array<string>"), lambda a, w: F.when((F.size(a) > 0) & (F.element_at(F.concat(F.array(F.lit("")), a), -1) == w), a).otherwise(F.concat(a, F.array(w))))
+    # In an array of one, so that a lambda names the words and they are computed once, not for every element.
+    kept = lambda ws: F.filter(ws, lambda w, i: ~F.coalesce(F.get(ws, i - 1) == w, F.lit(False)))
+    return F.get(F.transform(F.array(words), kept), F.lit(0))
 
 
 def _rows(text: Column) -> Column:
