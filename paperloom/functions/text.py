@@ -294,9 +294,13 @@ def extension(path) -> Column:
     return F.lower(F.regexp_extract(_col(path), r"[^/.][^/]*\.([^./]*)$", 1))
 
 
+def _categories(profile: str) -> dict[str, list[str]]:
+    return {"v2": C.CATEGORIES, "v1": {**C.CATEGORIES, **C.CATEGORIES_V1}, "cli": C.CATEGORIES_CLI}[profile]
+
+
 def categorize(path, profile: str = "v2") -> Column:
     """Category of a file by its extension; skip and other for the rest. Profiles: v2, v1, cli."""
-    known = {"v2": C.CATEGORIES, "v1": {**C.CATEGORIES, **C.CATEGORIES_V1}, "cli": C.CATEGORIES_CLI}[profile]
+    known = _categories(profile)
     ext = extension(path)
     out = F.lit("other")
     for name, extensions in known.items():
@@ -304,6 +308,13 @@ def categorize(path, profile: str = "v2") -> Column:
     return out if profile == "cli" else F.when(ext.isin(C.SKIPPED_EXTENSIONS), "skip").otherwise(out)
 
 
+def category_of(path: str) -> str:
+    """P01 inside a Python task: as categorize with profile v2."""
+    found = re.search(r"[^/.][^/]*\.([^./]*)$", path)
+    ext = found[1].lower() if found else ""
+    return "skip" if ext in C.SKIPPED_EXTENSIONS else next((k for k, v in _categories("v2").items() if ext in v), "other")
+
+
 def whitelist_match(name) -> Column:
     """The part of a file's name that the first fitting pattern of WHITELIST matches; else null."""
     return F.coalesce(*(F.nullif(F.regexp_extract(F.coalesce(_col(name), F.lit("")), p, 0), F.lit("")) for p in C.WHITELIST))

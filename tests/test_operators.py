@@ -494,3 +494,14 @@ def test_long_runs_take_no_square_of_their_length(spark):
     start = time.time()
     assert len(long.select(dedup_runs(F.split("t", " ")).alias("x")).first().x) == words * 2 // 3 + 1
     assert time.time() - start < 20
+
+
+def test_counts_and_categories_in_python_are_those_of_columns(spark):
+    from paperloom.functions import text as X
+
+    texts = ["", " ", "a\x1cb", "a\u00a0b\u2003c\u0085d", "a\u200bb", " x\ty\n\x0bz ", "\x1f", "\u180e a"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.n for r in df.select(X.word_count("t").alias("n")).collect()] == [X.count_words(t) for t in texts]
+    paths = ["a/b.PDF", "x.docx.p7m/x.docx", ".txt", "a.txt/b", "a.b.zip", "b.exe", "c.", "d.txt\n", "e/.f.txt", "noend", "a.\u212aml"]
+    df = spark.createDataFrame([(p,) for p in paths], "p string")
+    assert [r.c for r in df.select(X.categorize("p").alias("c")).collect()] == [X.category_of(p) for p in paths]
