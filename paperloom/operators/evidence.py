@@ -80,20 +80,27 @@ def assemble(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
 _PARAGRAPHS = "array<struct<numero: int, categoria: string, sottotitolo: string, contenuto: string>>"
 
 
+#: The rest of a quoted string and its closing quote.
+_QUOTED = re.compile(r'(?:[^"\\]++|\\.)*+"', re.S)
+_BRACE, _BRACE_OR_QUOTE = re.compile("[{}]"), re.compile('[{}"]')
+
+
 def _braces(text: str) -> list[str]:
     """Outermost objects of a text, found by matching braces outside quotes."""
-    out, depth, start, quoted, escaped = [], 0, 0, False, False
-    for i, c in enumerate(text):
-        if quoted:
-            escaped, quoted = c == "\\" and not escaped, not (c == '"' and not escaped)
-        elif c == '"' and depth:
-            quoted = True
+    out, depth, start, at = [], 0, 0, 0
+    while (found := (_BRACE_OR_QUOTE if depth else _BRACE).search(text, at)) is not None:
+        c, at = found[0], found.end()
+        if c == '"':
+            quoted = _QUOTED.match(text, at)
+            if quoted is None:
+                break
+            at = quoted.end()
         elif c == "{":
-            depth, start = depth + 1, start if depth else i
-        elif c == "}" and depth:
+            depth, start = depth + 1, start if depth else at - 1
+        elif depth:
             depth -= 1
             if not depth:
-                out.append(text[start : i + 1])
+                out.append(text[start:at])
     return out
 
 
@@ -133,7 +140,7 @@ def parse_narrative(raw: DataFrame) -> DataFrame:
     """
     plain = F.trim(X.strip_fences("text"))
     strict = F.when(F.try_parse_json(plain).isNotNull(), F.from_json(F.when(plain.startswith("["), plain), _PARAGRAPHS))
-    tried = raw.select("case_id", "batch_id", plain.alias("text"), strict.alias("strict"))
+    tried = bounded_batches(raw).select("case_id", "batch_id", plain.alias("text"), strict.alias("strict"))
     ok = tried.filter("strict is not null").select("case_id", "batch_id", F.lit(1).alias("tier"), F.posexplode("strict").alias("n", "x"))
     mended = tried.filter("strict is null").select("case_id", "batch_id", F.pandas_udf(_repaired, "string")("text").alias("found"))
     rest = mended.select("case_id", "batch_id", F.substring("found", 1, 1).cast("int").alias("tier"), F.posexplode(F.from_json(F.expr("substr(found, 2)"), _PARAGRAPHS)).alias("n", "x"))
