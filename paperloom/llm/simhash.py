@@ -391,20 +391,25 @@ def _bits_apart(a: bytes, b: bytes) -> int:
 def _joined(wides: list[bytes], most: float, alike=None) -> list[tuple[int, int]]:
     """Links (place, place) that join what pairs within most bits join, of which alike, where given, holds as well.
 
-    Pairs of one group need no look; a pair that is not alike joins nothing.
+    A BK-tree of the fingerprints finds the pairs. Pairs of one group need no look; a pair that is not alike joins nothing.
     """
-    bits = np.frombuffer(b"".join(wides), np.uint64).reshape(len(wides), -1)
-    group, out = np.arange(len(wides)), []
-    for i in range(1, len(wides)):
-        near = np.nonzero(np.bitwise_count(bits[:i] ^ bits[i]).sum(1, dtype=np.int64) <= most)[0]
-        while len(near):
-            j = near[-1]
-            if alike is None or alike(i, j):
+    tree, places = BKTree(int(most)), {}
+    group, out = list(range(len(wides))), []
+
+    def top(i: int) -> int:
+        while group[i] != i:
+            group[i] = i = group[group[i]]
+        return i
+
+    for i, wide in enumerate(wides):
+        fp = int.from_bytes(wide)
+        near = tree.add(fp)
+        # The latest first; one of a group that is alike speaks for all of it.
+        for j in sorted((j for x in near for j in places[x]), reverse=True):
+            if top(j) != top(i) and (alike is None or alike(i, j)):
                 out.append((i, j))
-                group[: i + 1][group[: i + 1] == group[j]] = group[i]
-                near = near[group[near] != group[i]]
-            else:
-                near = near[:-1]
+                group[top(j)] = top(i)
+        places.setdefault(fp, []).append(i)
     return out
 
 
