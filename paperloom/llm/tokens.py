@@ -21,6 +21,7 @@ class Pieces:
         self.ids, self.starts, self.sizes = np.zeros(0, kind), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def add(self, names: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Put in names, none of which is there, each once."""
         self.number.update(zip(names, range(len(self.number), len(self.number) + len(names)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
         self.sizes, self.ids = np.concatenate([self.sizes, sizes]), np.concatenate([self.ids, ids])
@@ -80,8 +81,8 @@ class WordTokenizer:
         self.words, self.pieces = Pieces(self.type), Pieces(self.type)
         self.pieces.add([""], np.zeros(0, self.type), np.zeros(1, np.int64))
 
-    def _learn(self, fresh: list[str]) -> None:
-        """Give each word its ids: of the model's pieces where its cuts are known, else of the whole tokenizer."""
+    def _learn(self, fresh: list[str]) -> np.ndarray:
+        """Give each word its number and ids: of the model's pieces where its cuts are known, else of the whole tokenizer."""
         words = pa.array(fresh, pa.string())
         plain = pc.match_substring_regex(words, self.LETTERS).to_numpy(zero_copy_only=False)
         low = pc.utf8_lower(words.filter(pa.array(plain)))
@@ -109,6 +110,10 @@ class WordTokenizer:
             self.pieces.add(["\n" + w for w in whole], np.array([i for x in ids for i in x], self.type), np.array([len(x) for x in ids], np.int64))
         ids, starts = self.pieces.gather(self._numbers(flat))
         self.words.add(other, ids, np.diff(starts[np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])]))
+        # Plain words came first, then the others, each in their order.
+        numbers = np.empty(len(fresh), np.int64)
+        numbers[np.concatenate([np.nonzero(plain)[0], np.nonzero(~plain)[0]])] = np.arange(len(self.words.number) - len(fresh), len(self.words.number))
+        return numbers
 
     def _numbers(self, pieces: list[str]) -> np.ndarray:
         """The numbers of pieces; new ones go to the model first."""
@@ -121,7 +126,7 @@ class WordTokenizer:
             ids = np.concatenate([np.array(x, self.type) for x in parts])
             # The last token of each piece, and no other one, closes a word.
             self.pieces.add(new, ids, np.diff(np.nonzero(self.closes[ids])[0], prepend=-1))
-        numbers[unknown] = self.pieces.numbers([pieces[i] for i in unknown])
+            numbers[unknown] = self.pieces.numbers([pieces[i] for i in unknown])
         return numbers
 
     def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -137,8 +142,7 @@ class WordTokenizer:
             fresh = np.nonzero(numbers < 0)[0].tolist()
             # A very long text is learned in parts, to bound the lists.
             for i in range(0, len(fresh), 100_000):
-                self._learn([names[k] for k in fresh[i : i + 100_000]])
-            numbers[fresh] = self.words.numbers([names[k] for k in fresh])
+                numbers[fresh[i : i + 100_000]] = self._learn([names[k] for k in fresh[i : i + 100_000]])
             numbers = numbers[words.indices.to_numpy()]
         ids, starts = self.words.gather(numbers)
         bounds = split.offsets.to_numpy()
@@ -162,9 +166,13 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def ended_ids(texts: pa.Array, path: str | None, end_id: int, size: int = 2_000_000) -> Iterator[np.ndarray]:
-    """The ids and end_id of each text of a batch; texts of about so many bytes are looked at together."""
+def ended_ids(texts: pa.Array, path: str | None, end_id: int, size: int = 2_000_000, limit: int = 600_000) -> Iterator[np.ndarray]:
+    """The ids and end_id of each text of a batch; texts of about so many bytes are looked at together.
+
+    limit is how many words and pieces the worker remembers, at some 250 bytes each.
+    """
     tok = tokenizer(path or default_path())
+    tok.limit = limit
     end = np.array([end_id], tok.type if end_id < 1 << 16 else "<u4")
     first, total = 0, 0
     for i, n in enumerate([*pc.fill_null(pc.binary_length(texts), 0).to_pylist(), size]):

@@ -69,7 +69,7 @@ def sequences(docs: DataFrame, window: int, path: str | None, end_id: int) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             source, start, length, ids, size = [], [], [], [], 0
-            for i, whole in enumerate(ended_ids(b.column("text"), path, end_id)):
+            for i, whole in enumerate(ended_ids(b.column("text"), path, end_id, size=4_000_000)):
                 for s in range(0, len(whole), window):
                     part = whole[s : s + window]
                     source.append(i)
@@ -124,13 +124,15 @@ def materialise(docs: DataFrame, key: int, window: int = 2048, per_shard: int =
     slots = slots.repartitionById(tasks, F.expr(f"cast(shard * {tasks} div {shards} as int)")).sortWithinPartitions("slot")
 
     out = T.StructType([T.StructField("slot", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("at", T.LongType()), T.StructField("doc_id", kind), T.StructField("start", T.LongType()), T.StructField("length", T.IntegerType()), T.StructField("ids_crc32", T.LongType()), T.StructField("record", T.BinaryType())])
+    padding = np.full(window, pad_id, "<u4").tobytes()
+
     def finished(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in (whole.slice(i, 1024) for i in range(0, whole.num_rows, 1024)):
-                ids = [unpacked(x.as_py()) for x in b.column("ids")]
-                records = [np.r_[x, np.full(window - len(x), pad_id, "<u4")].astype("<u4").tobytes() for x in ids]
+                ids = [unpacked(x.as_py()).tobytes() for x in b.column("ids")]
+                records = [x + padding[len(x) :] for x in ids]
                 slot = b.column("slot").to_numpy()
-                yield pa.RecordBatch.from_arrays([b.column("slot"), b.column("shard"), pa.array(slot % per_shard), b.column("doc_id"), b.column("start"), b.column("length"), pa.array([crc32(x.tobytes()) for x in ids], pa.int64()), pa.array(records, pa.binary())], out.names)
+                yield pa.RecordBatch.from_arrays([b.column("slot"), b.column("shard"), pa.array(slot % per_shard), b.column("doc_id"), b.column("start"), b.column("length"), pa.array([crc32(x) for x in ids], pa.int64()), pa.array(records, pa.binary())], out.names)
 
     return slots.mapInArrow(finished, out)
 
