@@ -86,6 +86,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of one batch of rows that a Python worker gets.
+BATCH_BYTES = 8_000_000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, in a session that gives Python batches of BATCH_BYTES at most, unless it has a bound of its own.
+
+    Texts have any size, so that Spark's 10,000 rows or 64 MB are much for a worker that makes several copies.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in conf.getAll:
+        conf.set(key, str(BATCH_BYTES))
+    return df
+
+
 def small(df: DataFrame, each: Column | None = None) -> DataFrame:
     """Hint a broadcast if df, a stored table, has no more than BROADCAST_BYTES; else leave the join to Spark.
 

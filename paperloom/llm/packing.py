@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from paperloom.llm.common import small, stored
+from paperloom.llm.common import bounded_batches, small, stored
 from paperloom.llm.tokens import ended_ids
 
 #: Combinations of three lengths that are looked at; from windows with more, every k-th least length is taken.
@@ -22,6 +22,8 @@ TRIPLES = 400_000
 #: The least squares are solved when no combination would change by more than this many repeats, and this share of an
 #: average length's count.
 REPEATS, SHARE = 0.5, 0.02
+#: Words and pieces that a worker remembers; texts with much junk fill any memory, and the pipeline's workers are old by then.
+WORDS = 200_000
 
 
 def combinations(window: int, lengths: np.ndarray, triples: int = TRIPLES) -> np.ndarray:
@@ -160,7 +162,7 @@ def tokenized(docs: DataFrame, window: int, path: str | None, end_id: int) -> Da
         for b in batches:
             out: tuple[list, ...] = ([], [], [], [], [], [])
             size, since = 0, 0
-            for i, ids in enumerate(ended_ids(b.column("text"), path, end_id)):
+            for i, ids in enumerate(ended_ids(b.column("text"), path, end_id, limit=WORDS)):
                 n = len(ids)
                 rest = n % window
                 for x, v in zip(out, (packed(ids), n, part, rest, rests[rest], full), strict=True):
@@ -201,7 +203,7 @@ def pack(docs: DataFrame, window: int = 2048, path: str | None = None, end_id: i
     and further ones leave more to the greedy filling. ids are little-endian 32-bit numbers, null unless asked for. Sequences are numbered from 0 without gaps. Repeated rows and null doc_ids are
     packed like others; an empty table gives no rows.
     """
-    rows = stored(tokenized(docs, window, path, end_id), "tokens")
+    rows = stored(tokenized(bounded_batches(docs), window, path, end_id), "tokens")
     rests = rows.filter("length > 0").groupBy("part", "length").agg(F.count(F.lit(1)).alias("n"))
     wholes = rows.groupBy("part").agg(F.sum(F.expr(f"doc_tokens div {window}")).alias("n")).select("part", F.lit(window).alias("length"), "n")
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

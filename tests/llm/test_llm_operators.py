@@ -559,3 +559,19 @@ def test_pipeline_links_by_bk_trees(monkeypatch):
         near = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= most and (alike is None or alike(i, j))]
         assert _groups(simhash._joined(wides, most, alike), range(len(fps))) == _groups(near, range(len(fps)))
     assert trees == [int(most)] * 2
+
+
+def test_packing_bounds_what_a_worker_remembers(spark):
+    """The words that a worker remembers, and the bytes of its batches, are bounded while texts are packed."""
+    from paperloom.llm import tokens
+
+    none = [None] * 3
+    list(tokens.ended_ids(pa.array(none, pa.string()), None, 1, limit=packing.WORDS))
+    tok = tokens.tokenizer(tokens.default_path())
+    assert tok.limit == packing.WORDS < 600_000
+    texts = pa.array([" ".join(f"q{i}x{k}z" for i in range(30_000)) for k in range(8)])
+    once = [x.tolist() for x in tokens.ended_ids(texts, None, 1, size=1, limit=10**9)]
+    assert [x.tolist() for x in tokens.ended_ids(texts, None, 1, size=1, limit=50_000)] == once
+    assert len(tok.words.number) <= 50_000 + 30_000
+    packing.pack(spark.createDataFrame([(1, "a b")], "doc_id long, text string")).collect()
+    assert "spark.sql.execution.arrow.maxBytesPerBatch" in spark.conf.getAll
